@@ -13,17 +13,17 @@ and one with the name of a result is replaced.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pieces kept by a task. Longer pieces than PIECE bytes are not kept, so that the memory is bounded.
-KEPT, PIECE = 400_000, 64
+KEPT, PIECE = 150_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -65,7 +65,7 @@ class Codec:
             self.table[i] = token
         self.lengths = np.array([len(t) for t in self.table], np.int64)
         self.latin = dict(enumerate(names))
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -76,7 +76,7 @@ class Codec:
     def _spelled(self, piece: str) -> str:
         return piece.encode().decode("latin-1").translate(self.latin)
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. Works on about a megabyte of text at a time."""
         lo = 0
         while lo < len(texts):
@@ -87,26 +87,29 @@ class Codec:
             pieces = [self.pattern.findall(t) for t in texts[lo:hi]]
             if len(self.seen) > KEPT:
                 self.seen = {}
-            new = list({p for some in pieces for p in some if p not in self.seen})
-            encoded = self.model.encode_batch_fast([self._spelled(p) for p in new], add_special_tokens=False)
-            here = {p: e.ids for p, e in zip(new, encoded, strict=True)}
-            self.seen.update((p, i) for p, i in here.items() if len(p) <= PIECE)
-            known = self.seen.get
+            new = list(set().union(*pieces) - self.seen.keys())
+            if new:
+                encoded = self.model.encode_batch_fast([self._spelled(p) for p in new], add_special_tokens=False)
+                self.seen.update((p, np.array(e.ids, "<i4").tobytes()) for p, e in zip(new, encoded, strict=True))
+            seen = self.seen
             for some in pieces:
-                yield [i for p in some for i in (known(p) or here[p])]
+                yield np.frombuffer(b"".join([seen[p] for p in some]), "<i4")
+            for p in new:
+                if len(p) > PIECE:
+                    del seen[p]
             lo = hi
 
     def bytes_of(self, ids: list[int]) -> bytes:
         table = self.table
         return b"".join([table[i] for i in ids])
 
-    def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each token in characters of the text. A token that begins or ends inside
         a character counts that character as its own."""
         data = np.frombuffer(text.encode(), np.uint8)
         before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        ends = np.cumsum(self.lengths[np.asarray(ids, np.int64)]) if ids else np.empty(0, np.int64)
-        starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if ids else ends
+        ends = np.cumsum(self.lengths[ids])
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)]
         # the character that holds byte i has number before[i + 1] - 1
         return before[np.minimum(starts + 1, len(data))] - 1, before[ends]
 
@@ -116,6 +119,11 @@ def _added(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(kept | new)
 
 
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(v) for v in values]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, np.int32), pa.int32()))
+
+
 def _schema(df: DataFrame, *fields: T.StructField) -> T.StructType:
     new = {f.name for f in fields}
     return T.StructType([f for f in df.schema.fields if f.name not in new] + list(fields))
@@ -129,35 +137,42 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", offsets:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks, pattern)
         for big in batches:
-            for lo in range(0, big.num_rows, 500):
-                batch = big.slice(lo, 500)
+            for lo in range(0, big.num_rows, 200):
+                batch = big.slice(lo, 200)
                 texts = [t or "" for t in batch.column(text).to_pylist()]
                 ids = list(codec.encode(texts))
-                new = {"ids": pa.array(ids, pa.list_(pa.int32()))}
+                new = {"ids": _lists(ids)}
                 if offsets:
                     spans = [codec.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
-                    new |= {n: pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k, n in enumerate(("starts", "ends"))}
+                    new |= {n: _lists([s[k].astype(np.int32) for s in spans]) for k, n in enumerate(("starts", "ends"))}
                 yield _added(batch, new)
 
     return df.mapInArrow(run, _schema(df, *fields))
 
 
-def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """Adds `decoded` (binary: the exact bytes) and `decoded_text`.
+def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", as_text: bool = True) -> DataFrame:
+    """Adds `decoded` (binary: the exact bytes) and, if asked, `decoded_text`.
 
     Ids may end or begin inside a character: bytes that are no UTF-8 stay exact in `decoded` and
     become U+FFFD in `decoded_text`. Null ids decode to nothing.
     """
+    fields = [T.StructField("decoded", T.BinaryType())] + [T.StructField("decoded_text", T.StringType())] * as_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks, pattern)
         for big in batches:
-            for lo in range(0, big.num_rows, 500):
-                batch = big.slice(lo, 500)
-                data = [codec.bytes_of(i or []) for i in batch.column(ids).to_pylist()]
-                yield _added(batch, {"decoded": pa.array(data, pa.binary()), "decoded_text": pa.array([d.decode("utf-8", "replace") for d in data], pa.string())})
+            for lo in range(0, big.num_rows, 200):
+                batch = big.slice(lo, 200)
+                column = batch.column(ids)
+                ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))).tolist()
+                flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+                data = [codec.bytes_of(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+                new = {"decoded": pa.array(data, pa.binary())}
+                if as_text:
+                    new["decoded_text"] = pa.array([d.decode("utf-8", "replace") for d in data], pa.string())
+                yield _added(batch, new)
 
-    return df.mapInArrow(run, _schema(df, T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())))
+    return df.mapInArrow(run, _schema(df, *fields))
 
 
 def digest(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -172,6 +187,3 @@ def digest(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFra
         }
     )
 
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

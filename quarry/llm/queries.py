@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, quality
+from quarry.llm import bpe, embed, jaccard, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(docs, ranks, pattern).drop("text")
-    return bpe.digest(bpe.decode(encoded, ranks, pattern).drop("decoded_text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.digest(bpe.decode(encoded, ranks, pattern, as_text=False)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +34,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_quality_rules": op8_quality_rules}
 SQL: dict[str, str] = {}
