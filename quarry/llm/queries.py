@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, embed, jaccard, quality
+from quarry.llm import bpe, embed, jaccard, langid, licences, lines, packing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -20,6 +24,34 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(encoded, ranks, pattern, as_text=False)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(langid.sample(docs, remainder(3) != 1, "doc_id", "lang", "text"))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs))
+
+
+def toxic_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
+    """Learned from the labelled rows among docs that are not held out."""
+    labels = table(spark, sf_dir, "labels").where((F.col("toxic").isNotNull()) & (remainder(5) != 0)).select("doc_id", F.col("toxic").alias("y"))
+    return toxicity.learn(docs.select("doc_id", "text").where(remainder(5) != 0).join(labels, "doc_id").select("text", "y"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxic_model(spark, docs, sf_dir))
+    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "hits")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -34,5 +66,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_quality_rules": op8_quality_rules}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", packing.n_words().alias("length"))
+    return packing.pack(docs)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_embedding_near_dedup, op8_quality_rules, op9_warc, op10_packing)
+}
 SQL: dict[str, str] = {}
