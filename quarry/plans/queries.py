@@ -1,4 +1,189 @@
 """The registered queries of the retrieval engine, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import chunk, ground, search, store
+from quarry.sources.tables import record_lines, table
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+ASK, OTHER = "the and of hendnt", "tion ing the"
+K, POOL = 10, 15
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+_NORM = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+_WORDS = f"list_filter(string_split(lower({_NORM}), ' '), lambda w: w <> '')"
+_LIST = lambda q: "[" + ", ".join(f"'{w}'" for w in q.split()) + "]"
+_BM25 = f"""w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+ p AS (SELECT doc_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, len(words) AS dl, unnest(words) AS term FROM w) GROUP BY 1, 2),
+ n AS (SELECT count(*) AS n_docs, avg(len(words)) AS avgdl FROM w),
+ v AS (SELECT term, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), n),
+ i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM v) ELSE raw END AS idf FROM v),
+ q AS (SELECT unnest({_LIST(ASK)}) AS term),
+ s AS (SELECT doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN i USING (term) JOIN p USING (term), n GROUP BY 1),
+ bm AS (SELECT doc_id, coalesce(score, 0.0) AS score FROM documents LEFT JOIN s USING (doc_id))"""
+_SPARSE = f"""sp AS (SELECT doc_id, sum(ln(1 + tf) * qw) / any_value(norm) / (SELECT sqrt(sum(qw * qw)) FROM qv) AS score
+ FROM p JOIN qv USING (term) JOIN (SELECT doc_id, sqrt(sum(ln(1 + tf) * ln(1 + tf))) AS norm FROM p GROUP BY 1) USING (doc_id) GROUP BY 1)"""
+_QV = f"qv AS (SELECT term, ln(1 + count(*)) AS qw FROM (SELECT unnest({_LIST(OTHER)}) AS term) GROUP BY 1)"
+_DOT = "list_inner_product(e.embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))::DOUBLE[])"
+
+
+@query(f"SELECT doc_id, {_NORM} AS norm, greatest(1, length(text) // 4)::INT AS tokens, sha256({_NORM}) AS sha256 FROM documents")
+def normalize(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("text")
+    return _docs(spark, d).select("doc_id", T.normalize_text(text).alias("norm"), F.when(text.isNotNull(), T.approx_tokens(text)).otherwise(1).alias("tokens"), T.content_hash(text).alias("sha256"))
+
+
+@query(f"SELECT doc_id, sha256(coalesce({_NORM}, '') || '-' || coalesce(source, '') || '-1-1-0-' || coalesce(length(text)::VARCHAR, '')) AS id FROM documents")
+def chunk_id(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("text")
+    return _docs(spark, d).select("doc_id", T.chunk_id(T.normalize_text(text), F.col("source"), F.lit(1), F.lit(1), F.lit(0), F.length(text)).alias("id"))
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT coalesce(source, 'Unknown')) AS sources, sum(greatest(1, coalesce(length(text), 0) // 4))::BIGINT AS tokens, round(avg(greatest(1, coalesce(length(text), 0) // 4)), 6) AS mean_tokens FROM documents")
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return store.corpus_stats(_docs(spark, d))
+
+
+@query(f"SELECT sha256({_NORM}) AS content, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1")
+def exact_groups(spark: SparkSession, d: str) -> DataFrame:
+    return store.exact_groups(_docs(spark, d))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT {K}")
+def bm25_search(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.top(search.bm25(_docs(spark, d), ASK), K, "doc_id"))
+
+
+@query(f"WITH {_BM25}, {_QV}, {_SPARSE} SELECT doc_id, round(score, 6) AS score FROM sp ORDER BY sp.score DESC, doc_id LIMIT {K}")
+def sparse_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.top(search.sparse_cosine(_docs(spark, d), OTHER), K, "doc_id"))
+
+
+def _dense(spark: SparkSession, d: str, score: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.orderBy("vec_id").select("embedding").first()
+    return search.top(search.dense(vectors, list(asked[0]) if asked else [], score=score), K, "vec_id")
+
+
+@query(f"SELECT vec_id, round({_DOT}, 6) AS score FROM embeddings e ORDER BY {_DOT} DESC, vec_id LIMIT {K}")
+def dense_dot(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_dense(spark, d, "dot"))
+
+
+@query(f"SELECT vec_id, round(greatest(0.0, {_DOT}), 6) AS score FROM embeddings e ORDER BY greatest(0.0, {_DOT}) DESC, vec_id LIMIT {K}")
+def dense_clamped(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_dense(spark, d, "clamped"))
+
+
+@query(f"SELECT vec_id, round(greatest(0.0, 2 * {_DOT} - 1), 6) AS score FROM embeddings e ORDER BY greatest(0.0, 2 * {_DOT} - 1) DESC, vec_id LIMIT {K}")
+def dense_l2(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_dense(spark, d, "l2"))
+
+
+@query(
+    f"""WITH {_BM25}, {_QV}, {_SPARSE},
+ a AS (SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part FROM bm ORDER BY score DESC, doc_id LIMIT {POOL}),
+ b AS (SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part FROM sp ORDER BY score DESC, doc_id LIMIT {POOL}),
+ u AS (SELECT doc_id, sum(part) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1)
+ SELECT doc_id, round(score, 6) AS score FROM u ORDER BY u.score DESC, doc_id LIMIT {K}"""
+)
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return _rounded(search.top(search.rrf([search.bm25(docs, ASK), search.sparse_cosine(docs, OTHER)], "doc_id", n=POOL), K, "doc_id"))
+
+
+@query(
+    f"""WITH {_BM25}, {_QV}, {_SPARSE},
+ a AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT {POOL}), b AS (SELECT * FROM sp ORDER BY score DESC, doc_id LIMIT {POOL}),
+ x AS (SELECT doc_id, 0.3 * CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM a),
+ y AS (SELECT doc_id, 0.7 * CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM b),
+ u AS (SELECT doc_id, sum(score) AS score FROM (SELECT * FROM y UNION ALL SELECT * FROM x) GROUP BY 1)
+ SELECT doc_id, round(score, 6) AS score FROM u ORDER BY u.score DESC, doc_id LIMIT {K}"""
+)
+def alpha_search(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return _rounded(search.top(search.alpha_fusion(search.sparse_cosine(docs, OTHER), search.bm25(docs, ASK), "doc_id", 0.7, POOL), K, "doc_id"))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, text, list_distinct({_WORDS}) AS own, {_LIST(ASK)} AS asked FROM documents),
+ s AS (SELECT doc_id, len(list_intersect(own, asked)) / len(list_distinct(list_concat(own, asked)))::DOUBLE * CASE WHEN regexp_matches(text, '[0-9]') THEN 1.5 ELSE 1.0 END * CASE WHEN regexp_matches(text, '[|\t]') THEN 2.0 ELSE 1.0 END AS score FROM t)
+ SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT {POOL}"""
+)
+def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.top(search.keyword_overlap(_docs(spark, d).where("text is not null"), ASK), POOL, "doc_id"))
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, text, ceil(length(text) / 4)::INT AS n, unnest(range(0, ceil(length(text) / 4)::BIGINT, 620))::INT AS char_start FROM documents),
+ e AS (SELECT *, least(char_start + 700, n) AS char_end FROM w)
+ SELECT doc_id, char_start, char_end, trim(regexp_replace(substring(text, char_start * 4 + 1, (char_end - char_start) * 4), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS chunk FROM e WHERE char_end - char_start >= 120 OR char_end = n"""
+)
+def chunk_token(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.token_windows(_docs(spark, d), ["doc_id"])
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, text, unnest(range(0, length(text), 3600))::INT AS char_start FROM documents),
+ e AS (SELECT *, substring(text, char_start + 1, 4000) AS piece FROM w)
+ SELECT doc_id, char_start, (char_start + length(piece))::INT AS char_end, trim(regexp_replace(piece, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS chunk FROM e WHERE length(trim(piece, E' \t\n\x0B\f\r')) >= 480"""
+)
+def chunk_char(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.char_windows(_docs(spark, d), ["doc_id"])
+
+
+@query(f"SELECT doc_id, {_NORM} AS chunk, greatest(1, length(text) // 4)::INT AS tokens FROM documents")
+def chunk_page(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.pages(_docs(spark, d), ["doc_id"])
+
+
+@query(r"""WITH s AS (SELECT doc_id, unnest(range(0, len(string_split(text, E'\n\n'))))::INT AS section, unnest(string_split(text, E'\n\n')) AS piece FROM documents)
+ SELECT doc_id, section, trim(piece, E' \t\n\x0B\f\r') AS chunk FROM s WHERE length(trim(piece, E' \t\n\x0B\f\r')) > 50""")
+def chart_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.chart_sections(_docs(spark, d), ["doc_id"])
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, E' \t\n\x0B\f\r')), lambda x: x <> '') AS l FROM documents)
+ SELECT doc_id, unnest(range(0, len(l)))::INT AS sentence_no, unnest(l) AS sentence FROM s""")
+def sentences(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.sentence_rows(_docs(spark, d), ["doc_id"])
+
+
+@query(f"SELECT doc_id, len(list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')))) ::INT AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents)")
+def shingles(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.size(T.shingles(F.col("text"), 8)).alias("n"))
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click') GROUP BY 1")
+def ingest_anti(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    new = store.ingest(events, events.where("event_type = 'click'"), "event_id")
+    return new.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""SELECT p_partkey, 'p_size' AS category, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part WHERE p_retailprice IS NOT NULL""")
+def kv_extract(spark: SparkSession, d: str) -> DataFrame:
+    return ground.key_values(record_lines(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"]), "p_partkey", "line")
