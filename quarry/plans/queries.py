@@ -43,8 +43,8 @@ _BM25 = f"""w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
  i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM v) ELSE raw END AS idf FROM v),
  q AS (SELECT unnest({_LIST(ASK)}) AS term),
  s AS (SELECT doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN i USING (term) JOIN p USING (term), n GROUP BY 1),
- bm AS (SELECT doc_id, coalesce(score, 0.0) AS score FROM documents LEFT JOIN s USING (doc_id))"""
-_SPARSE = f"""sp AS (SELECT doc_id, sum(ln(1 + tf) * qw) / any_value(norm) / (SELECT sqrt(sum(qw * qw)) FROM qv) AS score
+ bm AS (SELECT doc_id, round(coalesce(score, 0.0), 9) AS score FROM documents LEFT JOIN s USING (doc_id))"""
+_SPARSE = f"""sp AS (SELECT doc_id, round(sum(ln(1 + tf) * qw) / any_value(norm) / (SELECT sqrt(sum(qw * qw)) FROM qv), 9) AS score
  FROM p JOIN qv USING (term) JOIN (SELECT doc_id, sqrt(sum(ln(1 + tf) * ln(1 + tf))) AS norm FROM p GROUP BY 1) USING (doc_id) GROUP BY 1)"""
 _QV = f"qv AS (SELECT term, ln(1 + count(*)) AS qw FROM (SELECT unnest({_LIST(OTHER)}) AS term) GROUP BY 1)"
 _DOT = "list_inner_product(e.embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))::DOUBLE[])"
