@@ -27,25 +27,41 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import stored
 
 MIN_WORDS = 5
-SPLIT = r"[ \t\n\x0B\f\r]+"
+#: Tables of up to so many rows of a few longs are broadcast after they are counted; larger ones are joined by shuffle.
+BROADCAST_ROWS = 400_000
+GAPS = "\t\x0b\f\r"
 
 
-def _words(line: str) -> Column:
-    return F.filter(F.split(F.lower(line), SPLIT), lambda w: w != "")
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(F.translate(F.lower(line), GAPS, " " * len(GAPS)), " "), "")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
 
 
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no, words of every line that takes part."""
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", _words("line").alias("words")).where(F.size("words") >= MIN_WORDS)
+    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.transform(F.split(text, "\n", -1), _words)).alias("line_no", "words"))
+    return lines.where(F.size("words") >= MIN_WORDS)
 
 
 def _halves() -> Column:
-    """Hashes of the first and last words that a line within one edit must share one of."""
+    """Hashes of the first and last words that a line within one edit must share one of.
+
+    Of two lines within one edit the shorter, of n words, shares n // 2 with the other at one end. The
+    lengths are rounded down to fours where that leaves some, so a line and one a word longer seldom differ.
+    """
     n = F.size("words")
-    a, b = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    key = lambda side, k: F.xxhash64(F.lit(side), F.slice("words", F.lit(1), k) if side == "<" else F.slice("words", n - k + 1, k))
-    return F.array_distinct(F.array(key("<", a), key("<", b), key(">", a), key(">", b)))
+    part = lambda k: F.when(k < 4, k).otherwise(k - k % 4)
+    a, b = part(F.floor(n / 2).cast("int")), part(F.floor((n - 1) / 2).cast("int"))
+    key = lambda side, k: F.xxhash64(F.lit(side), k, F.slice("words", F.lit(1), k) if side == "<" else F.slice("words", n - k + 1, k))
+    both = F.array(key("<", a), key(">", a))
+    return F.when(a == b, both).otherwise(F.concat(both, F.array(key("<", b), key(">", b))))
 
 
 def _deletions() -> Column:
@@ -75,28 +91,33 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     distinct = stored(found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
 
     keyed = found.select("h", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half")
-    likely = keyed.join(shared, "half").select("h").distinct()
+    shared = stored(keyed.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half"), "halves")
+    likely = stored(keyed.join(_small(shared), "half").select("h").distinct(), "likely")
     # the words of the likely lines, read again at the earliest place of each
-    where = likely.join(distinct, "h").select("h", "first.doc_id", "first.line_no", "first")
-    lines = occurrences(docs, doc_id, text).withColumn("h", F.xxhash64("words"))
-    chosen = stored(where.join(lines, (where.h == lines.h) & where.doc_id.eqNullSafe(lines.doc_id) & (where.line_no == lines.line_no)).select(where.h, "first", "words").dropDuplicates(["h"]), "likely-lines")
-
-    variants = chosen.select("h", "first", F.explode(_deletions()).alias("d")).select("h", "first", "d.*")
-    variants = stored(variants, "variants")
-    replaced = variants.groupBy("variant", "place").agg(F.min(F.struct("first", "h")).alias("e"), F.max("h").alias("top"), F.min("h").alias("low")).where("low < top")
-    pairs = variants.join(replaced.select("variant", "place", "e"), ["variant", "place"]).where(F.col("e.first") < F.col("first")).select("h", F.col("e.h").alias("other"))
+    where = stored(distinct.join(_small(likely), "h").select("h", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line")), "places")
+    lines = _lines(docs, doc_id, text).join(_small(where), F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("line_no") == F.col("at_line")))
+    chosen = lines.select("h", "first", _words(F.col("line")).alias("words"))
+    # rows that repeat a doc_id may hold another line at that place
+    chosen = stored(chosen.where(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"]), "likely-lines")
+
+    # variants that two lines share, a line being a variant of itself; few of all variants
+    deleted = chosen.select("h", "first", F.explode(_deletions()).alias("d")).select("h", "first", "d.*")
+    keys = deleted.select("variant", "h").unionByName(chosen.select(F.col("h").alias("variant"), "h"))
+    common = stored(keys.groupBy("variant").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("variant"), "common")
+    variants = stored(deleted.join(_small(common), "variant").select("h", "first", "place", "variant"), "variants")
+    replaced = variants.groupBy("variant", "place").agg(F.min(F.struct("first", "h")).alias("e"))
+    pairs = variants.join(replaced, ["variant", "place"]).where(F.col("e.first") < F.col("first")).select("h", F.col("e.h").alias("other"))
     # a line that equals another's variant: either may be the earlier one
     itself = chosen.select(F.col("h").alias("variant"), F.col("first").alias("own"))
     longer = variants.join(itself, "variant").where(F.col("own") < F.col("first")).select("h", F.col("variant").alias("other"))
     earliest = variants.groupBy("variant").agg(F.min(F.struct("first", "h")).alias("e"))
     shorter = itself.join(earliest, "variant").where(F.col("e.first") < F.col("own")).select(F.col("variant").alias("h"), F.col("e.h").alias("other"))
-    pairs = pairs.unionByName(longer).unionByName(shorter).distinct()
+    pairs = stored(pairs.unionByName(longer).unionByName(shorter).distinct(), "line-pairs")
     words = chosen.select("h", "words")
     checked = pairs.join(words, "h").join(words.select(F.col("h").alias("other"), F.col("words").alias("others")), "other").where(within_one("words", "others")).select("h").distinct()
 
     marks = distinct.join(checked.withColumn("near", F.lit(True)), "h", "left").where("near or n > 1").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    out = found.select("doc_id", "line_no", "h").join(marks, "h")
+    out = found.select("doc_id", "line_no", "h").join(_small(stored(marks, "marks")), "h")
     return stored(out.where("near or not (struct(doc_id, line_no) <=> first)").select("doc_id", "line_no", "near"), "removed-lines")
 
 
