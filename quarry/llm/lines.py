@@ -9,7 +9,7 @@ stays.
 2. Lines within one edit have min(n) // 2 first or last words in common, so only lines that share
    such a half with another line go on; nothing is lost by that.
 3. Those emit the hashes of all their variants with one word deleted, together with the place of
-   the deletion (the first of a run of equal words), and of themselves. Lines that share variant
+   the deletion, and of themselves. Lines that share variant
    and place differ in that word only; a line that equals a variant of another is one deletion away.
    Each is joined with the earliest of its key alone, never in pairs, and the edit distance of that
    pair is verified on the words.
@@ -65,11 +65,13 @@ def _halves() -> Column:
 
 
 def _deletions() -> Column:
-    """place and variant of each deletion of one word; runs of equal words once."""
+    """place and variant of each deletion of one word.
+
+    Every word of a run of equal words counts: a replaced word may be any of them, and the line it
+    is replaced in may have a shorter run or none there.
+    """
     n = F.size("words")
-    word = lambda i: F.element_at("words", i)
-    places = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (word(i) != word(F.greatest(i - 1, F.lit(1)))))
-    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))).alias("variant")))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("place"), F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))).alias("variant")))
 
 
 def within_one(a: str, b: str) -> Column:
