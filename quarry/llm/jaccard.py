@@ -3,14 +3,16 @@
 Links two documents when den * |A n B| >= num * |A u B| for their sets of word shingles, and returns
 one row per document with its component. No pair is lost and none is made that does not hold:
 
-1. Shingles that are frequent in a task's share of the corpus are reported to a small table of
-   frequent hash buckets. It only orders tokens (frequent ones last) and any order is correct.
-2. Each document gets a digest of its set and its prefix: the first n - ceil(num * n / den) + 1 tokens
-   in that order. Documents with equal sets collapse to the one with the smallest id.
-3. Two linked sets share a prefix token and have sizes within num / den, so connected components
-   over (token, size class) heads give blocks that hold all links. Most documents have no block.
+1. Each document gets a digest of its set. Documents with equal sets collapse to the one with the
+   smallest id.
+2. Sets of a size class differ in so many tokens at most if they link. Their tokens are dealt by hash
+   into more parts than that, so two linked sets have a part in common, token by token; the hashes
+   of the parts are the set's keys. Parts hold several tokens, so single frequent shingles and
+   passages that documents share do not bring unlike documents together.
+3. Connected components over the keys' heads give blocks that hold all links. Most documents have
+   no block.
 4. Each block is joined by a signature tree (sigtree). Blocks of more than PART sets are cut by
-   size class and hash; parts are first joined by themselves together with a few pivots, then only
+   size class and hash; parts are first joined by themselves together with a pivot for each class, then only
    pairs of neighbouring parts that are not yet one component are joined.
 5. Components of the links, spread over the copies of each set.
 
@@ -33,12 +35,11 @@ from quarry.llm import sigtree, vec
 from quarry.llm.graph import components
 from quarry.llm.shared import dropped, stored
 
-BUCKETS = 1 << 20
-#: A bucket is reported by a task if its count is over so many times the mean, and at least LEAST.
-OFTEN, LEAST, FREQUENT = 8, 16, 1 << 16
-PART, PIVOTS = 1500, 8
-#: So many candidate ids (16 bytes each) are broadcast at most; more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Width of the size classes of keys, as a power of num / den.
+WIDTH = 2
+PART = 1500
+#: So many rows of tasks (four numbers each) are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 300_000
 
 
 def _sets(block: vec.Texts, k: int) -> Iterator[np.ndarray]:
@@ -55,48 +56,59 @@ def _sets(block: vec.Texts, k: int) -> Iterator[np.ndarray]:
             yield vec.windows(few, np.array([0, len(few)]), len(few))[0] if len(few) else few
 
 
-def frequent(docs: DataFrame, k: int, text: str) -> DataFrame:
-    """Up to FREQUENT hash buckets whose shingles are in many documents: a fixed-size table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(BUCKETS, np.int32)
-        for batch in batches:
-            for block in vec.texts(batch.column(0)):
-                for s in _sets(block, k):
-                    count[(s & np.uint64(BUCKETS - 1)).astype(np.int64)] += 1
-        at = np.flatnonzero(count >= max(LEAST, OFTEN * count.mean()))
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int32)), "n": pa.array(count[at].astype(np.int64))})
-
-    return docs.select(text).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(FREQUENT)
-
-
-def prefixes(docs: DataFrame, often: np.ndarray, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
-    """id, n, d1, d2 (a digest of the set) and its prefix tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(often)
+def _differ(most: int, num: int, den: int) -> int:
+    """The largest symmetric difference of two linked sets of at most `most` tokens."""
+    return 2 * most * (den - num) // (den + num)
+
+
+def _keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of a set, one of which any linked but different set has too.
+
+    Both sets of a linked pair have the keys of the larger one's size class. There the tokens are dealt
+    by hash into differ + 1 + spare parts, so that at least spare + 1 parts are equal in both. Parts
+    of at most one token say little, and a set with no more than `spare` of them leaves their keys out.
+    """
+    width = WIDTH * -np.log(num / den)
+    out = [np.zeros(0, np.uint64)]
+    with np.errstate(over="ignore"):
+        token = vec.mix(s + np.uint64(1))
+        where = vec.mix(s ^ np.uint64(0x2545F4914F6CDD1D))
+        for g in sorted({int(np.log(len(s)) / width), int((np.log(len(s)) - np.log(num / den)) / width + 1e-9)}):
+            differ = _differ(int(np.exp((g + 1) * width) + 1e-6), num, den)
+            if not differ:
+                continue  # only equal sets link
+            spare = 2 + differ // 4
+            parts = differ + 1 + spare
+            at = (where % np.uint64(parts)).astype(np.int64)
+            total = np.zeros(parts, np.uint64)
+            np.add.at(total, at, token)
+            keys = vec.mix(total + vec.mix(np.arange(parts, dtype=np.uint64) + np.uint64(g + 1) * np.uint64(1 << 32)))
+            weak = np.bincount(at, minlength=parts) <= 1
+            out.append(keys[~weak] if weak.sum() <= spare else keys)
+    return np.concatenate(out)
+
+
+def keyed(docs: DataFrame, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
+    """id, n, d1, d2 (a digest of the set) and its keys."""
     kind = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flag = np.zeros(BUCKETS, bool)
-        flag[shared.value] = True
         for batch in batches:
             for block in vec.texts(batch.column(1)):
-                n, d1, d2, tokens, first = [], [], [], [], [0]
+                n, d1, d2, keys, first = [], [], [], [], [0]
                 for s in _sets(block, k):
                     n.append(len(s))
                     with np.errstate(over="ignore"):
                         d1.append(int(vec.mix(s + np.uint64(1)).sum(dtype=np.uint64)))
                         d2.append(int(vec.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
-                    hot = flag[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                    if hot.any():
-                        s = np.concatenate((s[~hot], s[hot]))
-                    tokens.append(s[: len(s) - -(-num * len(s) // den) + 1] if len(s) else s)
-                    first.append(first[-1] + len(tokens[-1]))
+                    keys.append(_keys(s, num, den) if len(s) else s)
+                    first.append(first[-1] + len(keys[-1]))
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_pydict(
-                    {"id": batch.column(0).slice(block.first, block.n), "n": pa.array(n, pa.int64()), "d1": signed(d1), "d2": signed(d2), "prefix": vec.lists(np.concatenate(tokens).view(np.int64), np.array(first), pa.int64())}
+                    {"id": batch.column(0).slice(block.first, block.n), "n": pa.array(n, pa.int64()), "d1": signed(d1), "d2": signed(d2), "keys": vec.lists(np.concatenate(keys).view(np.int64), np.array(first), pa.int64())}
                 )
 
-    return docs.select(doc_id, text).mapInArrow(run, f"id {kind.simpleString()}, n long, d1 long, d2 long, prefix array<long>")
+    return docs.select(doc_id, text).mapInArrow(run, f"id {kind.simpleString()}, n long, d1 long, d2 long, keys array<long>")
 
 
 def _class(size: str, num: int, den: int) -> Column:
@@ -104,18 +116,26 @@ def _class(size: str, num: int, den: int) -> Column:
     return F.floor(F.log(size) / float(-np.log(num / den) * (1 + 1e-9))).cast("int")
 
 
-def blocks(reps: DataFrame, num: int, den: int) -> DataFrame:
+def blocks(reps: DataFrame) -> DataFrame:
     """node, component: blocks of representatives within which all links lie."""
-    tokens = reps.where("id is not null").select("id", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
-    size_class = _class("n", num, den)
-    near = tokens.join(shared, "token").withColumn("class", F.explode(F.array(size_class, size_class + 1)))
-    heads = near.groupBy("token", "class").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
-    return components(near.join(heads, ["token", "class"]).select(F.col("id").alias("a"), F.col("head").alias("b")))
+    keys = reps.where("id is not null").select("id", F.explode("keys").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
+    return components(keys.join(heads, "key").select(F.col("id").alias("a"), F.col("head").alias("b")))
+
 
+def _joined(docs: DataFrame, tasks: DataFrame, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
+    """Links a, b within each task of tasks (task, id, part, known).
+
+    The sets are made from the texts on the way to their task and are nowhere written as a table.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
 
-def _joined(members: DataFrame, kind: str, num: int, den: int) -> DataFrame:
-    """Links a, b within each task's members (task, id, tokens, part, known), streamed task by task."""
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in vec.texts(batch.column("text")):
+                rows = batch.slice(block.first, block.n)
+                data = [s.tobytes() for s in _sets(block, k)]
+                yield pa.RecordBatch.from_pydict({c: rows.column(c) for c in ("task", "id", "part", "known")} | {"tokens": pa.array(data, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(rows: list) -> pa.RecordBatch | None:
@@ -139,42 +159,30 @@ def _joined(members: DataFrame, kind: str, num: int, den: int) -> DataFrame:
         if len(rows) > 1 and (out := close(rows)) is not None:
             yield out
 
-    columns = members.select("task", "id", "tokens", "part", "known")
-    return columns.repartition("task").sortWithinPartitions("task").mapInArrow(run, f"a {kind}, b {kind}")
+    side = F.broadcast(tasks) if tasks.count() <= BROADCAST_IDS else tasks
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(side, "id").select("task", "id", "part", "known", "text")
+    sets = texts.mapInArrow(tokens, f"task long, id {kind}, part int, known long, tokens binary")
+    return sets.repartition("task").sortWithinPartitions("task").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def links(docs: DataFrame, member_of: DataFrame, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
-    """Links a, b that join up exactly the linked representatives. member_of: node, component."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in vec.texts(batch.column(1)):
-                data = [s.tobytes() for s in _sets(block, k)]
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(block.first, block.n), "block": batch.column(2).slice(block.first, block.n), "size": pa.array([len(d) // 8 for d in data], pa.int64()), "tokens": pa.array(data, pa.binary())})
-
-    n_members = member_of.count()
-    side = F.broadcast(member_of) if n_members <= BROADCAST_IDS else member_of
-    with_text = docs.select(F.col(doc_id).alias("id"), text).join(side.withColumnRenamed("node", "id"), "id").select("id", text, "component")
-    sets = stored(with_text.mapInArrow(run, f"id {kind}, block {kind}, size long, tokens binary"), "sets")
-
-    counts = stored(sets.groupBy("block", _class("size", num, den).alias("class")).agg(F.count("*").alias("n")), "counts")
-    totals = counts.groupBy("block").agg(F.sum("n").alias("total"))
-    large = totals.where(F.col("total") > PART).select("block")
-    small = sets.join(large, "block", "left_anti").select(F.xxhash64("block").alias("task"), "id", "tokens", F.lit(0).alias("part"), F.lit(None).cast("long").alias("known"))
-    found = _joined(small, kind, num, den)
+    """Links a, b that join up exactly the linked representatives. member_of: node, component, n."""
+    plan = member_of.select(F.col("node").alias("id"), F.col("component").alias("block"), _class("n", num, den).alias("class"))
+    counts = stored(plan.groupBy("block", "class").agg(F.count("*").alias("n")), "counts")
+    large = counts.groupBy("block").agg(F.sum("n").alias("total")).where(F.col("total") > PART).select("block")
+    none = F.lit(None).cast("long").alias("known")
+    small = plan.join(large, "block", "left_anti").select(F.xxhash64("block").alias("task"), "id", F.lit(0).alias("part"), none)
     if not large.take(1):
-        return stored(found, "links")
+        return stored(_joined(docs, stored(small, "tasks"), k, num, den, doc_id, text), "links")
 
     # parts of large blocks: by size class, and by hash where a class has more than PART sets
     cut = counts.join(large, "block").select("block", "class", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    parted = stored(sets.withColumn("class", _class("size", num, den)).join(cut, ["block", "class"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "parted")
-    least = parted.groupBy("block", "class").agg(F.min_by(F.struct("id", "tokens", "size"), F.xxhash64(F.lit(3), "id")).alias("p")).select("block", "class", "p.*")
-    pivots = least.join(cut, ["block", "class"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "class", "id", "tokens", "part")
-    alone = parted.select("block", "class", "id", "tokens", "part").unionByName(pivots)
-    task = F.xxhash64("block", "class", "part").alias("task")
-    none = F.lit(None).cast("long").alias("known")
-    first = stored(found.unionByName(_joined(alone.select(task, "id", "tokens", F.lit(0).alias("part"), none), kind, num, den)), "links")
+    parted = stored(plan.join(cut, ["block", "class"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "parted")
+    least = parted.groupBy("block", "class").agg(F.min_by("id", F.xxhash64(F.lit(3), "id")).alias("id"))
+    pivots = least.join(cut, ["block", "class"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "class", "id", "part")
+    alone = parted.select("block", "class", "id", "part").unionByName(pivots)
+    tasks = small.unionByName(alone.select(F.xxhash64("block", "class", "part").alias("task"), "id", F.lit(0).alias("part"), none))
+    first = stored(_joined(docs, stored(tasks, "tasks"), k, num, den, doc_id, text), "links")
 
     # pairs of parts of the same or neighbouring classes that are not one component by now
     known = components(first)
@@ -185,21 +193,23 @@ def links(docs: DataFrame, member_of: DataFrame, k: int, num: int, den: int, doc
     pairs = state.join(other, "block").where(((F.col("class") == F.col("class2")) & (F.col("part") < F.col("part2"))) | (F.col("class") + 1 == F.col("class2")))
     pairs = pairs.where((F.least("low", "low2") != F.greatest("high", "high2"))).withColumn("task", F.xxhash64("block", "class", "part", "class2", "part2"))
     of = pairs.select("block", "class", "part", "task").unionByName(pairs.select("block", F.col("class2").alias("class"), F.col("part2").alias("part"), "task"))
-    again = labelled.join(of, ["block", "class", "part"]).select("task", "id", "tokens", "part", F.xxhash64("known").alias("known"))
-    return stored(first.unionByName(_joined(again, kind, num, den)), "links")
+    again = labelled.join(of, ["block", "class", "part"]).select("task", "id", "part", F.xxhash64("known").alias("known"))
+    return stored(first.unionByName(_joined(docs, stored(again, "tasks"), k, num, den, doc_id, text)), "links")
 
 
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    often = np.array([r.bucket for r in frequent(docs, k, text).collect()], np.int64)
-    sets = stored(prefixes(docs, often, k, num, den, doc_id, text), "prefixes")
+    sets = stored(keyed(docs, k, num, den, doc_id, text), "keys")
     classes = sets.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     reps = sets.join(classes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"]).where("n > 0").dropDuplicates(["d1", "d2"])
-    member_of = stored(blocks(reps.select("id", "n", "prefix"), num, den), "blocks")
+    reps = stored(reps.select("id", "n", "keys"), "reps")
+    sizes = reps.groupBy(F.col("id").alias("node")).agg(F.max("n").alias("n"))
+    member_of = stored(blocks(reps).join(sizes, "node"), "blocks")
+    dropped(docs.sparkSession, reps)
     found = components(links(docs, member_of, k, num, den, doc_id, text)).withColumnRenamed("node", "rep")
     named = stored(classes.join(found, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("linked")), "classes")
     # empty sets link with nothing
-    out = sets.drop("prefix").join(named, ["d1", "d2"], "left")
+    out = sets.drop("keys").join(named, ["d1", "d2"], "left")
     out = out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("linked"))).otherwise(F.col("id")).alias("component_id"))
     dropped(docs.sparkSession, member_of)
     return out
