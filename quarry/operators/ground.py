@@ -2,22 +2,119 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kind: pattern with value and category, shortest category.
+from quarry.functions import text as T
+
+NUMBER = r"([0-9]+(?:,[0-9]{3})*(?:[.][0-9]+)?)"
+PERIOD = r"(?:Q[1-4]|Quarter\s*[1-4]|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s*[0-9]{4}"
+#: Kind: pattern, groups of value, category and unit (0: none), least length of a category.
 PATTERNS = {
-    "percent": (r"([0-9]+(?:[.][0-9]+)?)[ ]*%[ ]*([A-Za-z][A-Za-z ]*)", 3, "%"),
-    "currency": (r"[$€£][ ]*([0-9]+(?:[.][0-9]+)?)[ ]*([A-Za-z][A-Za-z ]*)", 3, "$"),
+    "leave": (r"(?i)([0-9]+)\s+(days?|weeks?|months?)\s+(?:of\s+)?([a-zA-Z\s]+(?:leave|vacation|holiday))", 1, 3, 2, 0),
+    "percent": (r"([0-9]+(?:[.][0-9]+)?)\s*(%)\s+([a-zA-Z\s]+)", 1, 3, 2, 4),
+    "currency": (r"([$€£])\s*" + NUMBER + r"\s+([a-zA-Z\s]+)", 2, 3, 1, 4),
+    "general": (NUMBER + r"\s+([a-zA-Z]+)\s+([a-zA-Z\s]{5,30})", 1, 3, 2, 6),
+    "label": (r"([A-Za-z][A-Za-z\s]{5,40})\s*:\s*" + NUMBER + r"\s*([a-zA-Z%$€£]*)", 2, 1, 3, 6),
+    "period": (f"({PERIOD})" + r"\s*:\s*" + NUMBER, 2, 1, 0, 0),
 }
+# Parts that a category of the kind "general" must not hold.
+SKIPPED = ["if ", "she ", "he ", "must ", "will ", "the ", "an ", "and "]
+CLOCK = r"([0-9]{1,2}:[0-9]{2})\s*(AM|PM|am|pm)\s*(?:to|–|-)\s*([0-9]{1,2}:[0-9]{2})\s*(AM|PM|am|pm)"
+POINT = "array<struct<category:string,time_period:string,value:double,unit:string>>"
+
+
+def _matches(line: Column, kind: str) -> Column:
+    pattern, value, category, unit, least = PATTERNS[kind]
+    group = lambda n: F.regexp_extract_all(line, F.lit(pattern), F.lit(n))
+    units = group(unit) if unit else F.transform(group(value), lambda v: F.lit(""))
+    zipped = F.arrays_zip(group(value).alias("v"), group(category).alias("c"), units.alias("u"))
+
+    def point(m: Column) -> Column:
+        name = F.regexp_replace(m["c"], rf"^{T.BLANK}|{T.BLANK}$", "")
+        named = F.initcap(F.regexp_replace(name, r"\s", " "))
+        unit_of = F.lower(m["u"]) if kind in ("leave", "general") else m["u"]
+        return F.struct(
+            (F.lit(None) if kind == "period" else named).cast("string").alias("category"),
+            (name if kind == "period" else F.lit(None)).cast("string").alias("time_period"),
+            F.translate(m["v"], ",", "").cast("double").alias("value"),
+            unit_of.alias("unit"),
+        )
+
+    def fine(p: Column) -> Column:
+        if kind == "period":
+            return p["value"] > 0
+        long = F.length(T.normalize_text(p["category"]) if kind == "general" else p["category"]) >= least
+        if kind == "general":
+            for part in SKIPPED:
+                long = long & ~F.contains(F.lower(T.normalize_text(p["category"])), F.lit(part))
+        return long & (p["value"] > 0)
+
+    return F.filter(F.transform(zipped, point), fine).cast(POINT)
+
+
+def _hours(line: Column, fix_meridiem: bool) -> Column:
+    lower = F.lower(line)
+    day = F.when(lower.contains("monday") & lower.contains("friday"), "Monday to Friday").when(lower.contains("saturday"), "Saturday").when(lower.contains("sunday"), "Sunday").otherwise("Weekday")
+    group = lambda n: F.regexp_extract_all(line, F.lit(CLOCK), F.lit(n))
+
+    def hour(clock: Column, meridiem: Column) -> Column:
+        h = F.split(clock, ":")[0].cast("double")
+        late = F.lower(meridiem) == "pm" if fix_meridiem else F.contains(line, F.lit("PM"))
+        early = (F.lower(meridiem) == "am") & (h == 12) if fix_meridiem else F.lit(False)
+        h = h + F.split(clock, ":")[1].cast("double") / 60
+        return h + F.when(late & (h < 12), 12).when(early, -12).otherwise(0)
+
+    spans = F.arrays_zip(group(1).alias("s"), group(2).alias("sm"), group(3).alias("e"), group(4).alias("em"))
+    points = F.transform(spans, lambda x: F.struct(F.concat(day, F.lit(" Working Hours")).alias("category"), F.lit(None).cast("string").alias("time_period"), (hour(x["e"], x["em"]) - hour(x["s"], x["sm"])).alias("value"), F.lit("hours").alias("unit")))
+    return F.when(lower.rlike("working|hours|office"), F.filter(points, lambda p: p["value"] > 0)).otherwise(F.array()).cast(POINT)
+
+
+def numbers(docs: DataFrame, key: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = ("hours", *PATTERNS), fix_meridiem: bool = False) -> DataFrame:
+    """key, category, time_period, value, unit: distinct positive points of the kinds, line by line.
+
+    Points are distinct before the blanks inside their categories are made single.
+    """
+    lines = docs.select(key, F.explode(F.split(text, "\n", -1)).alias("line")).where(F.col("line").rlike("[0-9]"))
+    line = F.col("line")
+    arrays = [_hours(line, fix_meridiem) if k == "hours" else _matches(line, k) for k in kinds]
+    points = lines.select(key, F.inline(F.flatten(F.array(*arrays)))).distinct()
+    return points.withColumn("category", T.normalize_text(F.col("category")))
+
+
+def largest(points: DataFrame, n: int = 15) -> DataFrame:
+    return points.orderBy(F.desc("value"), "category", "time_period", "unit").limit(n)
+
+
+def markdown_table(points: DataFrame) -> DataFrame:
+    """One row, table: the 15 largest points; where any has a time, only those that have one."""
+    best = largest(points).withColumn("timed", F.col("time_period").isNotNull())
+    shown = F.when(F.col("value") >= 1, F.format_number("value", 1)).otherwise(F.format_string("%.3f", "value"))
+    name = F.when(F.col("timed"), F.col("time_period")).when(F.length("category") > 40, F.concat(F.substring("category", 1, 37), F.lit("..."))).otherwise(F.col("category"))
+    row = F.format_string("| %s | %s | %s |", name, shown, F.coalesce("unit", F.lit("")))
+    listed = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("minus"), name.alias("name"), "timed", row.alias("row")))).alias("all"), F.bool_or("timed").alias("timed"))
+    lines = F.transform(F.filter("all", lambda x: x["timed"] == F.col("timed")), lambda x: x["row"])
+    head = F.when(F.col("timed"), F.array(F.lit("| Time Period | Value | Unit |"), F.lit("|-------------|-------|------|"))).otherwise(F.array(F.lit("| Category | Value | Unit |"), F.lit("|----------|-------|------|")))
+    return listed.select(F.when(F.size("all") == 0, "No tabular data found in the provided context.").otherwise(F.array_join(F.concat(head, lines), "\n")).alias("table"))
 
 
-def numbers(docs: DataFrame, kind: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, category, value, unit: distinct positive points of one kind, line by line."""
-    pattern, shortest, unit = PATTERNS[kind]
-    found = docs.select(key, F.explode(F.split(text, "\n", -1)).alias("line")).select(key, F.explode(F.arrays_zip(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)).alias("v"), F.regexp_extract_all("line", F.lit(pattern), F.lit(2)).alias("c"))).alias("p"))
-    points = found.select(key, F.trim(F.lower("p.c")).alias("category"), F.col("p.v").cast("double").alias("value"), F.lit(unit).alias("unit"))
-    return points.where((F.length("category") > shortest) & (F.col("value") > 0)).distinct()
+def chart(points: DataFrame, kind: str = "bar") -> dict:
+    """Vega-Lite specification of the points: over time where any has a time, else the eight largest."""
+    rows = [r.asDict() for r in largest(points).collect()]  # at most 15 rows
+    timed = [r for r in rows if r["time_period"]]
+    values = [{"name": r["time_period"] if timed else r["category"], "value": r["value"]} for r in timed or rows[:8]]
+    units = modal_unit(points).collect()
+    measure = {"field": "value", "type": "quantitative", "title": f"Value ({units[0][0]})" if units else "Value"}
+    name = {"field": "name", "type": "ordinal" if timed else "nominal", "sort": None if timed else "-y"}
+    spec = {"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "data": {"values": values}}
+    if timed:
+        return spec | {"mark": "area" if kind == "area" else "line", "encoding": {"x": name, "y": measure}}
+    if kind in ("pie", "donut"):
+        mark = {"type": "arc"} | ({"innerRadius": 50} if kind == "donut" else {})
+        return spec | {"mark": mark, "encoding": {"theta": measure, "color": name}}
+    if kind == "horizontal bar":
+        return spec | {"mark": "bar", "encoding": {"y": name | {"sort": "-x"}, "x": measure}}
+    return spec | {"mark": "line" if kind == "line" else "bar", "encoding": {"x": name, "y": measure}}
 
 
 def key_values(rows: DataFrame, key: str, line: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunk, ground, search, store
+from quarry.operators import answer, chunk, ground, pack, search, store
 from quarry.sources.tables import record_lines, table
 
 QUERIES: dict = {}
@@ -187,3 +187,90 @@ def ingest_anti(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey, 'p_size' AS category, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part WHERE p_retailprice IS NOT NULL""")
 def kv_extract(spark: SparkSession, d: str) -> DataFrame:
     return ground.key_values(record_lines(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"]), "p_partkey", "line")
+
+
+_MD = r"'# ' || source || E'\n## ' || lang || E'\n' || replace(text, E'\n', E'\n### Part\n')"
+_POLICY = "hendnt hours policy of the tion"
+_HITS = " + ".join(f"CASE WHEN contains(lower(sentence), '{w}') THEN 2 ELSE 0 END" for w in answer.keywords(_POLICY))
+_RULES = " + ".join(f"CASE WHEN regexp_matches(lower(sentence), '{p}') THEN {n} ELSE 0 END" for p, n in (answer.HOURS_PATTERNS | answer.POLICY_PATTERNS).items())
+
+
+@query()
+def chunk_sentence(spark: SparkSession, d: str) -> DataFrame:
+    return pack.by_sentences(_docs(spark, d), ["doc_id"])
+
+
+@query()
+def chunk_paragraph(spark: SparkSession, d: str) -> DataFrame:
+    return pack.by_paragraphs(_docs(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), ["doc_id"])
+
+
+@query()
+def chunk_merged(spark: SparkSession, d: str) -> DataFrame:
+    return pack.by_merged_sentences(_docs(spark, d), ["doc_id"])
+
+
+def _markdown(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n### Part\n"))).alias("text"))
+
+
+@query()
+def chunk_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return pack.by_markdown(_markdown(spark, d), ["doc_id"])
+
+
+@query()
+def chunk_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return pack.by_hybrid(_markdown(spark, d), ["doc_id"])
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, E' \t\n\x0B\f\r')), lambda x: x <> '') AS l FROM documents),
+ e AS (SELECT doc_id, unnest(range(0, len(l)))::INT AS sentence_no, unnest(l) AS sentence FROM s WHERE {" OR ".join(f"contains(lower(text), '{w}')" for w in answer.keywords(_POLICY))}),
+ p AS (SELECT *, {_HITS} + {_RULES} + CASE WHEN contains(sentence, ':') AND length(sentence) - length(replace(sentence, ',', '')) >= 2 THEN 3 ELSE 0 END + CASE WHEN regexp_matches(sentence, '[0-9]') THEN 1 ELSE 0 END - CASE WHEN len(regexp_extract_all(sentence, '[^ \t\n\x0B\f\r]+')) > 50 THEN 1 ELSE 0 END AS points FROM e WHERE length(sentence) >= 10)
+ SELECT doc_id, sentence_no, sentence, points::INT AS points FROM p WHERE points >= 2"""
+)
+def answer_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return answer.scored_sentences(_docs(spark, d), _POLICY)
+
+
+@query()
+def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return answer.answer(search.top(search.bm25(docs, _POLICY), K, "doc_id").join(docs.select("doc_id", "text"), "doc_id"), _POLICY)
+
+
+@query(
+    f"""WITH {_BM25}, b AS (SELECT doc_id, bm.score AS score, text FROM bm JOIN documents USING (doc_id) ORDER BY bm.score DESC, doc_id LIMIT {K}),
+ u AS (SELECT doc_id, sum(greatest(1, length(text) // 4)) OVER (ORDER BY score DESC, doc_id) AS upto FROM b) SELECT doc_id, upto::BIGINT AS upto FROM u WHERE upto <= 3000"""
+)
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    best = search.top(search.bm25(docs, ASK), K, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    return answer.within_budget(best).select("doc_id", "upto")
+
+
+def _sums(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.format_string("%d", F.round(F.sum("c_acctbal")).cast("long")).alias("n")).select(F.col("c_mktsegment").alias("id"), F.concat_ws(": ", "c_mktsegment", "n").alias("text"))
+
+
+@query("SELECT c_mktsegment AS id, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS category, round(sum(c_acctbal))::DOUBLE AS value, '' AS unit FROM customer GROUP BY c_mktsegment HAVING round(sum(c_acctbal)) > 0")
+def numbers_label(spark: SparkSession, d: str) -> DataFrame:
+    return ground.numbers(_sums(spark, d), "id", kinds=("label",)).drop("time_period")
+
+
+@query("""WITH q AS (SELECT 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) AS time_period, round(sum(o_totalprice)) AS value FROM orders GROUP BY 1) SELECT time_period, value::DOUBLE AS value FROM q WHERE value > 0""")
+def numbers_period(spark: SparkSession, d: str) -> DataFrame:
+    when = F.concat(F.lit("Q"), F.quarter("o_orderdate"), F.lit(" "), F.year("o_orderdate"))
+    lines = table(spark, d, "orders").groupBy(when.alias("id")).agg(F.round(F.sum("o_totalprice")).cast("long").cast("string").alias("n"))
+    return ground.numbers(lines.select("id", F.concat_ws(": ", "id", "n").alias("text")), "id", kinds=("period",)).select("time_period", "value")
+
+
+@query()
+def numbers_all(spark: SparkSession, d: str) -> DataFrame:
+    return ground.numbers(_docs(spark, d))
+
+
+@query()
+def numbers_table(spark: SparkSession, d: str) -> DataFrame:
+    return ground.markdown_table(ground.numbers(_sums(spark, d), "id", kinds=("label",)))
