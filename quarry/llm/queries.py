@@ -80,4 +80,34 @@ QUERIES = {
     f.__name__: f
     for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_embedding_near_dedup, op8_quality_rules, op9_warc, op10_packing)
 }
-SQL: dict[str, str] = {}
+
+_SHARES = {m: f"least({n} * 1000 // nullif({d}, 0), {quality.CAP})" for m, (n, d, _, _) in quality.RULES.items()}
+_QUANTILES = "count(*) AS n, " + ", ".join(f"quantile_disc(m_{m}, {q}) AS {m}_{k}" for m in quality.RULES for k, q in (("a", 0.25), ("b", 0.75)))
+
+
+def _fence(m: str) -> str:
+    """True where the measure is in the fence of the finest group of enough documents."""
+    pick = lambda k: f"CASE WHEN f.n >= {quality.LEAST} THEN f.{m}_{k} WHEN l.n >= {quality.LEAST} THEN l.{m}_{k} ELSE w.{m}_{k} END"
+    slack, two = quality.RULES[m][2:]
+    spread = f"{quality.SPREAD} * ({pick('b')} - {pick('a')}) + {slack}"
+    low = f"{pick('a')} - ({spread})" if two else "-1"
+    return f"coalesce(m_{m} BETWEEN {low} AND {pick('b')} + {spread}, true)"
+
+
+SQL: dict[str, str] = {
+    "op7_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+ n AS (SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+ r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.id = l.a),
+ g AS (SELECT id, min(c) AS component_id FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+ SELECT id AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM g LEFT JOIN k ON k.a = g.id""",
+    "op8_quality_rules": rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), E'\n'), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+ x AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d),
+ k AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS times FROM x),
+ p AS (SELECT rid, count(DISTINCT pos) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS pos FROM k WHERE times > 1) GROUP BY 1),
+ c AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN p USING (rid)),
+ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{e} AS m_{m}" for m, e in _SHARES.items())} FROM c),
+ f AS (SELECT lang, source, {_QUANTILES} FROM m WHERE NOT base_failed GROUP BY ALL), l AS (SELECT lang, {_QUANTILES} FROM m WHERE NOT base_failed GROUP BY ALL), w AS (SELECT {_QUANTILES} FROM m WHERE NOT base_failed)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(_fence(m) for m in quality.RULES)} AS kept
+ FROM m CROSS JOIN w LEFT JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source LEFT JOIN l ON l.lang IS NOT DISTINCT FROM m.lang""",
+}
