@@ -1,9 +1,11 @@
 """Near-duplicate lines by a deletion-neighbourhood join (operator 5), in DataFrame functions only.
 
-A line is a piece between line feeds; it takes part if it has at least MIN_WORDS words. Lines are
-lower-cased sequences of words, the edit bound is one word (inserted, deleted or replaced). A line
-is removed if an earlier line, by (doc_id, line number), is equal or within the bound; the earliest
-stays.
+A line is a piece between line feeds, read as a lower-cased sequence of words. A line is removed if
+an earlier line, by (doc_id, line number), is equal or within the edit bound (words inserted, deleted
+or replaced, one by default); the earliest stays. With chars every line that is not blank takes part
+in step 1, and in the others those of at least MIN_WORDS words or of chars characters outside
+their longest word; there each character of a script without spaces is a word. Without chars only
+lines of at least MIN_WORDS words take part, in all steps.
 
 1. Equal lines collapse: the hash of a line and its earliest place, aggregated before the shuffle.
 2. Lines within one edit have min(n) // 2 first or last words in common, so only lines that share
@@ -13,6 +15,9 @@ stays.
    and place differ in that word only; a line that equals a variant of another is one deletion away.
    Each is joined with the earliest of its key alone, never in pairs, and the edit distance of that
    pair is verified on the words.
+4. With more than one edit, steps 2 and 3 give way to one without a filter: all ways to delete or
+   mark so many places, about (2n) ** edits a line of n words. Lines that share what is left and
+   its places are within the bound of each other.
 
 Edge cases: null and empty texts stay as they are; a document of removed lines only keeps its row
 with an empty text; null doc_id sorts first; rows that repeat a doc_id with a text share its
@@ -26,10 +31,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import stored
 
-MIN_WORDS = 5
+MIN_WORDS, NEAR_CHARS, EDITS = 5, 20, 1
 #: Tables of up to so many rows of a few longs are broadcast after they are counted; larger ones are joined by shuffle.
 BROADCAST_ROWS = 400_000
 GAPS = "\t\x0b\f\r"
+#: Characters of scripts without spaces between words.
+SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*"
 
 
 def _words(line: Column) -> Column:
@@ -44,10 +51,21 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
 
 
-def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no, words of every line that takes part."""
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.transform(F.split(text, "\n", -1), _words)).alias("line_no", "words"))
-    return lines.where(F.size("words") >= MIN_WORDS)
+def _split(line: Column) -> Column:
+    """words of a line, and tokens where scripts without spaces make them differ."""
+    # each of their characters takes three bytes at least
+    apart = (F.octet_length(line) - F.length(line) > 1) & line.rlike(SPACELESS)
+    return F.struct(_words(line).alias("words"), F.when(apart, _words(F.regexp_replace(line, f"({SPACELESS})", " $1 "))).alias("tokens"))
+
+
+def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: int | None = None) -> DataFrame:
+    """doc_id, line_no, h (hash of the words), words (to compare) and near (whether they are) of every line that takes part."""
+    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.transform(F.split(text, "\n", -1), _split)).alias("line_no", "l"))
+    enough = F.size("l.words") >= MIN_WORDS
+    compared = F.coalesce("l.tokens", "l.words")
+    rest = F.length(F.array_join(compared, "")) - F.array_max(F.transform(compared, F.length))
+    lines = lines.where(enough if chars is None else F.size("l.words") > 0)
+    return lines.select("doc_id", "line_no", F.xxhash64("l.words").alias("h"), compared.alias("words"), (enough if chars is None else enough | (rest >= chars)).alias("near"))
 
 
 def _halves() -> Column:
@@ -86,22 +104,23 @@ def within_one(a: str, b: str) -> Column:
     return F.coalesce(same.when(F.size(y) == F.size(x) + 1, rest(x, 0) == rest(y, 1)), F.lit(False))
 
 
-def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no, near (false: an earlier line is equal) of each line to remove."""
-    place = F.struct("doc_id", "line_no")
-    found = stored(occurrences(docs, doc_id, text).select("doc_id", "line_no", F.xxhash64("words").alias("h"), _halves().alias("halves")), "lines")
-    distinct = stored(found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
+def _edited(chosen: DataFrame, edits: int) -> DataFrame:
+    """h of the lines with an earlier one within the bound, by all ways to delete or mark `edits` places."""
+    now = chosen.select("h", "first", "words", F.array().cast("array<int>").alias("gaps"))
+    for _ in range(edits):
+        n = F.size("words")
+        mark = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.col("words").alias("words"), F.array_sort(F.array_append("gaps", i)).alias("gaps")))
+        cut = lambda i: F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, n))
+        moved = lambda i: F.transform("gaps", lambda g: F.when(g > i, g - 1).otherwise(g))
+        drop = F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i < n), lambda i: F.struct(cut(i).alias("words"), F.array_sort(F.array_append(moved(i), i)).alias("gaps")))
+        now = now.select("h", "first", F.explode(F.concat(mark, drop)).alias("e")).select("h", "first", "e.*").distinct()
+    now = stored(now.select("h", "first", F.xxhash64("words", "gaps").alias("key"), F.xxhash64(F.lit(17), "words", "gaps").alias("key2")), "edited")
+    earliest = now.groupBy("key", "key2").agg(F.min("first").alias("e"))
+    return now.join(earliest, ["key", "key2"]).where(F.col("e") < F.col("first")).select("h").distinct()
 
-    keyed = found.select("h", F.explode("halves").alias("half"))
-    shared = stored(keyed.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half"), "halves")
-    likely = stored(keyed.join(_small(shared), "half").select("h").distinct(), "likely")
-    # the words of the likely lines, read again at the earliest place of each
-    where = stored(distinct.join(_small(likely), "h").select("h", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line")), "places")
-    lines = _lines(docs, doc_id, text).join(_small(where), F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("line_no") == F.col("at_line")))
-    chosen = lines.select("h", "first", _words(F.col("line")).alias("words"))
-    # rows that repeat a doc_id may hold another line at that place
-    chosen = stored(chosen.where(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"]), "likely-lines")
 
+def _within_one(chosen: DataFrame) -> DataFrame:
+    """h of the lines with an earlier one within one edit."""
     # variants that two lines share, a line being a variant of itself; few of all variants
     deleted = chosen.select("h", "first", F.explode(_deletions()).alias("d")).select("h", "first", "d.*")
     keys = deleted.select("variant", "h").unionByName(chosen.select(F.col("h").alias("variant"), "h"))
@@ -116,16 +135,35 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     shorter = itself.join(earliest, "variant").where(F.col("e.first") < F.col("own")).select(F.col("variant").alias("h"), F.col("e.h").alias("other"))
     pairs = stored(pairs.unionByName(longer).unionByName(shorter).distinct(), "line-pairs")
     words = chosen.select("h", "words")
-    checked = pairs.join(words, "h").join(words.select(F.col("h").alias("other"), F.col("words").alias("others")), "other").where(within_one("words", "others")).select("h").distinct()
+    return pairs.join(words, "h").join(words.select(F.col("h").alias("other"), F.col("words").alias("others")), "other").where(within_one("words", "others")).select("h").distinct()
+
+
+def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: int | None = None, edits: int = EDITS) -> DataFrame:
+    """doc_id, line_no, near (false: an earlier line is equal) of each line to remove."""
+    place = F.struct("doc_id", "line_no")
+    read = occurrences(docs, doc_id, text, chars)
+    found = stored(read.select("doc_id", "line_no", "h", (F.when(F.col("near"), _halves()) if edits == 1 else F.when(F.col("near"), F.array(F.lit(0).cast("long")))).alias("halves")), "lines")
+    distinct = stored(found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
+
+    keyed = found.select("h", F.explode("halves").alias("half"))
+    shared = stored(keyed.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half"), "halves")
+    likely = stored((keyed.join(_small(shared), "half") if edits == 1 else keyed if edits else keyed.limit(0)).select("h").distinct(), "likely")
+    # the words of the likely lines, read again at the earliest place of each
+    where = stored(distinct.join(_small(likely), "h").select("h", "first", F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line")), "places")
+    lines = _lines(docs, doc_id, text).join(_small(where), F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("line_no") == F.col("at_line")))
+    chosen = lines.select("h", "first", _split(F.col("line")).alias("l")).select("h", "first", F.coalesce("l.tokens", "l.words").alias("words"), F.xxhash64("l.words").alias("own"))
+    # rows that repeat a doc_id may hold another line at that place
+    chosen = stored(chosen.where("own = h").drop("own").dropDuplicates(["h"]), "likely-lines")
+    checked = _within_one(chosen) if edits == 1 else _edited(chosen, edits)
 
     marks = distinct.join(checked.withColumn("near", F.lit(True)), "h", "left").where("near or n > 1").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     out = found.select("doc_id", "line_no", "h").join(_small(stored(marks, "marks")), "h")
     return stored(out.where("near or not (struct(doc_id, line_no) <=> first)").select("doc_id", "line_no", "near"), "removed-lines")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: int | None = NEAR_CHARS, edits: int = EDITS) -> DataFrame:
     """All columns, with text rid of the removed lines, and lines_removed."""
-    gone = removed(docs, doc_id, text).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
+    gone = removed(docs, doc_id, text, chars, edits).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
     joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("gone_id")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("gone", i)), "\n")
     result = joined.withColumn("lines_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))

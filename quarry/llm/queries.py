@@ -49,7 +49,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.removed(table(spark, sf_dir, "documents"))
+    return lines.removed(table(spark, sf_dir, "documents"), chars=lines.NEAR_CHARS)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,40 @@ def test_texts(spark):
 
 def test_empty(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def brute_every(rows, chars, bound, spaceless="我们今天下午一起去北南京看大学的图书馆和新旧博物院ก"):
+    """All lines that are not blank, by a floor of its own: five words, or so many characters outside the longest word."""
+    every = []
+    for i, t in rows:
+        for n, line in enumerate((t or "").lower().split("\n")):
+            w = line.split()
+            x = "".join(f" {c} " if c in spaceless else c for c in line).split()
+            if w:
+                every.append((i, n, w, x, len(w) >= 5 or len("".join(x)) - max(map(len, x)) >= chars))
+    every.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    return {(i, n) for k, (i, n, w, x, near) in enumerate(every) if any(w == v or (near and also and edits(x, y) <= bound) for _, _, v, y, also in every[:k])}
+
+
+def test_every_line_and_bound(spark):
+    long = [f"w{i}" for i in range(30)]
+    two = [*long[:4], "new", *long[5:20], "other", *long[21:]]
+    rows = [*[r for r in corpus(4) if r[0] != 103][:30], (200, "Chapter 1\n}\nx\n" + " ".join(long)), (201, "chapter  1\n }\n\n  \ny"), (202, " ".join(two))]
+    rows += [(203, "我们今天下午一起去北京看大学的图书馆和新博物院\n我们去北京"), (204, "我们今天下午一起去南京看大学的图书馆和新博物院\n我们去南京\n我们去北京")]
+    rows += [(205, "https://a.example/one/two/three\ninternationalisation administration today"), (206, "https://a.example/one/two/four\ninternationalisation administration tomorrow")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no) for r in lines.removed(df, chars=20).collect()}
+    assert got == brute_every(rows, 20, 1)
+    assert {(201, 0), (201, 1), (204, 0), (204, 2)} <= got and not {(202, 0), (204, 1), (206, 0)} & got
+    few = [r for r in rows if r[0] is None or not 10 <= r[0] < 100]
+    got = {(r.doc_id, r.line_no) for r in lines.removed(spark.createDataFrame(few, "doc_id long, text string"), chars=20, edits=2).collect()}
+    assert got == brute_every(few, 20, 2) and (202, 0) in got
