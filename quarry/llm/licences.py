@@ -1,12 +1,14 @@
 """Licence scans by a trained paragraph classifier (operator 3).
 
-A paragraph is a line of a text. Sparse word n-grams (one to three words) are hashed into DIM
-places; a softmax regression over the families below and an `unknown` class is trained with numpy
-on variations of the templates (words dropped, other words around them) and, for `unknown`, on at
-most NEGATIVES paragraphs of the corpus with the smallest hashes that hold none of the templates'
-key words, and on shuffled templates. A family is predicted if its calibrated probability is at
-least the limit that keeps all but one in a thousand of held-out unknown paragraphs unknown, and
-confirmed if at least CONFIRM of the template's (or the paragraph's) word trigrams are shared.
+Paragraphs are the lines of a text, all runs of two to RUN lines between blank ones, and whole
+blocks of lines between blank ones. Each is scored: word n-grams (one to three words, ASCII
+punctuation being blank) are hashed into DIM places, and a softmax regression over the families below
+and an `unknown` class adds up their weights, by running sums over the words of a text. It is trained
+with numpy on variations of the templates (words dropped, other words around them) and, for
+`unknown`, on at most NEGATIVES paragraphs of the corpus that share less than CONFIRM of each template, and on shuffled templates. A family is
+predicted if its calibrated probability is at least the limit that keeps all but one in a thousand of
+held-out unknown paragraphs unknown, and confirmed if at least CONFIRM of the template's word trigrams
+are shared. Of paragraphs with lines in common the one with the larger share stays, then the shorter.
 
 Edge cases: null and empty texts, and texts without a match, have no licence; paragraphs of any
 length are whole; repeated rows are scanned each; empty tables give empty results; other columns
@@ -16,7 +18,6 @@ than the id are not read.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,20 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import vec
+
 #: Characteristic sentences of public licences.
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the MIT License.", "This project is licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "Licensed under the GNU General Public License version 3.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The software is provided \"as is\", without warranty of any kind, express or implied", "Released under the MIT License.", "This project is licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties are disclaimed", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "Licensed under the GNU General Public License version 3.", "Distributed under GPLv3 or later", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "lgpl": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"],
     "proprietary": ["All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved."],
 }
 FAMILIES = [*TEMPLATES, "unknown"]
-DIM, NEGATIVES, CONFIRM = 1 << 15, 20_000, 0.5
+DIM, NEGATIVES, CONFIRM, RUN = 1 << 15, 20_000, 0.5, 4
 TOKEN = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+BLANK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 CUE = re.compile(r"licen|copyright|permission|redistribut|rights reserved|spdx|proprietary", re.I)
 
 
@@ -45,68 +49,143 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def places(words: list[str]) -> np.ndarray:
-    grams = {" ".join(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)}
-    return np.array(sorted(zlib.crc32(g.encode()) % DIM for g in grams), np.int64)
+def grams(block: vec.Texts) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Starts of the words of a block, and for one to three words the place of each n-gram and its first word."""
+    inside = np.concatenate(([False], ~BLANK[block.data], [False]))
+    cut = np.zeros(len(block.data) + 1, bool)
+    cut[block.offsets] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+    hashes, first = block.hashes(starts, ends, lower=True), np.searchsorted(starts, block.offsets)
+    found = [vec.windows(hashes, first, k) for k in (1, 2, 3)]
+    return starts, [((h % np.uint64(DIM)).astype(np.int64), at) for h, at in found]
+
+
+def places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the text and the place of each n-gram."""
+    rows, columns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for block in vec.texts(pa.array(texts, pa.string())):
+        starts, found = grams(block)
+        for place, at in found:
+            rows.append(block.first + block.doc_of(starts[at]))
+            columns.append(place)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def paragraphs(block: vec.Texts, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Number of the text, number of the line in it, number of lines, first and last byte of each paragraph."""
+    starts, ends, first = block.lines()
+    doc = np.repeat(np.arange(block.n), np.diff(first))
+    full = np.searchsorted(words, ends) > np.searchsorted(words, starts)
+    opens = full & np.concatenate(([True], ~full[:-1] | (doc[1:] != doc[:-1])))
+    head = np.flatnonzero(opens)
+    closes = np.flatnonzero(full & np.concatenate((~full[1:] | (doc[1:] != doc[:-1]), [True])))
+    last = np.zeros(len(starts), np.int64)
+    last[full] = np.repeat(closes, closes - head + 1)
+    at, n = [], []
+    for m in range(1, RUN + 1):
+        at.append(np.flatnonzero(full & (np.arange(len(starts)) + m - 1 <= last)))
+        n.append(np.full(len(at[-1]), m))
+    long = closes - head + 1 > RUN
+    at, n = np.concatenate([*at, head[long]]), np.concatenate([*n, (closes - head + 1)[long]])
+    return doc[at], at - first[doc[at]], n, starts[at], ends[at + n - 1]
 
 
 class Classifier:
-    def __init__(self, negatives: list[str], seed: int = 5, rounds: int = 150):
+    def __init__(self, negatives: list[str], seed: int = 5, rounds: int = 60):
+        self.shapes = {f: [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in map(tokens, ts)] for f, ts in TEMPLATES.items()}
+        negatives = [t for t in negatives if self.share(t, [*TEMPLATES]) < CONFIRM]  # licences are none
         rng = np.random.default_rng(seed)
         filler = [w for t in negatives[:500] for w in tokens(t)] or ["lorem", "ipsum", "dolor"]
         xs, ys = [], []
         for y, family in enumerate(TEMPLATES):
             for template in TEMPLATES[family]:
                 words = tokens(template)
-                xs.append(places(words))
+                xs.append(template)
                 ys.append(y)
                 for _ in range(40):
                     own = [w for w in words if rng.random() > 0.1]
                     around = rng.choice(filler, int(rng.integers(0, 12))).tolist()
                     cut = int(rng.integers(0, len(around) + 1))
-                    xs.append(places([*around[:cut], *own, *around[cut:]]))
+                    xs.append(" ".join([*around[:cut], *own, *around[cut:]]))
                     ys.append(y)
-                for _ in range(10):
-                    xs.append(places(rng.permutation(words).tolist()[: max(2, len(words) // 3)]))
+                for _ in range(10 if len(words) > 5 else 0):
+                    xs.append(" ".join(rng.permutation(words).tolist()[: max(2, len(words) // 3)]))
                     ys.append(len(TEMPLATES))
-        held = [places(tokens(t)) for t in negatives[::5]]  # never trained on: they calibrate the limit
-        for i, t in enumerate(negatives):
-            if i % 5:
-                xs.append(places(tokens(t)))
-                ys.append(len(TEMPLATES))
-        rows = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
-        columns = np.concatenate(xs)
-        scale = 1 / np.sqrt(np.maximum([len(x) for x in xs], 1))[rows]
-        y = np.eye(len(FAMILIES))[ys]
+        held = negatives[::5]  # never trained on: they calibrate the limit
+        xs += [t for i, t in enumerate(negatives) if i % 5]
+        ys += [len(TEMPLATES)] * (len(xs) - len(ys))
+        rows, columns = places(xs)
+        order = np.argsort(rows, kind="stable")
+        rows, columns = rows[order], columns[order]
+        size = np.bincount(rows, minlength=len(xs))
+        some = np.flatnonzero(size)
+        begin = np.concatenate(([0], np.cumsum(size[some])[:-1])).astype(np.int64)
+        scale = (1 / np.sqrt(np.maximum(size, 1)))[:, None].astype(np.float32)
+        by_column = np.argsort(columns, kind="stable")
+        used, cuts = np.unique(columns[by_column], return_index=True)
+        turned = rows[by_column]
+        y = np.eye(len(FAMILIES), dtype=np.float32)[ys]
         balance = (1 / np.maximum(y.sum(0), 1))[ys]
         balance *= len(xs) / balance.sum()
-        self.w, self.b, seen = np.zeros((DIM, len(FAMILIES))), np.zeros(len(FAMILIES)), np.full((DIM, len(FAMILIES)), 1e-6)
+        balance = (balance[:, None] / len(xs)).astype(np.float32)
+        w, self.b, seen = np.zeros((DIM, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES)), np.full((len(used), len(FAMILIES)), 1e-6, np.float32)
         for _ in range(rounds):
-            z = np.stack([np.bincount(rows, self.w[columns, c] * scale, len(xs)) for c in range(len(FAMILIES))], 1) + self.b
-            p = np.exp(z - z.max(1, keepdims=True))
-            g = (p / p.sum(1, keepdims=True) - y) * balance[:, None] / len(xs)
-            grad = np.stack([np.bincount(columns, g[rows, c] * scale, DIM) for c in range(len(FAMILIES))], 1) + 1e-6 * self.w
+            z = np.zeros((len(xs), len(FAMILIES)), np.float32)
+            z[some] = np.add.reduceat(w[columns], begin)
+            p = np.exp(z * scale + self.b - (z * scale + self.b).max(1, keepdims=True))
+            g = ((p / p.sum(1, keepdims=True) - y) * balance).astype(np.float32)
+            grad = np.add.reduceat((g * scale)[turned], cuts) + 1e-6 * w[used]
             seen += grad**2
-            self.w -= 0.5 * grad / np.sqrt(seen)
+            w[used] -= 0.5 * grad / np.sqrt(seen)
             self.b -= 0.5 * g.sum(0)
+        self.w = w
         self.limit = 0.5
         if held:
-            self.limit = float(max(0.5, np.quantile([self.probabilities(x)[:-1].max() for x in held], 0.999)))
-        self.shapes = {f: [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in map(tokens, ts)] for f, ts in TEMPLATES.items()}
+            self.limit = float(max(0.5, np.quantile([self.probabilities(t)[:-1].max() for t in held], 0.999)))
 
-    def probabilities(self, at: np.ndarray) -> np.ndarray:
+    def probabilities(self, text: str) -> np.ndarray:
+        _, at = places([text])
         z = self.w[at].sum(0) / np.sqrt(max(len(at), 1)) + self.b
         p = np.exp(z - z.max())
         return p / p.sum()
 
-    def __call__(self, paragraph: str) -> tuple[str, float, float]:
-        """family, probability, share of a template's trigrams."""
+    def share(self, paragraph: str, families: list[str]) -> float:
+        """The largest share of a template's trigrams."""
         words = tokens(paragraph)
-        p = self.probabilities(places(words))
-        best = int(p[:-1].argmax())
         own = {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-        share = max(len(own & t) / len(t) for t in self.shapes[FAMILIES[best]])
-        return (FAMILIES[best] if p[best] >= self.limit and p[best] >= p[-1] else "unknown"), float(p[best]), share
+        return max(len(own & t) / len(t) for f in families for t in self.shapes[f])
+
+    def __call__(self, block: vec.Texts) -> Iterator[tuple[int, int, str, float, float]]:
+        """text, line, family, probability, share of a template's trigrams of each licence."""
+        words, found = grams(block)
+        sums = []
+        for place, at in found:
+            total = np.zeros((len(words) + 1, len(FAMILIES)))
+            total[at + 1] = self.w[place]
+            sums.append(np.cumsum(total, axis=0, out=total))
+        doc, line, n, lo, hi = paragraphs(block, words)
+        a, b = np.searchsorted(words, lo), np.searchsorted(words, hi)
+        z, count = np.zeros((len(a), len(FAMILIES))), np.zeros(len(a), np.int64)
+        for k, total in enumerate(sums):
+            end = np.maximum(b - k, a)
+            z += total[end] - total[a]
+            count += end - a
+        z = z / np.sqrt(np.maximum(count, 1))[:, None] + self.b
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        best = p[:, :-1].argmax(1)
+        top = p[np.arange(len(p)), best]
+        some = []
+        for i in np.flatnonzero((top >= self.limit) & (top >= p[:, -1])).tolist():
+            share = self.share(block.data[lo[i] : hi[i]].tobytes().decode("utf-8", "replace"), [FAMILIES[best[i]]])
+            some.append((int(doc[i]), -share, int(n[i]), -float(top[i]), int(line[i]), FAMILIES[best[i]]))
+        taken: set[tuple[int, int]] = set()
+        for d, share, m, prob, no, family in sorted(some):
+            lines = {(d, no + j) for j in range(m)}
+            if not lines & taken:
+                taken |= lines
+                yield d, no, family, -prob, -share
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", negatives: int = NEGATIVES) -> Classifier:
@@ -117,7 +196,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", negatives
 
 
 def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each paragraph with a licence: id, line_no, family, probability, template_share, confirmed."""
+    """A row for each paragraph with a licence: id, line_no (of its first line), family, probability, template_share, confirmed."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -125,12 +204,9 @@ def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str =
         classify = shared.value
         for batch in batches:
             out = []
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                for no, line in enumerate((t.as_py() or "").split("\n")):
-                    if CUE.search(line):  # no template is without one of these
-                        family, p, share = classify(line)
-                        if family != "unknown":
-                            out.append((i.as_py(), no, family, p, share, share >= CONFIRM))
+            for block in vec.texts(batch.column(1), 1 << 20):
+                for i, no, family, p, share in classify(block):
+                    out.append((batch.column(0)[block.first + i].as_py(), no, family, p, share, share >= CONFIRM))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "line_no", "family", "probability", "template_share", "confirmed"])

@@ -81,6 +81,17 @@ def test_licences(spark):
     assert licences.scan(docs.where("false"), licences.train(docs.where("false"))).count() == 0
 
 
+def test_licences_without_cue_and_wrapped(spark):
+    plain = [f"The committee number {i} met by the river and spoke of boats and weather.\nThen they went home, tired of talk.\n\nThe end of day {i}." for i in range(60)]
+    mit = "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy of this software and\nassociated documentation files"
+    planted = ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND', "some text\n\nDistributed under GPLv3 or later", "CC-BY-4.0", f"A heading\n\n{mit}\n\nmore text"]
+    docs = documents(spark, [*plain, *planted])
+    found = {}
+    for r in licences.scan(docs, licences.train(docs)).collect():
+        found.setdefault(r.doc_id, []).append((r.family, r.line_no, r.confirmed))
+    assert found == {60: [("mit", 0, True)], 61: [("gpl", 2, True)], 62: [("cc-by", 0, True)], 63: [("mit", 2, True)]}
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     calm = [" ".join(rng.choices("river boat green tree walk small house evening".split(), k=30)) for _ in range(80)]
