@@ -5,9 +5,10 @@ blocks of lines between blank ones. Each is scored: word n-grams (one to three w
 punctuation being blank) are hashed into DIM places, and a softmax regression over the families below
 and an `unknown` class adds up their weights, by running sums over the words of a text. It is trained
 with numpy on variations of the templates (words dropped, other words around them) and, for
-`unknown`, on at most NEGATIVES paragraphs of the corpus that share less than CONFIRM of each template, and on shuffled templates. A family is
-predicted if its calibrated probability is at least the limit that keeps all but one in a thousand of
-held-out unknown paragraphs unknown, and confirmed if at least CONFIRM of the template's word trigrams
+`unknown`, on the NEGATIVES different lines of the corpus with the smallest hashes, some of them with the lines
+after them, and on shuffled templates; what shares CONFIRM of a template is left out. A family is
+predicted if its probability is at least the limit that keeps all but one in a thousand of the
+paragraphs unknown that begin at every fifth of those lines, which are not trained on, and confirmed if at least CONFIRM of the template's word trigrams
 are shared. Of paragraphs with lines in common the one with the larger share stays, then the shorter.
 
 Edge cases: null and empty texts, and texts without a match, have no licence; paragraphs of any
@@ -17,6 +18,7 @@ than the id are not read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -40,9 +42,9 @@ TEMPLATES = {
 }
 FAMILIES = [*TEMPLATES, "unknown"]
 DIM, NEGATIVES, CONFIRM, RUN = 1 << 15, 20_000, 0.5, 4
+BATCH, EPOCHS, STEPS = 1000, 4, 60
 TOKEN = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 BLANK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-CUE = re.compile(r"licen|copyright|permission|redistribut|rights reserved|spdx|proprietary", re.I)
 
 
 def tokens(text: str) -> list[str]:
@@ -92,11 +94,13 @@ def paragraphs(block: vec.Texts, words: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Classifier:
-    def __init__(self, negatives: list[str], seed: int = 5, rounds: int = 60):
+    def __init__(self, negatives: list[list[str]], seed: int = 5):
         self.shapes = {f: [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in map(tokens, ts)] for f, ts in TEMPLATES.items()}
-        negatives = [t for t in negatives if self.share(t, [*TEMPLATES]) < CONFIRM]  # licences are none
+        # licences are none: runs end before them
+        clean = lambda lines: self.share("\n".join(lines), [*TEMPLATES]) < CONFIRM
+        negatives = [run if clean(run) else run[:1] for run in negatives if clean(run[:1])]
         rng = np.random.default_rng(seed)
-        filler = [w for t in negatives[:500] for w in tokens(t)] or ["lorem", "ipsum", "dolor"]
+        filler = [w for t in negatives[:500] for w in tokens(t[0])] or ["lorem", "ipsum", "dolor"]
         xs, ys = [], []
         for y, family in enumerate(TEMPLATES):
             for template in TEMPLATES[family]:
@@ -112,43 +116,46 @@ class Classifier:
                 for _ in range(10 if len(words) > 5 else 0):
                     xs.append(" ".join(rng.permutation(words).tolist()[: max(2, len(words) // 3)]))
                     ys.append(len(TEMPLATES))
-        held = negatives[::5]  # never trained on: they calibrate the limit
-        xs += [t for i, t in enumerate(negatives) if i % 5]
+        # every fifth is never trained on and calibrates the limit
+        held = sorted({"\n".join(run[:m]) for run in negatives[::5] for m in range(1, len(run) + 1)})
+        xs += ["\n".join(run[: (1, 1, 1, 2, 1, 1, 1, RUN)[i % 8]]) for i, run in enumerate(negatives) if i % 5]
         ys += [len(TEMPLATES)] * (len(xs) - len(ys))
         rows, columns = places(xs)
-        order = np.argsort(rows, kind="stable")
-        rows, columns = rows[order], columns[order]
         size = np.bincount(rows, minlength=len(xs))
-        some = np.flatnonzero(size)
-        begin = np.concatenate(([0], np.cumsum(size[some])[:-1])).astype(np.int64)
-        scale = (1 / np.sqrt(np.maximum(size, 1)))[:, None].astype(np.float32)
-        by_column = np.argsort(columns, kind="stable")
-        used, cuts = np.unique(columns[by_column], return_index=True)
-        turned = rows[by_column]
         y = np.eye(len(FAMILIES), dtype=np.float32)[ys]
         balance = (1 / np.maximum(y.sum(0), 1))[ys]
         balance *= len(xs) / balance.sum()
-        balance = (balance[:, None] / len(xs)).astype(np.float32)
-        w, self.b, seen = np.zeros((DIM, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES)), np.full((len(used), len(FAMILIES)), 1e-6, np.float32)
-        for _ in range(rounds):
-            z = np.zeros((len(xs), len(FAMILIES)), np.float32)
-            z[some] = np.add.reduceat(w[columns], begin)
-            p = np.exp(z * scale + self.b - (z * scale + self.b).max(1, keepdims=True))
-            g = ((p / p.sum(1, keepdims=True) - y) * balance).astype(np.float32)
-            grad = np.add.reduceat((g * scale)[turned], cuts) + 1e-6 * w[used]
-            seen += grad**2
-            w[used] -= 0.5 * grad / np.sqrt(seen)
+        scale = (1 / np.sqrt(np.maximum(size, 1))).astype(np.float32)
+        # batches of about BATCH paragraphs, drawn once
+        batch_of = rng.permutation(len(xs)) % max(1, len(xs) // BATCH)
+        order = np.lexsort((columns, rows, batch_of[rows]))
+        rows, columns = rows[order], columns[order]
+        ends = np.searchsorted(batch_of[rows], np.arange(batch_of.max() + 2))
+        w, self.b, seen = np.zeros((DIM, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32), np.full((DIM, len(FAMILIES)), 1e-6, np.float32)
+        for k in [*range(len(ends) - 1)] * max(EPOCHS, -(-STEPS // (len(ends) - 1))):
+            of, at = rows[ends[k] : ends[k + 1]], columns[ends[k] : ends[k + 1]]
+            some, begin, own = np.unique(of, return_index=True, return_inverse=True)
+            z = np.add.reduceat(w[at], begin) * scale[some, None] + self.b
+            p = np.exp(z - z.max(1, keepdims=True))
+            g = (p / p.sum(1, keepdims=True) - y[some]) * (balance[some, None] / len(some)).astype(np.float32)
+            by_place = np.argsort(at, kind="stable")
+            used, cuts = np.unique(at[by_place], return_index=True)
+            grad = np.add.reduceat((g * scale[some, None])[own[by_place]], cuts) + 1e-6 * w[used]
+            seen[used] += grad**2
+            w[used] -= 0.5 * grad / np.sqrt(seen[used])
             self.b -= 0.5 * g.sum(0)
         self.w = w
         self.limit = 0.5
         if held:
-            self.limit = float(max(0.5, np.quantile([self.probabilities(t)[:-1].max() for t in held], 0.999)))
+            highest = np.quantile(self.probabilities(held)[:, :-1].max(1), 0.999, method="higher")
+            self.limit = float(max(0.5, np.nextafter(highest, 2)))
 
-    def probabilities(self, text: str) -> np.ndarray:
-        _, at = places([text])
-        z = self.w[at].sum(0) / np.sqrt(max(len(at), 1)) + self.b
-        p = np.exp(z - z.max())
-        return p / p.sum()
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        rows, columns = places(texts)
+        n = np.maximum(np.bincount(rows, minlength=len(texts)), 1)
+        z = np.stack([np.bincount(rows, self.w[columns, c], len(texts)) for c in range(len(FAMILIES))], 1) / np.sqrt(n)[:, None] + self.b
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
     def share(self, paragraph: str, families: list[str]) -> float:
         """The largest share of a template's trigrams."""
@@ -189,10 +196,16 @@ class Classifier:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", negatives: int = NEGATIVES) -> Classifier:
-    lines = docs.select(F.explode(F.split(text, "\n", -1)).alias("line")).where((F.length("line") > 20) & ~F.col("line").rlike("(?i)" + CUE.pattern))
-    n = docs.count()
-    picked = lines.where(F.pmod(F.xxhash64(F.lit(3), "line"), F.lit(1 << 30)) / float(1 << 30) < negatives / max(1, 30 * n)).select(F.substring("line", 1, 2000).alias("line"))
-    return Classifier(sorted({r.line for r in picked.limit(negatives).collect()})[:4000])
+    some = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
+    hashes = docs.select(F.explode(F.transform(some, lambda x: F.xxhash64(F.lit(3), x))).alias("h")).distinct()
+    top = hashes.orderBy("h").limit(negatives).agg(F.max("h")).first()[0]
+    if top is None:
+        return Classifier([])
+    lines = docs.select(F.split(text, "\n", -1).alias("lines"))
+    runs = F.transform("lines", lambda x, i: F.struct(F.xxhash64(F.lit(3), x).alias("h"), F.slice("lines", i + 1, RUN).alias("run")))
+    picked = lines.select(F.explode(F.filter(runs, lambda r: (r["h"] <= top) & (F.trim(r["run"][0]) != ""))).alias("r"))
+    picked = picked.groupBy("r.h").agg(F.min("r.run").alias("run")).orderBy("h").collect()
+    return Classifier([[*itertools.takewhile(str.strip, r.run)] or r.run[:1] for r in picked])
 
 
 def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -92,6 +92,19 @@ def test_licences_without_cue_and_wrapped(spark):
     assert found == {60: [("mit", 0, True)], 61: [("gpl", 2, True)], 62: [("cc-by", 0, True)], 63: [("mit", 2, True)]}
 
 
+def test_licences_negatives_are_of_the_scored_lines(spark, monkeypatch):
+    plain = [f"The committee number {i} met by the river and spoke of boats and weather." for i in range(60)]
+    docs = documents(spark, [*plain, *["He has a driving license and permission to park."] * 5, "Licensed under the Apache License, Version 2.0.", "Zz\n\n "])
+    found = {r.doc_id: r.family for r in licences.scan(docs, licences.train(docs)).collect()}
+    assert found == {65: "apache-2.0"}
+    taken = []
+    monkeypatch.setattr(licences, "Classifier", taken.append)
+    licences.train(docs, negatives=1000)
+    licences.train(docs, negatives=7)
+    every, seven = ([run[0] for run in x] for x in taken)
+    assert sorted(every) == sorted({*plain, "He has a driving license and permission to park.", "Licensed under the Apache License, Version 2.0.", "Zz"}) and seven == every[:7]
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     calm = [" ".join(rng.choices("river boat green tree walk small house evening".split(), k=30)) for _ in range(80)]
