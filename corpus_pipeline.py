@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import jaccard, lines, packing, quality, toxicity
-from quarry.llm.queries import toxic_model
+from quarry.llm.queries import token_lengths, toxic_model
 from quarry.llm.shared import fresh
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,7 +38,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select("doc_id", packing.n_words().alias("n_words")), "n_words")
+    return packing.pack(token_lengths(docs, "n_tokens"), "n_tokens")
 
 
 STAGES = [("quality_rules", quality_rules), ("toxicity", toxic), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard), ("packing", packing_stage)]

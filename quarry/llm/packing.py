@@ -25,11 +25,6 @@ from quarry.llm.shared import stored
 BUCKETS, BUDGET, SHARD = 12, 65_536, 2_000
 
 
-def n_words(text: str = "text") -> Column:
-    """Words [^\\x20\\x09-\\x0D]+ of a text."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-
-
 def _bin(length: str) -> Column:
     """Exact below 64, then 64 bins to each doubling."""
     octave = F.floor(F.log2(F.col(length))).cast("int")

@@ -24,6 +24,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(encoded, ranks, pattern, as_text=False)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def token_lengths(docs: DataFrame, name: str) -> DataFrame:
+    """doc_id and the number of op1's tokens of the text."""
+    encoded = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias(name))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(langid.sample(docs, remainder(3) != 1, "doc_id", "lang", "text"))
@@ -72,8 +78,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", packing.n_words().alias("length"))
-    return packing.pack(docs)
+    return packing.pack(token_lengths(table(spark, sf_dir, "documents"), "length"))
 
 
 QUERIES = {

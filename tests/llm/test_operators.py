@@ -186,6 +186,19 @@ def test_packing(spark):
         assert len(set(own[:-1])) <= 1 and [n for b, n in sorted(batches) if b == k] == list(range(len(own)))
 
 
+def test_packing_counts_tokens(spark, tmp_path):
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    texts = [*ODD, "漢字かな" * 500]
+    docs = documents(spark, texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: len(own.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    assert want[len(texts) - 1] > 100
+    assert {r.doc_id: r.length for r in queries.op10_packing(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.n_tokens for r in corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).collect()} == want
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(900)]
