@@ -186,6 +186,15 @@ def test_packing(spark):
         assert len(set(own[:-1])) <= 1 and [n for b, n in sorted(batches) if b == k] == list(range(len(own)))
 
 
+def test_bounds_of_binned_lengths(spark):
+    rng = random.Random(6)
+    lengths = [rng.randint(65, 3_000) for _ in range(400)]
+    got = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long"), buckets=3).collect()
+    sizes = sorted(set(lengths))
+    bounds = packing.boundaries(np.array(sizes), np.array([lengths.count(n) for n in sizes]), 3)
+    assert sum(r.bound for r in got) <= sum(min(b for b in bounds if b >= n) for n in lengths) * (1 + 1 / 64)
+
+
 def test_packing_counts_tokens(spark, tmp_path):
     import tiktoken
 
