@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[ \t\n\x0B\f\r]+"
+GAP = r"[ \t\x0B\f\r]"
+FENCE = r"(?m)^[ \t\x0B\f\r]*`{3,}"
+
+
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c worked out once even where use() has it in a lambda, which a plain column would not be."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{BLANK}|{BLANK}\z", "")
 
 
 def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, BLANK, " "))
 
 
+def normalize_whitespace(c: Column) -> Column:
+    """Runs of blanks and tabs as one blank; line feeds stay."""
+    return strip(F.regexp_replace(c, r"[ \t]+", " "))
+
+
 def approx_tokens(c: Column) -> Column:
     """A token is about four characters; a text has at least one."""
     return F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("int")
@@ -27,13 +45,14 @@ def chunk_id(text: Column, source: Column, page_start: Column, page_end: Column,
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(normalize_text(c)), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(normalize_text(c)), " "), "")
 
 
 def shingles(c: Column, n: int) -> Column:
     """Distinct runs of n words; fewer words have none."""
-    w = words(c)
-    return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))))
+    run = lambda w, i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: run(w, i)))
+    return bound(words(c), lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(runs(w)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -43,14 +62,100 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"[.!?]+"), lambda s: F.regexp_replace(s, rf"^{BLANK}|{BLANK}$", "")), lambda s: s != "")
+    """Pieces between runs of full stops, exclamation and question marks, without them."""
+    return F.filter(F.transform(F.split(c, r"[.!?]+"), strip), lambda s: s != "")
+
+
+def split_sentences(c: Column) -> Column:
+    """Sentences with their marks: they end before white space and a capital letter or digit."""
+    pieces = F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), r"(?<=[.!?])\s+(?=[A-Z0-9])")
+    return F.filter(F.transform(pieces, strip), lambda s: s != "")
+
+
+# What makes a line a heading.
+HEADINGS = [r"^\s{0,3}#{1,6}\s+\S", r"^\s*[0-9IVXivx]+[.)]\s+\S"]
+LABEL = r"^[A-Z][A-Za-z0-9 ,/&()\-:]{3,}$"
+
+
+def is_heading(line: Column) -> Column:
+    """A markdown header, a numbered line, or a short capitalised line that ends with a colon."""
+    label = (F.length(line) < 120) & line.rlike(LABEL) & F.endswith(strip(line), F.lit(":"))
+    return line.rlike(HEADINGS[0]) | line.rlike(HEADINGS[1]) | label
+
+
+def is_code_fence(line: Column) -> Column:
+    return line.rlike(r"^\s*`{3,}")
+
+
+def is_table_block(block: Column) -> Column:
+    """Two lines or more of which over 2 % of the characters are bars, or that hold a rule line."""
+    lines = lambda b: F.split(b, "\n")
+    size = lambda b: F.length(F.replace(b, F.lit("\n"), F.lit("")))
+    bars = lambda b: F.length(b) - F.length(F.replace(b, F.lit("|"), F.lit("")))
+    return bound(strip(block), lambda b: (F.size(lines(b)) >= 2) & ((bars(b) > 0.02 * F.greatest(F.lit(1), size(b))) | b.rlike(r"(?m)^\s*[-|+:]+\s*$")))
+
+
+def boundary_cleanup(block: Column) -> Column:
+    """Closes an open code fence, and leaves one blank line of several."""
+    open_fence = F.pmod(F.regexp_count(block, F.lit(FENCE)), F.lit(2)) == 1
+    closed = F.when(open_fence, F.concat(block, F.lit("\n```"))).otherwise(block)
+    return strip(F.regexp_replace(closed, r"\n{3,}", "\n\n"))
 
 
 def md_types(c: Column) -> Column:
     """Markdown features of a text, sorted."""
-    kinds = {"blockquote": r"(?m)^>", "code_fence": r"```", "list": r"(?m)^[ \t]*([-*+]|[0-9]+[.])[ \t]", "table": r"(?m)^.*[|].*[|]"}
+    # The pattern of each feature.
+    kinds = {"blockquote": r"(?m)^\s*>\s+", "code_fence": r"```", "list": r"(?m)^\s*[-*+]\s+", "table": r"\|.*\|"}
     return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in kinds.items()]))
 
 
+def front_matter(values: dict[str, Column]) -> Column:
+    """`key: value` lines between `---` lines, in order of the keys; missing values are left out, and nothing is rendered of none."""
+    lines = F.array_compact(F.array(*[F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in sorted(values.items())]))
+    return F.when(F.size(lines) == 0, "").otherwise(F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---")))
+
+
+# Phrases that a policy answer goes without, and what stands for them.
+POLICY_PHRASES = {
+    r"(?i)\b(?:The\s+)?(?:dress\s+code\s+)?policy\s+explicitly\s+": "",
+    r"(?i)\bprohibits\s+the\s+following\s+types?\s+of\s+clothing\s+at\s+the\s+workplace:\s*": "prohibits ",
+}
+
+
+def clean_policy(c: Column) -> Column:
+    for pattern, short in POLICY_PHRASES.items():
+        c = F.regexp_replace(c, pattern, short)
+    return bound(normalize_text(c), lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2))))
+
+
+def truncated(c: Column, most: int, keep: int | None = None) -> Column:
+    """Texts over `most` characters as their first `keep` and an ellipsis (no ellipsis without keep)."""
+    short = F.substring(c, 1, most) if keep is None else F.concat(F.substring(c, 1, keep), F.lit("..."))
+    return F.when(F.length(c) > most, short).otherwise(c)
+
+
+def shown_number(c: Column) -> Column:
+    """Thousands separators and one decimal from 1 on, else three decimals."""
+    return F.when(c >= 1, F.format_number(c, 1)).otherwise(F.format_string("%.3f", c))
+
+
+def title_case(c: Column) -> Column:
+    """A capital after anything that is no letter, small letters else."""
+    return F.array_join(F.transform(F.split(F.lower(c), r"(?<=\P{L})(?=\p{L})"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """With 1e-9 added to the product of the norms, so that zero vectors give 0."""
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
+
+
+def hashed_vector(c: Column, size: int = 64) -> Column:
+    """Counts of the words by hash in `size` places, at unit length: a stand-in for an encoder, not semantic."""
+    place = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long"), F.lit(size)).cast("int")
+    places = F.transform(words(c), place)
+    counts = lambda p: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(p, lambda x: x == i)).cast("double"))
+    return bound(bound(places, counts), lambda v: bound(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import pack, segment
+from quarry.sources.store import Options
 
 
 def _step(size: int, overlap: int) -> int:
@@ -18,30 +20,30 @@ def _starts(length: Column, step: int) -> Column:
     return F.when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(step)))
 
 
-def token_windows(docs: DataFrame, keys: list[str], target: int = 700, overlap: int = 80, least: int = 120, text: str = "text") -> DataFrame:
+def token_windows(docs: DataFrame, keys: list[str], target: int = 700, overlap: int = 80, least: int = 120, text: str = "text", raw: bool = False) -> DataFrame:
     """Windows over pieces of four characters; short ones stay only where they reach the end."""
     step = _step(target, overlap)
     n = F.ceil(F.length(text) / 4).cast("int")
     windows = docs.select(*keys, text, n.alias("n"), F.explode(_starts(n, step)).alias("char_start"))
     windows = windows.withColumn("char_end", F.least(F.col("char_start") + target, F.col("n")))
     windows = windows.where((F.col("char_end") - F.col("char_start") >= least) | (F.col("char_end") == F.col("n")))
-    piece = F.expr(f"substring({text}, char_start * 4 + 1, (char_end - char_start) * 4)")
-    return windows.select(*keys, "char_start", "char_end", T.normalize_text(piece).alias("chunk"))
+    piece = F.substr(text, F.col("char_start") * 4 + 1, (F.col("char_end") - F.col("char_start")) * 4)
+    return windows.select(*keys, "char_start", "char_end", (piece if raw else T.normalize_text(piece)).alias("chunk"))
 
 
-def char_windows(docs: DataFrame, keys: list[str], size: int = 4000, overlap: int = 400, least: int = 120, text: str = "text") -> DataFrame:
+def char_windows(docs: DataFrame, keys: list[str], size: int = 4000, overlap: int = 400, least: int = 120, text: str = "text", raw: bool = False) -> DataFrame:
     """Windows of characters; those with fewer than 4 * least characters when stripped are left out."""
     step = _step(size, overlap)
     windows = docs.select(*keys, text, F.explode(_starts(F.length(text), step)).alias("char_start"))
-    windows = windows.withColumn("piece", F.expr(f"substring({text}, char_start + 1, {size})"))
-    stripped = F.regexp_replace("piece", rf"^{T.BLANK}|{T.BLANK}$", "")
-    return windows.where(F.length(stripped) >= 4 * least).select(*keys, "char_start", (F.col("char_start") + F.length("piece")).alias("char_end"), T.normalize_text(F.col("piece")).alias("chunk"))
+    windows = windows.withColumn("piece", F.substr(text, F.col("char_start") + 1, F.lit(size)))
+    chunk = F.col("piece") if raw else T.normalize_text(F.col("piece"))
+    return windows.where(F.length(T.strip(F.col("piece"))) >= 4 * least).select(*keys, "char_start", (F.col("char_start") + F.length("piece")).alias("char_end"), chunk.alias("chunk"))
 
 
 def chart_sections(docs: DataFrame, keys: list[str], text: str = "text", least: int = 50) -> DataFrame:
     """Sections between blank lines, numbered over all, those of over `least` characters kept."""
     sections = docs.select(*keys, F.posexplode(F.split(text, "\n\n", -1)).alias("section", "piece"))
-    return sections.withColumn("chunk", F.regexp_replace("piece", rf"^{T.BLANK}|{T.BLANK}$", "")).where(F.length("chunk") > least).select(*keys, "section", "chunk")
+    return sections.withColumn("chunk", T.strip(F.col("piece"))).where(F.length("chunk") > least).select(*keys, "section", "chunk")
 
 
 def pages(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -50,3 +52,56 @@ def pages(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 def sentence_rows(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return docs.select(*keys, F.posexplode(T.sentences(F.col(text))).alias("sentence_no", "sentence"))
+
+
+STRATEGIES = ("token", "character", "sentence", "paragraph", "page", "markdown_structure", "semantic_boundary", "recursive_character", "hybrid")
+
+
+def chunked(pages: DataFrame, options: Options | None = None, embed: segment.Embedder | None = T.hashed_vector, overrides: bool = False) -> DataFrame:
+    """Page records (source_name, text, page_start, page_end and metadata, if they have it) as chunks of the schema store.CHUNK.
+
+    An unknown strategy is `token`. The id is worked out from the text, its source, pages and place, before metadata is
+    looked at; with overrides, metadata that has the name of a text column takes its place.
+    """
+    o = options or Options()
+    docs = pages.withColumns({"page_start": F.coalesce("page_start", F.lit(1)), "page_end": F.coalesce("page_end", F.lit(1))})
+    if "metadata" not in docs.columns:
+        docs = docs.withColumn("metadata", F.create_map().cast("map<string,string>"))
+    keys = ["source_name", "page_start", "page_end", "metadata"]
+    text, limits = F.col("text"), {"target": o.target_tokens, "least": o.min_tokens}
+    strategy = o.strategy if o.strategy in STRATEGIES else "token"
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    if strategy == "token":
+        found = token_windows(docs, keys, o.target_tokens, o.overlap_tokens, o.min_tokens, raw=True)
+    elif strategy == "character":
+        found = char_windows(docs, keys, o.char_size, o.char_overlap, o.min_tokens, raw=True)
+    elif strategy == "recursive_character":
+        numbered = docs.withColumn("row", F.monotonically_increasing_id())
+        texts = numbered.select(F.struct("row", *keys).alias("page"), "text").withColumn("page", F.to_json("page"))
+        found = segment.by_recursion(texts, "page", size=o.char_size, overlap=o.char_overlap)
+        found = found.select(F.from_json("page", docs.select(*keys).schema).alias("p"), "char_start", "chunk").select("p.*", "char_start", (F.length("chunk")).alias("char_end"), "chunk")
+    else:
+        arrays = {
+            "sentence": lambda: pack.packed(T.sentences(text), overlap=2, **limits),
+            "paragraph": lambda: pack.packed(F.filter(F.transform(F.split(text, "\n\n", -1), T.strip), lambda p: p != ""), sep="\n\n", **limits),
+            "page": lambda: F.array(text),
+            "markdown_structure": lambda: pack.sections(text),
+            "semantic_boundary": lambda: segment.semantic(text, threshold=o.semantic_threshold, embed=embed, **limits) if embed else pack.packed(T.sentences(text), overlap=2, **limits),
+            "hybrid": lambda: segment.hybrid(text, embed=embed, **limits),
+        }
+        found = docs.select(*keys, F.explode(arrays[strategy]()).alias("c"))
+        fields = found.schema["c"].dataType
+        names = fields.names if hasattr(fields, "names") else []
+        raw = F.col("c.raw") if "raw" in names else F.col("c.chunk") if names else F.col("c")
+        path = F.col("c.section_path") if "section_path" in names else none
+        found = found.select(*keys, raw.alias("chunk"), zero.alias("char_start"), F.length(raw).alias("char_end"), path.alias("section_path"))
+    if "section_path" not in found.columns:
+        found = found.withColumn("section_path", none)
+    rows = found.where("chunk is not null").select(
+        T.normalize_text(F.col("chunk")).alias("text"), "source_name", "page_start", "page_end", T.approx_tokens(F.col("chunk")).alias("tokens"), F.lit(strategy).alias("parser"), F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), "section_path", "metadata"
+    )
+    own = T.chunk_id(*[F.col(c) for c in ("text", "source_name", "page_start", "page_end", "char_start", "char_end")])
+    rows = rows.select(own.alias("id"), F.sha2("text", 256).alias("sha256"), *rows.columns)
+    if overrides:
+        rows = rows.withColumns({c: F.coalesce(F.col("metadata")[c], F.col(c)) for c in ("id", "sha256", "text", "source_name", "parser", "section_path")})
+    return rows

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 
 GAP = r"[ \t\x0B\f\r]"
+#: Fixed value: where a piece that is too long is cut.
+CUT = r"(?<=[,;])\s+|\s{2,}"
 HEADER = rf"{GAP}*(#{{1,6}}){GAP}+"
 
 
@@ -53,7 +55,7 @@ def merged(pieces: Column, target: int = 700, overlap: int = 80, least: int = 12
     The next list opens with the last pieces of together less than `overlap` tokens. Longer pieces
     are cut at commas, semicolons or double blanks, without overlap.
     """
-    cut = lambda p: F.filter(F.split(p, r"(?<=[,;])\s+|\s{2,}"), lambda x: F.trim(x) != "")
+    cut = lambda p: F.filter(F.split(p, CUT), lambda x: F.trim(x) != "")
     long = lambda p: T.approx_tokens(p) > target
     parts = F.flatten(F.transform(pieces, lambda p: F.when(long(p), F.transform(cut(p), lambda x: F.struct(x.alias("p"), F.lit(True).alias("cut")))).otherwise(F.array(F.struct(p.alias("p"), F.lit(False).alias("cut"))))))
 
@@ -91,41 +93,43 @@ def by_paragraphs(docs: DataFrame, keys: list[str], text: str = "text", **limits
 
 def by_merged_sentences(docs: DataFrame, keys: list[str], text: str = "text", **limits: int) -> DataFrame:
     """Sentences end before a blank and a capital letter or digit."""
-    found = F.transform(F.split(F.regexp_replace(text, "\r\n", "\n"), r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: F.regexp_replace(s, rf"^{T.BLANK}|{T.BLANK}$", ""))
-    return rows(docs, keys, F.transform(merged(F.filter(found, lambda s: s != ""), **limits), lambda run: F.array_join(run, " ")))
+    return rows(docs, keys, F.transform(merged(T.split_sentences(F.col(text)), **limits), lambda run: F.array_join(run, " ")))
 
 
 def sections(text: Column) -> Column:
-    """array<struct<chunk, header_level, section_path>> of a markdown text.
+    """array<struct<chunk, header_level, section_path, md_types, raw>> of a markdown text.
 
     A header opens a section under the last header of each lower level; text before the first one
     has level 0. Headers in code fences count too. Blank sections are left out.
     """
     pieces = F.split(text, rf"(?md)^(?={HEADER}\S)")
+    whole = T.bound(pieces, lambda ps: F.transform(ps, lambda p, i: F.when(i < F.size(ps) - 1, F.regexp_replace(p, r"\n\z", "")).otherwise(p)))
     head = F.transform(
-        pieces,
+        whole,
         lambda p: F.struct(
             T.normalize_text(p).alias("chunk"),
             F.length(F.regexp_extract(p, rf"^{HEADER}[^\s]", 1)).alias("level"),
             F.regexp_replace(F.regexp_extract(p, rf"^{HEADER}([^\n]+)", 2), rf"{T.BLANK}$", "").alias("title"),
+            T.md_types(p).alias("types"),
+            p.alias("raw"),
         ),
     )
     empty = F.array().cast("array<struct<level:int,title:string>>")
-    out = F.array().cast("array<struct<chunk:string,header_level:int,section_path:string>>")
+    out = F.array().cast("array<struct<chunk:string,header_level:int,section_path:string,md_types:array<string>,raw:string>>")
 
     def step(a: Column, s: Column) -> Column:
         above = F.filter(a["stack"], lambda x: x["level"] < s["level"])
         stack = F.when(s["level"] > 0, F.concat(above, F.array(F.struct(s["level"].alias("level"), s["title"].alias("title"))))).otherwise(empty)
         path = F.array_join(F.transform(stack, lambda x: x["title"]), " > ")
-        row = F.array(F.struct(s["chunk"].alias("chunk"), s["level"].alias("header_level"), path.alias("section_path")))
+        row = F.array(F.struct(s["chunk"].alias("chunk"), s["level"].alias("header_level"), path.alias("section_path"), s["types"].alias("md_types"), s["raw"].alias("raw")))
         return F.struct(stack.alias("stack"), F.when(s["chunk"] != "", F.concat(a["out"], row)).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(head, F.struct(empty.alias("stack"), out.alias("out")), step, lambda a: a["out"])
 
 
 def by_markdown(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    found = docs.select(*keys, T.md_types(F.col(text)).alias("md_types"), F.posexplode(sections(F.col(text))).alias("chunk_no", "s"))
-    return found.select(*keys, "chunk_no", "s.chunk", "s.header_level", "s.section_path", "md_types")
+    found = docs.select(*keys, F.posexplode(sections(F.col(text))).alias("chunk_no", "s"))
+    return found.select(*keys, "chunk_no", "s.chunk", "s.header_level", "s.section_path", "s.md_types")
 
 
 def first_of_alike(chunks: Column, over: float = 0.8, n: int = 8) -> Column:
@@ -135,15 +139,4 @@ def first_of_alike(chunks: Column, over: float = 0.8, n: int = 8) -> Column:
     def step(kept: Column, x: Column) -> Column:
         return F.when(F.exists(kept, lambda k: T.jaccard(k["set"], x["set"]) > over), kept).otherwise(F.concat(kept, F.array(x)))
 
-    return F.transform(F.aggregate(known, F.filter(known, lambda x: F.lit(False)), step), lambda x: x["c"])
-
-
-def by_hybrid(docs: DataFrame, keys: list[str], text: str = "text", target: int = 700, least: int = 120) -> DataFrame:
-    """Markdown sections; those over 1.5 windows are packed from sentences; then near copies go."""
-    row = lambda c, s: F.struct(c.alias("chunk"), s["section_path"].alias("section_path"))
-    split = F.transform(
-        sections(F.col(text)),
-        lambda s: F.when(T.approx_tokens(s["chunk"]) > 1.5 * target, F.transform(packed(T.sentences(s["chunk"]), target, least, 2), lambda c: row(c, s))).otherwise(F.array(row(s["chunk"], s))),
-    )
-    found = docs.select(*keys, F.posexplode(first_of_alike(F.flatten(split))).alias("chunk_no", "s"))
-    return found.select(*keys, "chunk_no", "s.chunk", "s.section_path")
+    return T.bound(known, lambda k: F.transform(F.aggregate(k, F.slice(k, 1, 0), step), lambda x: x["c"]))

@@ -26,3 +26,24 @@ def corpus_stats(docs: DataFrame, source: str = "source", text: str = "text") ->
         F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"),
         F.round(F.coalesce(F.avg(tokens), F.lit(0.0)), 6).alias("mean_tokens"),
     )
+
+
+def ingest_stats(found: DataFrame, new: DataFrame, source: str = "source_name") -> dict[str, int]:
+    """files, new and skipped of a batch of chunks of which `new` is stored."""
+    every = found.agg(F.countDistinct(source).alias("files"), F.count("*").alias("n")).first()
+    stored = new.count()
+    return {"files": every.files, "new": stored, "skipped": every.n - stored}
+
+
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """As corpus_stats, of stored chunks with their token counts."""
+    tokens = F.coalesce("tokens", F.lit(0))
+    return chunks.agg(F.count("*").alias("chunks"), F.countDistinct(F.coalesce("source_name", F.lit("Unknown"))).alias("sources"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.round(F.coalesce(F.avg(tokens), F.lit(0.0)), 6).alias("mean_tokens"))
+
+
+def union_all(*parts: DataFrame) -> DataFrame:
+    """The chunks of all parts, in one table."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

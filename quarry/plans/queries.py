@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import answer, chunk, ground, pack, search, store
+from quarry.operators import answer, chunk, dedup, ground, pack, policy, search, segment, store
+from quarry.sources.store import Options, fresh
 from quarry.sources.tables import record_lines, table
 
 QUERIES: dict = {}
@@ -29,6 +30,19 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> search.Index:
+    """The index of the documents, stored by the first query of an application that asks for it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _built:
+        path = fresh(spark, "index")
+        search.extend(_docs(spark, d), path)
+        _built[at] = path
+    return search.Index.read(spark, _built[at])
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
@@ -74,12 +88,12 @@ def exact_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT {K}")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.top(search.bm25(_docs(spark, d), ASK), K, "doc_id"))
+    return _rounded(search.top(search.bm25(_index(spark, d), ASK), K, "doc_id"))
 
 
 @query(f"WITH {_BM25}, {_QV}, {_SPARSE} SELECT doc_id, round(score, 6) AS score FROM sp ORDER BY sp.score DESC, doc_id LIMIT {K}")
 def sparse_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.top(search.sparse_cosine(_docs(spark, d), OTHER), K, "doc_id"))
+    return _rounded(search.top(search.sparse_cosine(_index(spark, d), OTHER), K, "doc_id"))
 
 
 def _dense(spark: SparkSession, d: str, score: str) -> DataFrame:
@@ -111,8 +125,8 @@ def dense_l2(spark: SparkSession, d: str) -> DataFrame:
  SELECT doc_id, round(score, 6) AS score FROM u ORDER BY u.score DESC, doc_id LIMIT {K}"""
 )
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return _rounded(search.top(search.rrf([search.bm25(docs, ASK), search.sparse_cosine(docs, OTHER)], "doc_id", n=POOL), K, "doc_id"))
+    index = _index(spark, d)
+    return _rounded(search.top(search.rrf([search.bm25(index, ASK), search.sparse_cosine(index, OTHER)], "doc_id", n=POOL), K, "doc_id"))
 
 
 @query(
@@ -124,8 +138,8 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
  SELECT doc_id, round(score, 6) AS score FROM u ORDER BY u.score DESC, doc_id LIMIT {K}"""
 )
 def alpha_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return _rounded(search.top(search.alpha_fusion(search.sparse_cosine(docs, OTHER), search.bm25(docs, ASK), "doc_id", 0.7, POOL), K, "doc_id"))
+    index = _index(spark, d)
+    return _rounded(search.top(search.alpha_fusion(search.sparse_cosine(index, OTHER), search.bm25(index, ASK), "doc_id", 0.7, POOL), K, "doc_id"))
 
 
 @query(
@@ -184,9 +198,11 @@ def ingest_anti(spark: SparkSession, d: str) -> DataFrame:
     return new.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("""SELECT p_partkey, 'p_size' AS category, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part WHERE p_retailprice IS NOT NULL""")
+@query("""SELECT p_partkey, p_brand || ' - p_size' AS category, p_size::DOUBLE AS value, 'cm' AS unit FROM part
+ UNION ALL SELECT p_partkey, p_brand || ' - p_retailprice', round(p_retailprice, 2), '$' FROM part""")
 def kv_extract(spark: SparkSession, d: str) -> DataFrame:
-    return ground.key_values(record_lines(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"]), "p_partkey", "line")
+    sizes = F.format_string("Sheet: %s\nColumns: p_size | p_retailprice\n\np_size: %d cm\np_retailprice: $%s\nno: colon: 3\n", "p_brand", "p_size", F.format_number("p_retailprice", 2))
+    return ground.key_values(table(spark, d, "part").select("p_partkey", sizes.alias("text")), "p_partkey").drop("line_no")
 
 
 _MD = r"'# ' || source || E'\n## ' || lang || E'\n' || replace(text, E'\n', E'\n### Part\n')"
@@ -195,12 +211,29 @@ _HITS = " + ".join(f"CASE WHEN contains(lower(sentence), '{w}') THEN 2 ELSE 0 EN
 _RULES = " + ".join(f"CASE WHEN regexp_matches(lower(sentence), '{p}') THEN {n} ELSE 0 END" for p, n in (answer.HOURS_PATTERNS | answer.POLICY_PATTERNS).items())
 
 
-@query()
+_FILLED = lambda parts: f"list_filter(list_transform({parts}, lambda x: trim(x, E' \\t\\n\\x0B\\f\\r')), lambda x: x <> '')"
+
+
+def _packed_sql(parts: str, overlap: int, sep: str) -> str:
+    """Windows by recursion: piece i opens a new one where the sum of the tokens would exceed 700."""
+    return f"""WITH RECURSIVE p AS (SELECT doc_id, {_FILLED(parts)} AS l FROM documents),
+ t AS (SELECT doc_id, l, list_transform(l, lambda x: greatest(1, length(x) // 4)) AS t FROM p WHERE len(l) > 0),
+ r AS (SELECT doc_id, 1 AS i, 1 AS start, t[1]::BIGINT AS n, 0 AS done_from, 0 AS done_to FROM t
+ UNION ALL SELECT r.doc_id, i + 1, CASE WHEN n + t[i + 1] > 700 THEN greatest(start, i + 1 - {overlap}) ELSE start END,
+ CASE WHEN n + t[i + 1] > 700 THEN list_sum(t[greatest(start, i + 1 - {overlap}):i + 1])::BIGINT ELSE n + t[i + 1] END,
+ CASE WHEN n + t[i + 1] > 700 THEN start ELSE 0 END, CASE WHEN n + t[i + 1] > 700 THEN i ELSE 0 END FROM r JOIN t USING (doc_id) WHERE i < len(t)),
+ w AS (SELECT doc_id, done_from AS a, done_to AS b FROM r WHERE done_to > 0 UNION ALL SELECT r.doc_id, start, i FROM r JOIN t USING (doc_id) WHERE i = len(t)),
+ c AS (SELECT doc_id, b, array_to_string(l[a:b], {sep}) AS chunk FROM w JOIN t USING (doc_id)),
+ k AS (SELECT * FROM c WHERE greatest(1, length(chunk) // 4) >= 120)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1)::INT AS chunk_no, chunk FROM k"""
+
+
+@query(_packed_sql("regexp_split_to_array(text, '[.!?]+')", 2, "' '"))
 def chunk_sentence(spark: SparkSession, d: str) -> DataFrame:
     return pack.by_sentences(_docs(spark, d), ["doc_id"])
 
 
-@query()
+@query(_packed_sql("string_split(text, E'\\n')", 0, "E'\\n\\n'"))
 def chunk_paragraph(spark: SparkSession, d: str) -> DataFrame:
     return pack.by_paragraphs(_docs(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), ["doc_id"])
 
@@ -214,14 +247,24 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n### Part\n"))).alias("text"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, unnest(string_split({_MD}, E'\n')) AS line, unnest(range(1, len(string_split({_MD}, E'\n')) + 1)) AS no FROM documents),
+ h AS (SELECT *, regexp_extract(trim(line, E' \t\x0B\f\r'), '^(#{{1,6}})[ \t\x0B\f\r]+[^ \t]', 1) AS marks FROM d),
+ g AS (SELECT *, sum((marks <> '')::INT) OVER (PARTITION BY doc_id ORDER BY no) AS sec FROM h),
+ s AS (SELECT doc_id, sec, max(length(marks))::INT AS level, trim(regexp_replace(first(line ORDER BY no), '^[ \t]*#+[ \t]+', '')) AS title, string_agg(line, E'\n' ORDER BY no) AS body FROM g GROUP BY 1, 2),
+ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec) AS i FROM s),
+ r AS (SELECT doc_id, i, level, CASE WHEN level > 0 THEN [{{'l': level, 't': title}}] ELSE [] END AS stack, body FROM n WHERE i = 1
+ UNION ALL SELECT n.doc_id, n.i, n.level, list_concat(list_filter(r.stack, lambda x: x.l < n.level), [{{'l': n.level, 't': n.title}}]), n.body FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1),
+ k AS (SELECT *, trim(regexp_replace(body, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS chunk FROM r)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_no, chunk, level AS header_level, array_to_string(list_transform(stack, lambda x: x.t), ' > ') AS section_path,
+ list_filter([CASE WHEN regexp_matches(body, '(?m)^\s*>\s+') THEN 'blockquote' END, CASE WHEN contains(body, '```') THEN 'code_fence' END, CASE WHEN regexp_matches(body, '(?m)^\s*[-*+]\s+') THEN 'list' END, CASE WHEN regexp_matches(body, '\|.*\|') THEN 'table' END], lambda x: x IS NOT NULL) AS md_types
+ FROM k WHERE chunk <> ''""")
 def chunk_markdown(spark: SparkSession, d: str) -> DataFrame:
     return pack.by_markdown(_markdown(spark, d), ["doc_id"])
 
 
 @query()
 def chunk_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return pack.by_hybrid(_markdown(spark, d), ["doc_id"])
+    return segment.by_hybrid(_markdown(spark, d), ["doc_id"])
 
 
 @query(
@@ -237,7 +280,7 @@ def answer_sentences(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return answer.answer(search.top(search.bm25(docs, _POLICY), K, "doc_id").join(docs.select("doc_id", "text"), "doc_id"), _POLICY)
+    return answer.answer(search.top(search.bm25(_index(spark, d), _POLICY), K, "doc_id").join(docs.select("doc_id", "text"), "doc_id"), _POLICY)
 
 
 @query(
@@ -246,7 +289,7 @@ def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
 )
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    best = search.top(search.bm25(docs, ASK), K, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    best = search.top(search.bm25(_index(spark, d), ASK), K, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
     return answer.within_budget(best).select("doc_id", "upto")
 
 
@@ -256,7 +299,7 @@ def _sums(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_mktsegment AS id, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS category, round(sum(c_acctbal))::DOUBLE AS value, '' AS unit FROM customer GROUP BY c_mktsegment HAVING round(sum(c_acctbal)) > 0")
 def numbers_label(spark: SparkSession, d: str) -> DataFrame:
-    return ground.numbers(_sums(spark, d), "id", kinds=("label",)).drop("time_period")
+    return ground.numbers(_sums(spark, d), "id", kinds=("label",)).drop("time_period", "line_no")
 
 
 @query("""WITH q AS (SELECT 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) AS time_period, round(sum(o_totalprice)) AS value FROM orders GROUP BY 1) SELECT time_period, value::DOUBLE AS value FROM q WHERE value > 0""")
@@ -271,6 +314,197 @@ def numbers_all(spark: SparkSession, d: str) -> DataFrame:
     return ground.numbers(_docs(spark, d))
 
 
-@query()
+@query("""WITH p AS (SELECT upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS category, round(sum(c_acctbal))::DOUBLE AS value FROM customer GROUP BY c_mktsegment HAVING round(sum(c_acctbal)) > 0)
+ SELECT '| Category | Value | Unit |' || chr(10) || '|----------|-------|------|' || chr(10) || string_agg('| ' || category || ' | ' || format('{:,.1f}', value) || ' |  |', chr(10) ORDER BY value DESC, category) AS "table" FROM p""")
 def numbers_table(spark: SparkSession, d: str) -> DataFrame:
     return ground.markdown_table(ground.numbers(_sums(spark, d), "id", kinds=("label",)))
+
+
+@query(rf"""SELECT doc_id, trim(regexp_replace(text, '[ \t]+', ' ', 'g'), E' \t\n\x0B\f\r') AS text FROM documents""")
+def whitespace(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, E'\r\n', E'\n'), '([.!?])[\s\x0B]+([A-Z0-9])', E'\\1\x01\\2', 'g'), E'\x01'), lambda x: trim(x, E' \t\n\x0B\f\r')), lambda x: x <> '') AS l FROM documents)
+ SELECT doc_id, unnest(range(0, len(l)))::INT AS sentence_no, unnest(l) AS sentence FROM s""")
+def sentences_kept(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("sentence_no", "sentence"))
+
+
+_HEADING = r"(regexp_matches(line, '^\s{0,3}#{1,6}\s+\S') OR regexp_matches(line, '^\s*[0-9IVXivx]+[.)]\s+\S') OR (length(line) < 120 AND regexp_matches(line, '^[A-Z][A-Za-z0-9 ,/&()\-:]{3,}$') AND ends_with(trim(line), ':')))"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split({_MD}, E'\n')) AS line, unnest(range(0, len(string_split({_MD}, E'\n'))))::INT AS line_no FROM documents)
+ SELECT doc_id, line_no, {_HEADING} AS heading, regexp_matches(line, '^\s*`{{3,}}') AS fence FROM l""")
+def line_kinds(spark: SparkSession, d: str) -> DataFrame:
+    lines = _markdown(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", T.is_heading(F.col("line")).alias("heading"), T.is_code_fence(F.col("line")).alias("fence"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(t, E'\n')) AS line, unnest(range(0, len(string_split(t, E'\n')))) AS no FROM (SELECT doc_id, trim(regexp_replace({_MD}, '[ \t]+', ' ', 'g'), E' \t\n\x0B\f\r') AS t FROM documents)),
+ g AS (SELECT *, sum({_HEADING}::INT) OVER (PARTITION BY doc_id ORDER BY no) AS sec, {_HEADING} AS head FROM l),
+ s AS (SELECT doc_id, sec, coalesce(max(trim(trim(line, '# '), E' \t\n\x0B\f\r')) FILTER (WHERE head), 'Document') AS section, trim(string_agg(line, E'\n' ORDER BY no) FILTER (WHERE NOT head), E' \t\n\x0B\f\r') AS body FROM g GROUP BY 1, 2)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INT AS section_no, section, body FROM s WHERE body IS NOT NULL""")
+def sections(spark: SparkSession, d: str) -> DataFrame:
+    return segment.by_headings(_markdown(spark, d), ["doc_id"])
+
+
+@query("""SELECT doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || '---' AS front, CASE WHEN length(text) > 100 THEN substring(text, 1, 97) || '...' ELSE text END AS short FROM documents""")
+def front_matter(spark: SparkSession, d: str) -> DataFrame:
+    front = T.front_matter({"source": F.col("source"), "lang": F.col("lang"), "missing": F.lit(None).cast("string")})
+    return _docs(spark, d).select("doc_id", front.alias("front"), T.truncated(F.col("text"), 100, 97).alias("short"))
+
+
+@query("""WITH p AS (SELECT p_partkey, lower(replace(p_name, ' ', '-') || ' o''neil 3rd') AS t FROM part)
+ SELECT p_partkey, array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(t[i - 1], '[a-z]') THEN upper(t[i]) ELSE t[i] END), '') AS title FROM p""")
+def title_case(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", T.title_case(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(" o'neil 3rd"))).alias("title"))
+
+
+_TURN = "list_filter(string_split(lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), ' '), lambda w: w <> '')"
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {_TURN} AS w FROM conversations),
+ s AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM w),
+ p AS (SELECT conv_id, turn, s, lead(s) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM s)
+ SELECT conv_id, turn, round(CASE WHEN len(s) = 0 AND len(n) = 0 THEN 1.0 ELSE len(list_intersect(s, n)) / len(list_distinct(list_concat(s, n)))::DOUBLE END, 6) AS alike FROM p WHERE n IS NOT NULL""")
+def jaccard_turns(spark: SparkSession, d: str) -> DataFrame:
+    sets = table(spark, d, "conversations").select("conv_id", "turn", T.shingles(F.col("text"), 2).alias("s"))
+    pairs = sets.withColumn("n", F.lead("s").over(Window.partitionBy("conv_id").orderBy("turn"))).where("n is not null")
+    return pairs.select("conv_id", "turn", F.round(T.jaccard(F.col("s"), F.col("n")), 6).alias("alike"))
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+ SELECT vec_id, round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q)) + 1e-9), 6) AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q""")
+def cosines(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    first = vectors.agg(F.min_by("embedding", "vec_id").alias("q"))  # one row
+    return vectors.join(F.broadcast(first)).select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents),
+ b AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 7))::BIGINT % 64 AS b, count(*) AS n FROM w GROUP BY 1, 2),
+ q AS (SELECT ('0x' || substr(md5(w), 1, 7))::BIGINT % 64 AS b, count(*) AS n FROM (SELECT unnest({_LIST(ASK)}) AS w) GROUP BY 1),
+ s AS (SELECT doc_id, sum(b.n * q.n) / (SELECT sqrt(sum(n * n)) FROM q) AS dot FROM b JOIN q USING (b) GROUP BY 1), m AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1)
+ SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, round(coalesce(dot / norm, 0.0), 9) AS score FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id)) x ORDER BY x.score DESC, doc_id LIMIT {K}""")
+def semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    vectors = _docs(spark, d).select("doc_id", T.hashed_vector(F.col("text")).alias("vector"))
+    asked = spark.range(1).select(T.hashed_vector(F.lit(ASK)).alias("v")).first()[0]
+    scores = search.dense(vectors, list(asked), "doc_id", "vector").withColumn("score", F.round("score", 9))
+    return _rounded(search.top(scores, K, "doc_id"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, coalesce({_NORM}, '') AS text, source, text AS raw FROM documents WHERE text IS NOT NULL)
+ SELECT sha256(text || '-' || source || '-1-1-0-' || length(raw)) AS id, sha256(text) AS sha256, text, source AS source_name, 1 AS page_start, 1 AS page_end, greatest(1, length(raw) // 4)::INT AS tokens, 'page' AS parser, 0 AS char_start, length(raw)::INT AS char_end FROM c""")
+def chunk_schema(spark: SparkSession, d: str) -> DataFrame:
+    pages = _docs(spark, d).select("text", F.col("source").alias("source_name"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    return chunk.chunked(pages, Options(strategy="page")).drop("section_path", "metadata")
+
+
+@query("""WITH f AS (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY 1)
+ SELECT doc_id AS "rank", '[ID:' || substring(sha256(doc_id::VARCHAR), 1, 8) || '] ' || source || ' — pages 1–2 | section: -' AS reference FROM f""")
+def references(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _docs(spark, d).select(F.sha2(F.col("doc_id").cast("string"), 256).alias("id"), F.col("source").alias("source_name"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"), F.lit(None).cast("string").alias("section_path"), F.col("doc_id").alias("rank"))
+    return answer.references(chunks, "rank")
+
+
+@query("""WITH f AS (SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2)
+ SELECT doc_id AS "rank", doc_id::VARCHAR AS id, source AS source_name, lang AS page_start, '1' AS page_end, '-' AS section FROM f""")
+def distinct_sources(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    chunks = _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("source_name"), F.col("lang").alias("page_start"), none.alias("page_end"), none.alias("section_path"), F.col("doc_id").alias("rank"))
+    return answer.distinct_sources(chunks, "rank")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, conv_id::VARCHAR || '-' || turn AS id, text FROM conversations),
+ n AS (SELECT conv_id, 'merged_' || id AS id, array_to_string(list(text) OVER w, chr(10) || chr(10)) AS text, list(id) OVER w AS merged_from FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+ SELECT conv_id, id, text, merged_from, greatest(1, length(text) // 4)::INT AS tokens FROM n""")
+def remerged(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("chunk"))
+    return segment.remerged(turns, "conv_id", "turn", most=10**6)
+
+
+_CONTEXT = "Employees must be in by 9:45 AM and may leave at 6:15 PM, Monday to Friday. The policy is designed to be fair. They must have completed their probationary period and have a consistent record of performance"
+_POLICIES = [
+    ("which clothing does the dress code prohibit", "casual tops, jeans", "The dress code prohibits casual tops and jeans."),
+    ("which clothing does the dress code prohibit", "ripped clothing, jeans and casual tops", "The dress code prohibits ripped clothing of any sort, casual tops, and jeans."),
+    ("what does the dress code prohibit", "nothing named here", "Nothing named here"),
+    ("what are the working hours", _CONTEXT, "Working hours are 9:45 AM to 6:15 PM on Monday, Friday."),
+    ("what are the working hours", "no times", "no times"),
+    (
+        "who is eligible",
+        _CONTEXT,
+        "**Eligibility Criteria:**\n\n• Employees must be in by 9:45 AM and may leave at 6:15 PM, Monday to Friday\n• They must have completed their probationary period and have a consistent record of performance",
+    ),
+    (
+        "who is eligible for wfh",
+        _CONTEXT,
+        "**The eligibility criteria for Work From Home (WFH) at the company are as follows:**\n\n1. Employees must have completed their probationary period and must have a consistent record of performance that meets or exceeds expectations.",
+    ),
+    ("who is eligible for wfh", "at the discretion of a lead", "**WFH Eligibility Criteria:**\n\n✓ Subject to company requirements and management discretion"),
+    ("outline wfh by role and probation", "On probation for 3 months; completed probation counts", "**Probation Status:**\n• Must complete 3-month probationary period\n• Probationary period must be successfully completed"),
+    ("summarize", "The policy is designed to be fair. Short", "**Key Points:**\n\n• The policy is designed to be fair"),
+    ("anything else", "the policy explicitly  allows this", "Allows this"),
+]
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_QUOTED(x[2])})" for i, x in enumerate(_POLICIES)) + ") t(case_id, answer)")
+def policy_answers(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, q, t) for i, (q, t, _) in enumerate(_POLICIES)], "case_id int, query string, text string")
+    forms = F.coalesce(*[F.when(F.col("query") == q, policy.formatted(F.col("text"), q)) for q in dict.fromkeys(q for q, _, _ in _POLICIES)])
+    return rows.select("case_id", forms.alias("answer"))
+
+
+_NUMBERS = [
+    ("Office hours 9:00 AM to 11:30 AM", [("Weekday Working Hours", None, 2.5, "hours")]),
+    ("Working hours: 9:45 AM to 6:15 PM", [("Weekday Working Hours", None, 8.5, "hours"), ("Working Hours", None, 9.0, "")]),
+    ("21 days annual leave", [("Annual Leave", None, 21.0, "days")]),
+    ("45% completion rate", [("Completion Rate", None, 45.0, "%")]),
+    ("$1,250,000 revenue", [("Revenue", None, 1250000.0, "$")]),
+    ("Q1 2023: 1500\nsection: 12 units something", [(None, "Q1 2023", 1500.0, "")]),
+]
+_CELL = lambda x: "NULL::VARCHAR" if x is None else _QUOTED(x) if isinstance(x, str) else f"{x}::DOUBLE"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(_CELL, p))})" for i, (_, found) in enumerate(_NUMBERS) for p in found) + ") t(case_id, category, time_period, value, unit)")
+def numbers_stated(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_NUMBERS)], "case_id int, text string")
+    return ground.numbers(rows, "case_id", fix_meridiem=True).drop("line_no")
+
+
+@query("""WITH p AS (SELECT 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) AS t, round(sum(o_totalprice)) AS v, min(o_orderdate) AS at FROM orders GROUP BY 1)
+ SELECT 'time_period,value,unit' || chr(10) || string_agg(t || ',' || v::BIGINT || '.0,', chr(10) ORDER BY t) AS csv FROM p""")
+def numbers_csv(spark: SparkSession, d: str) -> DataFrame:
+    points = numbers_period(spark, d).select(F.lit(None).cast("string").alias("category"), "time_period", "value", F.lit("").alias("unit"))
+    return ground.csv(points, ["time_period"])
+
+
+@query("""SELECT CASE WHEN p_size < 20 THEN 'cm' ELSE 'mm' END AS unit, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, unit LIMIT 1""")
+def modal_unit(spark: SparkSession, d: str) -> DataFrame:
+    return ground.modal_unit(table(spark, d, "part").select(F.when(F.col("p_size") < 20, "cm").otherwise("mm").alias("unit")))
+
+
+@query()
+def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
+    return segment.by_semantic(_docs(spark, d), ["doc_id"])
+
+
+@query()
+def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
+    return segment.by_recursion(_docs(spark, d), "doc_id")
+
+
+@query()
+def chunk_standalone(spark: SparkSession, d: str) -> DataFrame:
+    return segment.standalone(_markdown(spark, d), ["doc_id"])
+
+
+@query()
+def boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", segment.boundaries(T.split_sentences(F.col("text"))).alias("places"))
+
+
+@query()
+def near_dup_greedy(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.greedy(_docs(spark, d), "source", "doc_id")

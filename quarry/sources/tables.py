@@ -1,4 +1,4 @@
-"""Tables in, text lines and chunk files out."""
+"""Tables in, and their cells as text lines."""
 
 from __future__ import annotations
 
@@ -20,8 +20,3 @@ def record_lines(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """source_name, text of whole text or markdown files."""
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_name"), F.col("value").alias("text"))
-
-
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """One JSON object a chunk, added to what is there."""
-    chunks.write.mode("append").json(path)

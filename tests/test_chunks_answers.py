@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from quarry.operators import answer, ground, pack
+from quarry.operators import answer, ground, pack, segment
 from quarry.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -45,14 +45,15 @@ def test_merged_overlap_and_cut(spark):
 def test_markdown_paths(spark):
     docs = frame(spark, "before\n# A\na\n## B\nb\n### C\nc\n## D\nd\n#no\n", "", None)
     got = [(r.chunk, r.header_level, r.section_path) for r in pack.by_markdown(docs, ["doc_id"]).orderBy("doc_id", "chunk_no").collect()]
+    assert [r.md_types for r in pack.by_markdown(frame(spark, "# A\n- x\n# B\nplain"), ["doc_id"]).orderBy("chunk_no").collect()] == [["list"], []]
     assert got == [("before", 0, ""), ("# A a", 1, "A"), ("## B b", 2, "A > B"), ("### C c", 3, "A > B > C"), ("## D d #no", 2, "A > D")]
 
 
 def test_hybrid_drops_later_copies(spark):
     body = " ".join(f"word{i}" for i in range(20))
-    got = [r.section_path for r in pack.by_hybrid(frame(spark, f"# A\n{body}\n# B\nother words\n# C\n{body}"), ["doc_id"]).orderBy("chunk_no").collect()]
+    got = [r.section_path for r in segment.by_hybrid(frame(spark, f"# A\n{body}\n# B\nother words\n# C\n{body}"), ["doc_id"]).orderBy("chunk_no").collect()]
     assert got[:2] == ["A", "B"]
-    assert pack.by_hybrid(frame(spark, f"{body}\n# x\nshort\n# y\nalso short"), ["doc_id"]).count() == 2
+    assert segment.by_hybrid(frame(spark, f"{body}\n# x\nshort\n# y\nalso short"), ["doc_id"]).count() == 2
 
 
 def test_answer(spark):
@@ -91,6 +92,7 @@ def test_numbers(spark, text, fix, want):
 def test_table_and_chart(spark):
     points = ground.numbers(frame(spark, "Q1 2023: 1500\nQ2 2023: 1700\n45% completion rate"))
     assert ground.markdown_table(points).first().table.splitlines()[2:] == ["| Q2 2023 | 1,700.0 |  |", "| Q1 2023 | 1,500.0 |  |"]
-    assert ground.chart(points)["mark"] == "line"
-    assert ground.chart(points.where("time_period is null"), "donut")["mark"] == {"type": "arc", "innerRadius": 50}
+    rows = [r.asDict() for r in points.orderBy("line_no").collect()]
+    assert ground.chart(rows)["mark"]["type"] == "line"
+    assert ground.chart([r for r in rows if not r["time_period"]], "Donut Chart")["mark"] == {"type": "arc", "innerRadius": 50}
     assert ground.markdown_table(points.where("false")).first().table.startswith("No tabular data")
