@@ -55,7 +55,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.removed(table(spark, sf_dir, "documents"), chars=lines.NEAR_CHARS)
+    return lines.removed(table(spark, sf_dir, "documents"), chars=lines.NEAR_CHARS).drop("doc")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,18 +12,30 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is set.
+    Only where that is unset and all work is done in this process (a local master), as in tests, a temporary
+    folder is set. On a cluster a missing setting is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     set_to = spark.sparkContext.getCheckpointDir()
     if not where and not set_to:
-        set_to = where = tempfile.mkdtemp(prefix="quarry-shared-")
-        spark.sparkContext.setCheckpointDir(where)
-    elif not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="quarry-shared-")
+    if not set_to:
         spark.sparkContext.setCheckpointDir(where)
     return where or set_to
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as make it differ from all that are taken."""
+    lower, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def fresh(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/quarry-{what}-{uuid.uuid4().hex}"

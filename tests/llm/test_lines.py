@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quarry.llm import lines
 
 
@@ -52,7 +54,9 @@ def test_brute_force(spark):
 
 def test_texts(spark):
     df = spark.createDataFrame([(1, "one two three four five\nx", "s"), (2, "one two three four five", "s"), (3, "y\none two three six five\n", "s"), (4, None, "s")], "doc_id long, text string, gone string")
-    got = {r.doc_id: (r.text, r.lines_removed) for r in lines.dedup_lines(df.drop("gone")).collect()}
+    df = df.withColumns({c: F.col("gone") for c in ("doc", "h", "first", "g")})
+    got = {r.doc_id: (r.text, r.lines_removed) for r in lines.dedup_lines(df).collect()}
+    assert lines.dedup_lines(df).columns == [*df.columns, "lines_removed"]
     assert got == {1: ("one two three four five\nx", 0), 2: ("", 1), 3: ("y\n", 1), 4: (None, 0)}
 
 
@@ -95,3 +99,12 @@ def test_every_line_and_bound(spark):
     few = [r for r in rows if r[0] is None or not 10 <= r[0] < 100]
     got = {(r.doc_id, r.line_no) for r in lines.removed(spark.createDataFrame(few, "doc_id long, text string"), chars=20, edits=2).collect()}
     assert got == brute_every(few, 20, 2) and (202, 0) in got
+
+
+def test_null_and_repeated_ids(spark):
+    line = "one two three four five"
+    rows = [(None, f"{line}\nown line of the first text here"), (None, f"another text begins with its own line\n{line}"), (4, f"{line}\nzz"), (4, f"yy\n{line}"), (4, f"yy\n{line}")]
+    got = sorted((str(r.doc_id), r.text) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    every = "\n".join(t for _, t in got).split("\n")
+    assert every.count(line) == 1 and every.count("zz") == 1 and every.count("yy") == 2
+    assert every.count("own line of the first text here") == every.count("another text begins with its own line") == 1
