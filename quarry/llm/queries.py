@@ -59,7 +59,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from quarry.llm import jaccard
 
 
@@ -58,3 +60,16 @@ def test_brute_force(spark, monkeypatch, seed, k, num, part):
 
 def test_empty_table(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), 3, 90, 100).count() == 0
+
+
+def test_rows_are_told_apart(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join([*words[:59], "x"]), "some other words that stand alone"
+    rows = [(None, a), (None, c), (7, b), (7, c + " too many"), (7, b), (8, "alone here it stays for ever"), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t1", F.lit("clash")).withColumn("node", F.lit(1))
+    got = jaccard.jaccard_components(df, 3, 80, 100).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted([("None", 58, "7"), ("None", 4, "None"), ("7", 58, "7"), ("7", 6, "7"), ("7", 58, "7"), ("8", 4, "8"), ("9", 0, "9"), ("9", 0, "9")])
+    kept = jaccard.first_of_each(df, 3, 80, 100)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("None", c), ("7", b), ("7", c + " too many"), ("8", "alone here it stays for ever")])
+    assert jaccard.first_of_each(df.where("false"), 3, 80, 100).count() == 0
