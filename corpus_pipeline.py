@@ -32,9 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the stage before has emptied carry nothing on and go as well."""
-    groups = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    first = groups.where("doc_id = component_id and n_shingles > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    return jaccard.first_of_each(docs.select(*COLUMNS), k=5, num=80, den=100)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
