@@ -50,6 +50,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 _NORM = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 _WORDS = f"list_filter(string_split(lower({_NORM}), ' '), lambda w: w <> '')"
 _LIST = lambda q: "[" + ", ".join(f"'{w}'" for w in q.split()) + "]"
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
 _BM25 = f"""w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
  p AS (SELECT doc_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, len(words) AS dl, unnest(words) AS term FROM w) GROUP BY 1, 2),
  n AS (SELECT count(*) AS n_docs, avg(len(words)) AS avgdl FROM w),
@@ -238,7 +239,17 @@ def chunk_paragraph(spark: SparkSession, d: str) -> DataFrame:
     return pack.by_paragraphs(_docs(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), ["doc_id"])
 
 
-@query()
+_KEPT = r"""list_filter(list_transform(string_split(regexp_replace(replace(text, E'\r\n', E'\n'), '([.!?])[\s\x0B]+([A-Z0-9])', E'\\1\x01\\2', 'g'), E'\x01'), lambda x: trim(x, E' \t\n\x0B\f\r')), lambda x: x <> '')"""
+
+
+@query(rf"""WITH RECURSIVE p AS (SELECT doc_id, {_KEPT} AS l FROM documents),
+ x AS (SELECT doc_id, flatten(list_transform(l, lambda s: CASE WHEN length(s) // 4 > 700 THEN list_transform(list_filter(string_split(regexp_replace(regexp_replace(s, '([,;])[\s\x0B]+', E'\\1\x01', 'g'), '[\s\x0B]{{2,}}', E'\x01', 'g'), E'\x01'), lambda y: trim(y) <> ''), lambda y: {{'p': y, 'cut': true}}) ELSE [{{'p': s, 'cut': false}}] END)) AS x FROM p),
+ t AS (SELECT doc_id, list_transform(x, lambda y: y.p) AS p, list_transform(x, lambda y: y.cut) AS c, list_transform(x, lambda y: greatest(1, length(y.p) // 4)) AS t FROM x WHERE len(x) > 0),
+ r AS (SELECT doc_id, 1 AS i, 1 AS start, t[1]::BIGINT AS n, 0 AS done_from, 0 AS done_to FROM t
+ UNION ALL SELECT doc_id, i + 1, begin, CASE WHEN over THEN list_sum(t[begin:i + 1])::BIGINT ELSE n + t[i + 1] END, CASE WHEN over THEN start ELSE 0 END, CASE WHEN over THEN i ELSE 0 END FROM (
+ SELECT *, CASE WHEN NOT over THEN start WHEN c[i + 1] THEN i + 1 ELSE i + 1 - len(list_filter(range(1, i - start + 2), lambda k: list_sum(t[i - k + 1:i]) < 80)) END AS begin FROM (SELECT r.*, t.t, t.c, n + t.t[i + 1] > 700 AND n >= 120 AS over FROM r JOIN t USING (doc_id) WHERE i < len(t.t)))),
+ w AS (SELECT doc_id, done_from AS a, done_to AS b FROM r WHERE done_to > 0 UNION ALL SELECT r.doc_id, start, i FROM r JOIN t USING (doc_id) WHERE i = len(t.t))
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1)::INT AS chunk_no, array_to_string(p[a:b], ' ') AS chunk FROM w JOIN t USING (doc_id)""")
 def chunk_merged(spark: SparkSession, d: str) -> DataFrame:
     return pack.by_merged_sentences(_docs(spark, d), ["doc_id"])
 
@@ -309,7 +320,25 @@ def numbers_period(spark: SparkSession, d: str) -> DataFrame:
     return ground.numbers(lines.select("id", F.concat_ws(": ", "id", "n").alias("text")), "id", kinds=("period",)).select("time_period", "value")
 
 
-@query()
+def _points_sql(kind: str) -> str:
+    """The points of a kind from lines; patterns and limits are those of ground."""
+    pattern, value, category, unit, least = ground.PATTERNS[kind]
+    group = lambda n: f"regexp_extract_all(line, {_QUOTED(pattern)}, {n})"
+    units = group(unit) if unit else f"list_transform({group(value)}, lambda v: '')"
+    label = "trim(regexp_replace(c, '[\\s\\x0B]', ' ', 'g'))"
+    title = f"array_to_string(list_transform(string_split(lower({label}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+    one = "trim(regexp_replace(c, '[\\s\\x0B]+', ' ', 'g'))"
+    fine = f"length({one if kind == 'general' else label}) >= {least}" if kind != "period" else "true"
+    if kind == "general":
+        fine += "".join(f" AND NOT contains(lower({one}), {_QUOTED(x)})" for x in ground.SKIPPED)
+    name, time = ("NULL::VARCHAR", "trim(c)") if kind == "period" else (title, "NULL::VARCHAR")
+    return f"""SELECT doc_id, line_no, {name} AS category, {time} AS time_period, v AS value, {"lower(u)" if kind in ("leave", "general") else "u"} AS unit FROM (
+ SELECT doc_id, line_no, unnest({group(category)}) AS c, replace(unnest({group(value)}), ',', '')::DOUBLE AS v, unnest({units}) AS u FROM l) WHERE v > 0 AND {fine}"""
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, unnest(range(0, len(string_split(text, E'\n'))))::INT AS line_no FROM documents),
+ p AS ({" UNION ALL ".join(map(_points_sql, ground.PATTERNS))})
+ SELECT doc_id, trim(regexp_replace(category, ' +', ' ', 'g')) AS category, time_period, value, unit, min(line_no)::INT AS line_no FROM p GROUP BY doc_id, p.category, time_period, value, unit""")
 def numbers_all(spark: SparkSession, d: str) -> DataFrame:
     return ground.numbers(_docs(spark, d))
 
@@ -446,9 +475,6 @@ _POLICIES = [
     ("summarize", "The policy is designed to be fair. Short", "**Key Points:**\n\n• The policy is designed to be fair"),
     ("anything else", "the policy explicitly  allows this", "Allows this"),
 ]
-_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
-
-
 @query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_QUOTED(x[2])})" for i, x in enumerate(_POLICIES)) + ") t(case_id, answer)")
 def policy_answers(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(i, q, t) for i, (q, t, _) in enumerate(_POLICIES)], "case_id int, query string, text string")
