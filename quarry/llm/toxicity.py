@@ -117,13 +117,21 @@ def features(weight: np.ndarray, hits: np.ndarray, words: np.ndarray) -> np.ndar
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60) -> np.ndarray:
-    """Newton's method; few rows stay near CURVE."""
+    """Newton's method with halved steps; few rows stay near CURVE."""
     start = np.array(CURVE)
     w = start.copy()
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * ((w - start) ** 2).sum())
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * (w - start))
+        now = loss(w)
+        while loss(w + step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
         w += step
         if np.abs(step).max() < 1e-8:
             break
