@@ -4,7 +4,9 @@ Writing: records go to gzip members in files of about FILE bytes below a folder
 executors share. Each attempt of a task writes files of its own name, and only what a finished
 attempt returns enters the index, so a lost executor leaves an unreferenced file at worst. Payloads
 that occur more than once are stored once: the record with the largest id is the response, the
-others revisit it. The index has file, offset, length, URL and digest per record.
+others revisit it. Which record that is gets known by hash before any payload moves: the digests that
+repeat are broadcast where they are few, else those of over HOT records are, and payloads are joined with the rest
+by shuffle. The index has file, offset, length, URL and digest per record.
 
 Reading: the selected index rows are grouped by file, sorted by offset, and ranges whose gap is
 small are read in one piece of at most PIECE bytes (longer records by themselves).
@@ -31,6 +33,10 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import fresh, stored
 
 FILE, PIECE, GAP = 64 << 20, 8 << 20, 64 << 10
+#: So many repeated digests (100 bytes each) are broadcast at most; more are joined by shuffle, but for those of over HOT records.
+BROADCAST_ROWS, HOT = 300_000, 10_000
+#: Names of a scheme that the Arrow file systems know by another.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://"}
 VERSION, DATE = "WARC/1.1", "2000-01-01T00:00:00Z"
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string"
 
@@ -68,6 +74,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 def _store(uri: str):
     from pyarrow import fs
 
+    for hadoop, arrow in SCHEMES.items():
+        uri = uri.replace(hadoop, arrow, 1) if uri.startswith(hadoop) else uri
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
@@ -76,9 +84,16 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     folder = fresh(pages.sparkSession, "warc")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
     ids = rows.select("page_id", "sha")
-    copies = ids.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last")
-    # only narrow rows meet the copies by hash; the html waits for its row where copies are many
-    joined = rows.join(copies, "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("last")), None).otherwise(F.col("last")).alias("refers_to"))
+    copies = stored(ids.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1"), "warc-copies")
+    if copies.count() <= BROADCAST_ROWS:
+        named = rows.join(F.broadcast(copies.select("sha", "last")), "sha", "left")
+    else:
+        total = copies.agg(F.sum("n")).first()[0]
+        often = F.col("n") > max(HOT, total // BROADCAST_ROWS)  # of those there are BROADCAST_ROWS at most
+        hot = rows.join(F.broadcast(copies.where(often).select("sha", F.struct("last").alias("hot"))), "sha", "left")
+        others = hot.where("hot is null").join(copies.where(~often).select("sha", "last"), "sha", "left")
+        named = hot.where("hot is not null").withColumn("last", F.col("hot.last")).unionByName(others).drop("hot")
+    joined = named.select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("last")), None).otherwise(F.col("last")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
@@ -157,6 +172,8 @@ def read(index: DataFrame, payload: bool = False) -> DataFrame:
         if rows:
             yield from fetched(*now, rows)
 
-    # pieces of a file go to tasks of their own; ranges within a piece lie side by side
+    # pieces of a file go to tasks of their own, as many as the bytes to read ask for; ranges within a piece lie side by side
     picked = index.select("folder", "file", F.expr(f"offset div {PIECE}").alias("piece"), "offset", "length")
-    return picked.repartition("file", "piece").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+    size = picked.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, min(-(-size // (1 << 20)), 64), -(-size // FILE))
+    return picked.repartition(tasks, "file", "piece").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
