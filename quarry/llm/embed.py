@@ -13,7 +13,8 @@ recall = 1 - (1 - p^planes)^tables with p = 1 - acos(threshold) / pi.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows
 without a label, link with nothing and are kept; vectors of different lengths do not link; repeated
-rows of one id count as one vector; empty tables give empty results; other columns are not read.
+rows of one id and vector count as one vector, and rows of one id with different vectors as several, whose links are
+summed and whose component is the smallest; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def codes(vectors: np.ndarray, planes: int, tables: int) -> np.ndarray:
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
-    v = np.stack([np.frombuffer(r, np.float64) for r in raw])
+    v = np.stack([np.frombuffer(r[1:], np.float32 if r[:1] == b"f" else np.float64) for r in raw]).astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow of the squares
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
@@ -85,55 +86,60 @@ def _bucket_pairs(rows: list[tuple], table: int, two: bool, threshold: float) ->
 
 def near_vectors(df: DataFrame, threshold: float = 0.98, recall: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of df."""
-    spark = df.sparkSession
-    kind = df.schema[vec_id].dataType.simpleString()
-    v = F.col(embedding).cast("array<double>")
+    single = df.schema[embedding].dataType.simpleString() == "array<float>"
+    v = F.col(embedding).cast("array<float>" if single else "array<double>")
     fine = F.coalesce(F.size(v) > 0, F.lit(False)) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(vec_id).alias("id"), v.alias("v"), F.col(label).cast("string").alias("label"))
-    valid = rows.where(fine & F.col("label").isNotNull() & F.col("id").isNotNull()).dropDuplicates(["id"])
+    valid = rows.where(fine & F.col("label").isNotNull() & F.col("id").isNotNull())
     # -0.0 equals 0.0
-    keyed = valid.select("id", "label", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).withColumns({"h1": F.xxhash64("label", "v"), "h2": F.xxhash64(F.lit(5), "label", "v")})
-    keyed = stored(keyed, "vectors")
-    classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    reps = keyed.join(classes, ["h1", "h2"]).where("id = rep").select("id", "label", "v", "weight")
-
-    planes = planes_for(keyed.count())
+    same = F.transform("v", lambda x: x + F.lit(0.0).cast("float" if single else "double"))
+    keyed = stored(valid.select("id", "label", same.alias("v")).withColumns({"h1": F.xxhash64("label", "v"), "h2": F.xxhash64(F.lit(5), "label", "v")}), "vectors")
+    members = keyed.select("id", "h1", "h2").distinct()
+    classes = members.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    # numbers are drawn when the table is written, once for each class
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    reps = keyed.join(classes.withColumnRenamed("rep", "id"), ["h1", "h2", "id"]).select("node", "label", "v", "weight").dropDuplicates(["node"])
+
+    planes = planes_for(classes.count())
     tables = tables_for(planes, threshold, recall)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for lo in range(0, big.num_rows, 2000):
                 batch = big.slice(lo, 2000)
-                vectors = [np.array(x, np.float64) for x in batch.column(2).to_pylist()]
+                column, ends = batch.column("v"), np.concatenate(([0], np.cumsum(batch.column("v").value_lengths().to_numpy())))
+                flat = column.flatten().to_numpy()
+                vectors = [flat[x:y] for x, y in zip(ends, ends[1:], strict=False)]
                 code: list = [None] * len(vectors)
                 for d in {len(x) for x in vectors}:
                     at = [i for i, x in enumerate(vectors) if len(x) == d]
-                    for i, c in zip(at, codes(np.stack([vectors[i] for i in at]), planes, tables), strict=True):
+                    for i, c in zip(at, codes(np.stack([vectors[i] for i in at]).astype(np.float64), planes, tables), strict=True):
                         code[i] = c.tolist()
-                yield pa.RecordBatch.from_pydict(
-                    {"id": batch.column(0), "label": batch.column(1), "weight": batch.column(3), "d": pa.array([len(x) for x in vectors], pa.int32()), "codes": pa.array(code, pa.list_(pa.int64())), "vector": pa.array([x.tobytes() for x in vectors], pa.binary())}
-                )
+                kept = {c: batch.column(c) for c in ("node", "label", "weight")}
+                raw = [(b"f" if single else b"d") + x.tobytes() for x in vectors]
+                yield pa.RecordBatch.from_pydict(kept | {"d": pa.array([len(x) for x in vectors], pa.int32()), "codes": pa.array(code, pa.list_(pa.int64())), "vector": pa.array(raw, pa.binary())})
 
-    signs = stored(reps.mapInArrow(signed, f"id {kind}, label string, weight long, d int, codes array<long>, vector binary"), "signs")
-    slots = signs.select("*", F.posexplode("codes").alias("table", "code"))
+    signs = stored(reps.mapInArrow(signed, "node long, label string, weight long, d int, codes array<long>, vector binary"), "signs")
+    # narrow rows find the buckets of more than one; only for those do vectors move
+    slots = signs.select("node", "label", "d", F.posexplode("codes").alias("table", "code"))
     bucket = ["label", "d", "table", "code"]
     counted = slots.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1").withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
-    inside = slots.join(counted, bucket).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    inside = slots.join(counted, bucket).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # part p meets every part q: the task of (p, q) has p <= q, and q = p is the part by itself
     met = inside.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("id", "weight", "codes", "vector", "table", F.col("part").alias("side"), (F.col("part") != F.col("q")).alias("two"), F.xxhash64(*bucket, F.least("part", "q"), F.greatest("part", "q")).alias("task"))
+    met = met.select("node", "table", F.col("part").alias("side"), (F.col("part") != F.col("q")).alias("two"), F.xxhash64(*bucket, F.least("part", "q"), F.greatest("part", "q")).alias("task"))
+    met = met.join(signs.select("node", "weight", "codes", "vector"), "node")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(rows: list[tuple], table: int, two: bool) -> pa.RecordBatch:
             count, found = _bucket_pairs(rows, table, two, threshold)
             at = np.flatnonzero(count)
-            ids = [rows[i][0] for i in at]
-            return pa.RecordBatch.from_pydict({"a": pa.array(ids + [rows[i][0] for i, _ in found], ids_kind), "b": pa.array([None] * len(ids) + [rows[j][0] for _, j in found], ids_kind), "n": pa.array(count[at].tolist() + [0] * len(found), pa.int64())})
+            nodes = [rows[i][0] for i in at]
+            return pa.RecordBatch.from_pydict({"a": pa.array(nodes + [rows[i][0] for i, _ in found], pa.int64()), "b": pa.array([None] * len(nodes) + [rows[j][0] for _, j in found], pa.int64()), "n": pa.array(count[at].tolist() + [0] * len(found), pa.int64())})
 
-        now, rows, ids_kind = None, [], None
+        now, rows = None, []
         for batch in batches:
-            ids_kind = batch.schema.field("id").type
-            for task, table, two, *row in zip(*(batch.column(c).to_pylist() for c in ("task", "table", "two", "id", "weight", "codes", "vector", "side")), strict=True):
+            for task, table, two, *row in zip(*(batch.column(c).to_pylist() for c in ("task", "table", "two", "node", "weight", "codes", "vector", "side")), strict=True):
                 if now != (task, table, two):
                     if len(rows) > 1:
                         yield close(rows, *now[1:])
@@ -142,11 +148,13 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, recall: float = 0.98, v
         if len(rows) > 1:
             yield close(rows, *now[1:])
 
-    found = stored(met.repartition("task").sortWithinPartitions("task").mapInArrow(joined, f"a {kind}, b {kind}, n long"), "links")
-    direct = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    linked = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    by_class = classes.join(direct, "rep", "left").join(linked, "rep", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    named = keyed.select("id", "h1", "h2").join(by_class, ["h1", "h2"]).select("id", "n_links", "component_id")
+    found = stored(met.repartition("task").sortWithinPartitions("task").mapInArrow(joined, "a long, b long, n long"), "links")
+    direct = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    linked = components(found.where("b is not null").select("a", "b"))
+    least = linked.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "component").select("node", "least")
+    by_class = classes.join(direct, "node", "left").join(linked, "node", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    named = members.join(by_class, ["h1", "h2"]).groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = df.select(F.col(vec_id).alias("id")).join(named, "id", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
