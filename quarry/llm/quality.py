@@ -2,17 +2,18 @@
 
 Four measures of each document, in thousandths, are sketched by (lang, source): symbols a word,
 characters a word, share of repeated lines, share of words in repeated three-word windows. The
-sketch is a histogram of fixed resolution: an associative sum of counts, so it merges in any order,
-gives the same thresholds in any partitioning, and its quantiles are exact to a thousandth below
-CAP. A measure fails beyond the fence q75 + 3 (q75 - q25) + slack (characters a word also below
-q25 - 3 (q75 - q25) - slack). Sketches of fewer than `least` documents are merged into that of their
+sketch is a quantile sketch of counts in bins of constant relative width, 64 to a doubling, without an upper
+end: an associative sum, so it merges in any order, gives the same thresholds in any partitioning, and
+has quantiles within 1/64; a group has at most some hundred bins a measure. A measure fails beyond the fence
+q75 + 3 (q75 - q25) + slack (characters a word also below q25 - 3 (q75 - q25) - slack), all read as the
+lower ends of their bins. Sketches of fewer than `least` documents are merged into that of their
 language, and those of small languages into that of all documents. Documents that fail the base
 rules (fewer than 50 words, or over half of the words in repeated windows) are rejected whatever the
 thresholds, and stay out of the sketches.
 
 Edge cases: a null or empty text has no word and fails the base rule; null lang and null source are
 groups of their own; repeated rows are judged each; empty tables give empty results; columns with
-the names of the measures are replaced.
+the names of the counts, of base_failed or of kept are replaced, all others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import vec
+from quarry.llm.shared import free, stored
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Measure: numerator, denominator, slack in thousandths, whether low values fail too.
@@ -35,7 +37,7 @@ RULES = {
     "dup_lines": ("n_dup_lines", "n_lines", 400, False),
     "repeats": ("n_repeat_words", "n_words", 300, False),
 }
-CAP, LEAST, SPREAD = 20_000, 100, 3
+LEAST, SPREAD, BITS = 100, 3, 7
 MIN_WORDS = 50
 #: Thresholds of up to so many groups (a few MB) are broadcast; more are joined by shuffle.
 BROADCAST_GROUPS = 20_000
@@ -69,7 +71,7 @@ def counts(block: vec.Texts) -> dict[str, np.ndarray]:
 
 
 def measure(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """Adds the counts, base_failed, and each measure in thousandths (null without a word)."""
+    """Adds the counts and base_failed."""
     kept = [f for f in df.schema.fields if f.name not in COUNTS and (keep_text or f.name != text)]
     schema = T.StructType(kept + [T.StructField(n, T.LongType()) for n in COUNTS])
 
@@ -81,13 +83,20 @@ def measure(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
                 yield pa.RecordBatch.from_pydict(found | {k: pa.array(v) for k, v in counts(block).items()})
 
     out = df.mapInArrow(run, schema)
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return out.withColumns({f"m_{m}": F.when(F.col(d) > 0, F.least(F.expr(f"({n} * 1000) div {d}"), F.lit(CAP).cast("long"))) for m, (n, d, _, _) in RULES.items()})
+    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
+def binned(m: str) -> Column:
+    """A measure in thousandths as the lower end of its bin; null without a word."""
+    n, d = RULES[m][:2]
+    value = F.when(F.col(d) > 0, F.expr(f"({n} * 1000) div {d}"))
+    shift = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
 def sketches(measures: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, measure, value, n: counts of the values of each group's documents."""
-    long = F.stack(F.lit(len(RULES)), *[x for m in RULES for x in (F.lit(m), F.col(f"m_{m}"))]).alias("measure", "value")
+    """g_lang, g_source, measure, value, n: counts of the values of each group's documents."""
+    long = F.stack(F.lit(len(RULES)), *[x for m in RULES for x in (F.lit(m), binned(m))]).alias("measure", "value")
     return measures.where(~F.col("base_failed")).select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), long).groupBy("g_lang", "g_source", "measure", "value").agg(F.count("*").alias("n"))
 
 
@@ -117,15 +126,19 @@ def thresholds(sketch: DataFrame, least: int = LEAST) -> DataFrame:
 
 def judged(measures: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Adds kept. limits is broadcast only if it has at most BROADCAST_GROUPS rows."""
-    spark = measures.sparkSession
+    spark, spelled = measures.sparkSession, limits.columns
     rows = limits.limit(BROADCAST_GROUPS + 1).collect()
     if len(rows) <= BROADCAST_GROUPS:
         limits = F.broadcast(spark.createDataFrame(rows, limits.schema))
-    joined = measures.join(limits, F.col(lang).eqNullSafe(F.col("g_lang")) & F.col(source).eqNullSafe(F.col("g_source")), "left")
+    columns = [c for c in measures.columns if c != "kept"]
+    groups = free(columns, *limits.columns)
+    limits = limits.toDF(*groups)
+    at = dict(zip(spelled, groups, strict=True))
+    joined = measures.join(limits, F.col(lang).eqNullSafe(F.col(at["g_lang"])) & F.col(source).eqNullSafe(F.col(at["g_source"])), "left")
     fine = F.lit(True)
     for m in RULES:
-        fine = fine & F.coalesce(F.col(f"m_{m}").between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & fine).drop(*limits.columns, *[f"m_{m}" for m in RULES])
+        fine = fine & F.coalesce(binned(m).between(F.col(at[f"low_{m}"]), F.col(at[f"high_{m}"])), F.lit(True))
+    return joined.select(*columns, (~F.col("base_failed") & fine).alias("kept"))
 
 
 def quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST, keep_text: bool = True) -> DataFrame:
@@ -134,8 +147,6 @@ def quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
     The texts are measured twice where they are kept, once for the sketches and once for the
     verdict, so that no text is shuffled.
     """
-    from quarry.llm.shared import stored
-
     narrow = df.select(*dict.fromkeys(c for c in ([text, lang, source] if keep_text else df.columns)))
     measures = measure(narrow, text, keep_text=False)
     if keep_text:

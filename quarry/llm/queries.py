@@ -87,7 +87,8 @@ QUERIES = {
     for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_embedding_near_dedup, op8_quality_rules, op9_warc, op10_packing)
 }
 
-_SHARES = {m: f"least({n} * 1000 // nullif({d}, 0), {quality.CAP})" for m, (n, d, _, _) in quality.RULES.items()}
+_SHARES = {m: f"({n} * 1000 // nullif({d}, 0))" for m, (n, d, _, _) in quality.RULES.items()}
+_SHARES = {m: f"({e} >> greatest(length(bin({e})) - {quality.BITS}, 0)) << greatest(length(bin({e})) - {quality.BITS}, 0)" for m, e in _SHARES.items()}
 _QUANTILES = "count(*) AS n, " + ", ".join(f"quantile_disc(m_{m}, {q}) AS {m}_{k}" for m in quality.RULES for k, q in (("a", 0.25), ("b", 0.75)))
 
 
