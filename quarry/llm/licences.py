@@ -9,7 +9,7 @@ with numpy on variations of the templates (words dropped, other words around the
 after them, and on shuffled templates; what shares CONFIRM of a template is left out. A family is
 predicted if its probability is at least the limit that keeps all but one in a thousand of the
 paragraphs unknown that begin at every fifth of those lines, which are not trained on, and confirmed if at least CONFIRM of the template's word trigrams
-are shared. Of paragraphs with lines in common the one with the larger share stays, then the shorter.
+are shared. Of fewer than three words only what is confirmed is a licence. Of paragraphs with lines in common the one with the larger share stays, then the shorter.
 
 Edge cases: null and empty texts, and texts without a match, have no licence; paragraphs of any
 length are whole; repeated rows are scanned each; empty tables give empty results; other columns
@@ -38,6 +38,15 @@ TEMPLATES = {
     "lgpl": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"],
+    "agpl": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Licensed under the GNU Affero General Public License version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "zlib": ["In no event will the authors be held liable for any damages arising from the use of this software.", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "SPDX-License-Identifier: Zlib"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "CC0 1.0 Universal Public Domain Dedication", "SPDX-License-Identifier: CC0-1.0"],
+    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "proprietary": ["All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved."],
 }
 FAMILIES = [*TEMPLATES, "unknown"]
@@ -186,6 +195,8 @@ class Classifier:
         some = []
         for i in np.flatnonzero((top >= self.limit) & (top >= p[:, -1])).tolist():
             share = self.share(block.data[lo[i] : hi[i]].tobytes().decode("utf-8", "replace"), [FAMILIES[best[i]]])
+            if share < CONFIRM and b[i] - a[i] < 3:
+                continue
             some.append((int(doc[i]), -share, int(n[i]), -float(top[i]), int(line[i]), FAMILIES[best[i]]))
         taken: set[tuple[int, int]] = set()
         for d, share, m, prob, no, family in sorted(some):

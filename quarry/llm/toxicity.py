@@ -10,7 +10,8 @@ phrase do not count.
 Entries are learned from labelled rows: beginnings of LOW to HIGH letters of words, whole words of two
 letters or more, and runs of two to four characters of scripts without spaces. One is taken if
 its toxic share is at least PRECISION and the rows that have it speak for that by EVIDENCE nats against
-the share of all rows, at any size of the table; of nested beginnings the shortest stays. The words of LEXICON are
+the share of all rows, at any size of the table. A beginning gives way to a longer one that nine tenths of its rows
+have; of those that are left and nested the shortest stays. The words of LEXICON are
 there from the start, those that labelled rows speak against go. The curve is fitted on every
 fourth labelled row, by a hash of its text; the entries are learned from the others. What is learned from
 is bounded by SAMPLE, a documented parameter: about so many labelled rows, those with small hashes of their ids.
@@ -184,8 +185,11 @@ def learn(rows: DataFrame) -> dict:
         against = {r.key for r in found if r.key in lexicon and r.pos < PRECISION * (r.pos + r.neg) and r.pos + r.neg >= 8}
         lexicon = {k: v for k, v in lexicon.items() if k not in against}
         good = {r.key: math.log((r.pos + 0.5) / toxic / ((r.neg + 0.5) / clean)) for r in found if r.key not in against and r.pos >= PRECISION * (r.pos + r.neg)}
+        rows_of = {r.key: r.pos + r.neg for r in found}
         begins = {k for k in good if not k.endswith(" ")}
-        lexicon |= {k: v for k, v in good.items() if not any(k[:i] in begins for i in range(LOW, len(k)))}
+        begins -= {k[:i] for k in begins for i in range(LOW, len(k)) if k[:i] in begins and rows_of[k] >= 0.9 * rows_of[k[:i]]}
+        whole = {k for k in good if k.endswith(" ")}
+        lexicon |= {k: good[k] for k in begins | whole if not any(k[:i] in begins for i in range(LOW, len(k)))}
     model = {"lexicon": lexicon, "curve": np.array(CURVE)}
     if sizes.get((True, 0)) and sizes.get((True, 1)):
         matched = score(rows.where("aside").select("text", "y"), model).select("y", "weight", "hits", "words").toPandas()
