@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import jaccard, lines, packing, quality, toxicity
 from quarry.llm.queries import token_lengths, toxic_model
-from quarry.llm.shared import fresh
+from quarry.llm.shared import dropped, fresh
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -44,9 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            dropped(spark, before)
+        before = docs
     return docs
