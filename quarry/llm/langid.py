@@ -1,13 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models (operator 2).
 
 Each language has a model of five characters. The counts of its 5-grams come from a sample of its
-labelled rows: about SAMPLE rows with the smallest hashes of their ids (the documented bound of
-what is fitted). All lower orders follow from the distinct 5-grams, as Kneser-Ney asks. A gram is
+labelled rows: about SAMPLE rows with the smallest hashes of their ids, of LONGEST bytes at most where it has such
+(fewer rows each where there are over ROWS / SAMPLE languages; both are the documented bound of what is
+fitted, and no language is left out). All lower orders follow from the distinct 5-grams, as Kneser-Ney asks. A gram is
 packed in 64 bits (its order and 12 bits a character), mixed to a hash, and kept in one sorted
 array per language beside its log probability and back-off weight. The language with the lowest
 cross-entropy per character wins; a text whose cross-entropy lies beyond the limit of that
-language, calibrated on every eighth row of the sample (rows that the models do not count), is
-marked `rejected`.
+language is marked `rejected`. The limit is the cross-entropy that all but REJECTED of the rows set aside of that
+language keep to (every eighth row of the sample, which the models do not count). Case is folded character by character,
+so a text's prediction is its own.
 
 Edge cases: null text, and text without a letter, is `und` with score 0 and is not rejected;
 without any labelled row every text is `und`; ids and sources are never inputs; repeated rows are
@@ -30,7 +32,7 @@ from quarry.llm import vec
 from quarry.llm.shared import stored
 
 ORDER, BITS = 5, 12
-SAMPLE, MAX_LANGS = 2000, 256
+SAMPLE, ROWS, LONGEST, REJECTED = 2000, 64_000, 1 << 16, 0.005
 BLOCK = 2 << 20
 #: Characters beyond which a longer text makes a prediction no surer.
 SURE = 60
@@ -42,14 +44,12 @@ def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     White space, digits and punctuation are one symbol each, so models hold letters and gaps.
     """
-    text = data.tobytes().decode("utf-8", "replace").lower()
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lead = np.concatenate(([0], np.cumsum(vec.LEADING[data])))
-    first = lead[offsets]
-    if len(code) != lead[-1]:  # lower() may lengthen a text: then fold ASCII only
-        code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.where((code >= 65) & (code <= 90), code + 32, code)
+    code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.concatenate(([0], np.cumsum(vec.LEADING[data])))[offsets]
     values, inverse = np.unique(code, return_inverse=True)
+    # a letter whose lower case is longer stands for itself
+    lower = [chr(v).lower() for v in values.tolist()]
+    values = np.array([ord(x) if len(x) == 1 else v for x, v in zip(lower, values.tolist(), strict=True)], np.uint32)
     alpha = np.array([chr(v).isalpha() for v in values.tolist()], bool) if len(values) else np.empty(0, bool)
     folded = np.where(values < 4096, values, (vec.mix(values.astype(np.uint64)) & np.uint64(2047)).astype(np.uint32) + 2048)
     folded = np.where(alpha, folded, np.where(np.isin(values, [32, 9, 10, 11, 12, 13]), 1, 2)).astype(np.uint64)
@@ -138,10 +138,13 @@ def entropies(models: list[Model], grams: np.ndarray, first: np.ndarray) -> np.n
 def sample(docs: DataFrame, train: Column, doc_id: str, lang: str, text: str) -> DataFrame:
     """lang, text, aside: about SAMPLE labelled rows of each language, those with small hashes of their ids."""
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS)
+    short = F.octet_length(text) <= LONGEST
+    sizes = rows.groupBy(F.col(lang).alias("l")).agg(F.count(F.when(short, 1)).alias("short"), F.count("*").alias("n")).collect()  # a row a language
+    each = max(20, min(SAMPLE, ROWS // max(1, len(sizes))))
+    known = docs.sparkSession.createDataFrame([(r.l, each / max(1, r.short or r.n), r.short == 0) for r in sizes], "l string, share double, long boolean")
     place = F.pmod(F.xxhash64(F.lit(5), F.col(doc_id)), F.lit(1 << 30)) / float(1 << 30)
-    known = docs.sparkSession.createDataFrame(sizes.collect(), sizes.schema)  # MAX_LANGS rows at most
-    return rows.join(F.broadcast(known), F.col(lang) == F.col("l")).where(place * F.col("n") < SAMPLE).select(F.col("l").alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.lit(6), F.col(doc_id)), F.lit(8)) == 0).alias("aside"))
+    picked = rows.join(F.broadcast(known), F.col(lang) == F.col("l")).where((place < F.col("share")) & (short | F.col("long")))
+    return picked.select(F.col("l").alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.lit(6), F.col(doc_id)), F.lit(8)) == 0).alias("aside"))
 
 
 def train(rows: DataFrame) -> dict:
@@ -168,16 +171,15 @@ def train(rows: DataFrame) -> dict:
         models.append(Model(g[order], c[order]))
     fitted = {"langs": langs, "models": models, "limits": [np.inf] * len(langs)}
     if langs:
-        # limits: mean and deviation of the cross-entropy of rows set aside, by language and length class
-        own = F.col("lang") == F.col("lang_pred")
-        seen = {r.lang: r for r in predict(rows.where("aside"), fitted).where(own & F.col("entropy").isNotNull()).groupBy("lang").agg(F.avg("entropy").alias("m"), F.stddev_pop("entropy").alias("s")).collect()}
-        fitted["limits"] = [seen[x].m + 4 * seen[x].s + 0.25 if x in seen else np.inf for x in langs]
+        own = (F.col("lang") == F.col("lang_pred")) & F.col("entropy").isNotNull()
+        seen = {r.lang: r.limit for r in predict(rows.where("aside"), fitted).where(own).groupBy("lang").agg(F.percentile("entropy", 1 - REJECTED).alias("limit")).collect()}
+        fitted["limits"] = [seen.get(x, np.inf) for x in langs]
     return fitted
 
 
 def predict(docs: DataFrame, fitted: dict, text: str = "text", keep_text: bool = False) -> DataFrame:
     """All columns (the text if so asked), lang_pred, score, entropy (nats a character) and rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded by SAMPLE and MAX_LANGS
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded by ROWS and LONGEST
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     kept = [f for f in docs.schema.fields if f.name not in {x.name for x in new} and (keep_text or f.name != text)]
 
