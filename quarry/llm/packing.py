@@ -1,8 +1,10 @@
 """Packing by optimal length buckets (operator 10).
 
-One global histogram of lengths (64 bins an octave, so at most a few thousand rows, each with the
-number, the sum and the largest of its lengths) reaches the driver. A dynamic programme chooses the
-at most `buckets` upper bounds among the bins' largest lengths that minimise total padding. In each
+One global histogram of lengths (exact below EXACT, then EXACT / 2 bins an octave, so at most some ten thousand
+rows, each with the number and the largest of its lengths) reaches the driver. A dynamic programme chooses the
+at most `buckets` upper bounds among the bins' largest lengths that minimise total padding: the
+optimum for lengths below EXACT, above it within 2 / EXACT. Its best cuts move one way only (the cost is
+Monge), so each layer takes n log n steps. In each
 bucket batches take budget // bound rows, in order of a hash of the id: a batch padded to its
 bucket's bound stays within the token budget. A text longer than the budget is a batch by itself.
 
@@ -11,7 +13,7 @@ before, so no task sees a whole bucket and all batches but a bucket's last are f
 
 Edge cases: lengths that are null or 0 have no bucket (nulls in bucket, bound and batch); repeated
 rows are packed each; ids may be null or repeat; empty tables give empty results; other columns are
-kept, those with the names of the results replaced.
+kept whatever their names, those with the names of the results replaced.
 """
 
 from __future__ import annotations
@@ -20,15 +22,43 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import stored
+from quarry.llm.shared import free, stored
 
-BUCKETS, BUDGET, SHARD = 12, 65_536, 2_000
+BUCKETS, BUDGET, SHARD, EXACT = 12, 65_536, 2_000, 8192
 
 
 def _bin(length: str) -> Column:
-    """Exact below 64, then 64 bins to each doubling."""
-    octave = F.floor(F.log2(F.col(length))).cast("int")
-    return F.when(F.col(length) < 64, F.col(length)).otherwise(octave * 64 + F.expr(f"shiftright({length}, greatest(cast(floor(log2({length})) as int) - 6, 0))"))
+    """Exact below EXACT, then EXACT / 2 bins to each doubling."""
+    n = F.col(length).cast("long")
+    shift = F.length(F.bin(n)) - F.lit(EXACT.bit_length() - 1)
+    return F.when(n < EXACT, n).otherwise(shift * 2 * EXACT + F.call_function("shiftright", n, F.greatest(shift, F.lit(0)).cast("int")))
+
+
+def _layer(best: np.ndarray, total: np.ndarray, largest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """min and argmin over i < j of best[i] + (total[j] - total[i]) * largest[j - 1] for all j.
+
+    The places are solved in the order of a bisection, each between the cuts of its neighbours.
+    """
+    n = len(largest)
+    now, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    now[0] = 0
+    step = 1 << n.bit_length()
+    while step > 1:
+        step //= 2
+        j = np.arange(step, n + 1, 2 * step)
+        above = j + step
+        lo = cut[j - step]
+        hi = np.where(above <= n, np.minimum(cut[np.minimum(above, n)], j - 1), j - 1)
+        size = hi - lo + 1
+        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        of = np.repeat(np.arange(len(j)), size)
+        i = np.arange(size.sum()) - begin[of] + lo[of]
+        cost = best[i] + (total[j[of]] - total[i]) * largest[j[of] - 1]
+        now[j] = np.minimum.reduceat(cost, begin)
+        hit = np.flatnonzero(cost == now[j][of])
+        some, first = np.unique(of[hit], return_index=True)
+        cut[j[some]] = i[hit[first]]
+    return now, cut
 
 
 def boundaries(largest: np.ndarray, count: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -42,13 +72,7 @@ def boundaries(largest: np.ndarray, count: np.ndarray, buckets: int = BUCKETS) -
     best[0] = 0
     cuts: list[np.ndarray] = []
     for _ in range(min(buckets, n)):
-        now, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        now[0] = 0
-        for j in range(1, n + 1):
-            cost = best[:j] + (total[j] - total[:j]) * largest[j - 1]
-            cut[j] = int(cost.argmin())
-            now[j] = cost[cut[j]]
-        best = now
+        best, cut = _layer(best, total, np.asarray(largest, np.float64))
         cuts.append(cut)
     out, j = [], n
     for cut in reversed(cuts):
@@ -59,7 +83,7 @@ def boundaries(largest: np.ndarray, count: np.ndarray, buckets: int = BUCKETS) -
     return sorted(out)
 
 
-def pack(docs: DataFrame, length: str = "length", doc_id: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET, shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, length: str = "length", doc_id: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD) -> DataFrame:
     """All columns, bucket (from 0), bound, and batch (from 0 in each bucket)."""
     new = ("bucket", "bound", "batch")
     docs = stored(docs.drop(*new), "pack")
@@ -73,12 +97,13 @@ def pack(docs: DataFrame, length: str = "length", doc_id: str = "doc_id", bucket
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("bucket") + 1)
     bucket = F.when(F.col(length) > 0, F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(length))))
     order = F.xxhash64(F.lit(11), F.col(doc_id), F.col(length))
-    placed = docs.withColumn("bucket", bucket).withColumn("bound", pick(bounds))
-    placed = placed.withColumn("q_shard", F.pmod(order, pick([max(1, -(-n // shard)) for n in sizes])))
-    placed = placed.withColumn("q_rank", F.row_number().over(Window.partitionBy("bucket", "q_shard", F.when(F.col("bucket").isNull(), F.xxhash64(F.lit(12), F.col(doc_id)))).orderBy(order, doc_id)))
-    packed = docs.where(F.col(length) > 0).withColumn("bucket", bucket).withColumn("q_shard", F.pmod(order, pick([max(1, -(-n // shard)) for n in sizes])))
-    before = packed.groupBy("bucket", "q_shard").agg(F.count("*").alias("n"))
-    before = before.select("bucket", "q_shard", (F.sum("n").over(Window.partitionBy("bucket").orderBy("q_shard")) - F.col("n")).alias("q_before"))
-    joined = placed.join(before, ["bucket", "q_shard"], "left")
-    batch = F.floor((F.col("q_before") + F.col("q_rank") - 1) / pick([max(1, budget // b) for b in bounds])).cast("long")
+    shard, rank, before = free([*docs.columns, *new], "shard", "rank", "before")
+    of = F.pmod(order, pick([max(1, -(-n // shard_rows)) for n in sizes]))
+    # rows without a length are dealt by hash and have no batch
+    placed = docs.withColumn("bucket", bucket).withColumn("bound", pick(bounds)).withColumn(shard, F.coalesce(of, F.pmod(F.xxhash64(F.lit(12), F.col(doc_id)), F.lit(1 << 20))))
+    placed = placed.withColumn(rank, F.row_number().over(Window.partitionBy("bucket", shard).orderBy(order, doc_id)))
+    counts = placed.where("bucket is not null").groupBy("bucket", shard).agg(F.count("*").alias("n"))
+    counts = counts.select("bucket", shard, (F.sum("n").over(Window.partitionBy("bucket").orderBy(shard)) - F.col("n")).alias(before))
+    joined = placed.join(counts, ["bucket", shard], "left")
+    batch = F.floor((F.col(before) + F.col(rank) - 1) / pick([max(1, budget // b) for b in bounds])).cast("long")
     return joined.select(*docs.columns, "bucket", "bound", batch.alias("batch"))

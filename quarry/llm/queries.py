@@ -26,8 +26,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_lengths(docs: DataFrame, name: str) -> DataFrame:
     """doc_id and the number of op1's tokens of the text."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias(name))
+    return bpe.count(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, name=name)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,10 +26,10 @@ def documents(spark, texts, lang=lambda i: "en"):
 
 def same(df, sql):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     columns = sorted(df.columns)
-    return sorted(map(tuple, df.select(columns).collect())) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
+    return sorted(map(tuple, df.select(columns).collect()), key=repr) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall(), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -92,6 +92,15 @@ def test_licences_without_cue_and_wrapped(spark):
     assert found == {60: [("mit", 0, True)], 61: [("gpl", 2, True)], 62: [("cc-by", 0, True)], 63: [("mit", 2, True)]}
 
 
+def test_licences_of_more_families(spark):
+    plain = [f"The committee number {i} met by the river and spoke of boats and weather.\nMit.\nBy.\n" for i in range(60)]
+    planted = [t for ts in licences.TEMPLATES.values() for t in ts]
+    docs = documents(spark, [*plain, *planted])
+    found = {r.doc_id: (r.family, r.confirmed) for r in licences.scan(docs, licences.train(docs)).collect()}
+    want = {60 + i: (f, True) for i, f in enumerate(f for f, ts in licences.TEMPLATES.items() for _ in ts)}
+    assert {k: v for k, v in found.items() if k < 60} == {} and sum(found.get(k) == v for k, v in want.items()) >= 0.9 * len(want)
+
+
 def test_licences_negatives_are_of_the_scored_lines(spark, monkeypatch):
     plain = [f"The committee number {i} met by the river and spoke of boats and weather." for i in range(60)]
     docs = documents(spark, [*plain, *["He has a driving license and permission to park."] * 5, "Licensed under the Apache License, Version 2.0.", "Zz\n\n "])
@@ -119,6 +128,14 @@ def test_toxicity(spark):
     assert toxicity.score(rows.select(F.lit(1).alias("doc_id"), "text").where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize("clean,toxic,hits", [(3000, 400, 9), (50, 1, 1), (1, 50, 2), (5000, 5, 40)])
+def test_curve_settles(clean, toxic, hits):
+    x = toxicity.features(np.array([0.0] * clean + [3.0 * hits] * toxic), np.array([0] * clean + [hits] * toxic), np.full(clean + toxic, 300))
+    w = toxicity.fit_logistic(x, np.array([0.0] * clean + [1.0] * toxic))
+    p = 1 / (1 + np.exp(-x @ w))
+    assert np.isfinite(w).all() and (p[:clean] < 0.5).all() and (p[clean:] > 0.5).all()
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 16))
@@ -173,7 +190,7 @@ def test_bounds_are_optimal():
 def test_packing(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice([0, None, 5, 700, rng.randint(1, 90_000), rng.randint(1, 300)])) for i in range(600)] + [(None, 5), (3, 5), (3, 5)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), budget=10_000, shard=50).collect()
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), budget=10_000, shard_rows=50).collect()
     assert sorted((r.doc_id or -1, r.length or 0) for r in got) == sorted((i or -1, n or 0) for i, n in rows)
     batches = {}
     for r in got:
@@ -219,3 +236,128 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in out) == list(range(12)) and all(r.batch is not None for r in out)
     documents(spark, texts).where("false").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+CLASH = ("g_lang", "g_source", "m_symbols", "low_symbols", "shard", "rank", "before", "q_shard", "at", "label2", "h1", "weight", "node")
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit(999) for c in CLASH if c not in df.columns})
+
+
+def test_clashing_names(spark):
+    docs = clashing(documents(spark, ["word " * 60, None, "", "b"]))
+    judged = quality.quality(docs)
+    assert judged.columns == [*docs.columns, *quality.COUNTS, "base_failed", "kept"] and {r.m_symbols for r in judged.collect()} == {999}
+    assert quality.quality(docs, keep_text=False).count() == 4
+    packed = packing.pack(docs.withColumn("length", F.lit(5).cast("long")))
+    assert packed.columns == [*docs.columns, "length", "bucket", "bound", "batch"] and {(r.shard, r["rank"], r.q_shard) for r in packed.collect()} == {(999, 999, 999)}
+    scored = toxicity.score(docs, toxicity.learn(spark.createDataFrame([], "text string, y int")))
+    assert {r.weight for r in scored.collect()} == {0.0} and scored.count() == 4
+    none = langid.train(langid.sample(docs.where("false"), F.lit(True), "doc_id", "lang", "text"))
+    assert langid.predict(docs, none).select("g_lang").distinct().collect() == [(999,)]
+    assert licences.scan(docs, licences.train(docs)).count() == 0
+    pages = clashing(spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "page_id long, url string, html string")).withColumns({"sha": F.lit("a"), "last": F.lit(1), "n": F.lit(2)})
+    assert sorted((r.page_id, r.record_type) for r in warc.read(warc.write(pages)).collect()) == [(1, "revisit"), (2, "response")]
+    vectors = clashing(spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")).withColumns({"id": F.lit(7), "v": F.lit(8), "d": F.lit(9)})
+    assert sorted(map(tuple, embed.near_vectors(vectors).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_empty_tables(spark):
+    assert packing.pack(spark.createDataFrame([], "doc_id long, length long")).count() == 0
+    assert embed.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    none = langid.train(spark.createDataFrame([], "lang string, text string, aside boolean"))
+    assert langid.predict(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
+
+
+def test_repeated_ids_of_different_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 1.0], 0), (3, [0.0, 1.0], 0), (4, [1.0, 1.0], 0)]
+    got = sorted(map(tuple, embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).distinct().collect()))
+    assert got == [(1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
+def test_decode_of_odd_ids(spark):
+    ranks = bpe.read_ranks(RANKS)
+    rows = spark.createDataFrame([(1, [ranks[b"a"], None, -1, 10**8, ranks[b"b"]])], "doc_id long, ids array<int>")
+    assert bytes(bpe.decode(rows, RANKS, PATTERN).first().decoded) == b"ab"
+
+
+def test_encoding_around_white_space(spark):
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(" \u00a0\u2028\n\t\x1c\x85aé'sll9漢!.", k=rng.randint(0, 30))) for _ in range(3000)] + ["it's  fine we'll go 've x"]
+    codec = bpe.Codec.of(RANKS, PATTERN)
+    want = [own.encode_ordinary(t) for t in texts]
+    assert [x.tolist() for x in codec.encode(texts)] == want and codec.count(texts) == [len(x) for x in want]
+    rows = bpe.digest(bpe.decode(bpe.encode(spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string"), RANKS, PATTERN), RANKS, PATTERN)).collect()
+    for r in rows:
+        joined = ",".join(map(str, want[r.doc_id])).encode()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want[r.doc_id]), hashlib.sha256(joined).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_prediction_is_a_text_s_own(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(langid.sample(docs, F.lit(True), "doc_id", "lang", "text"))
+    alone = langid.predict(spark.createDataFrame([(1, "ÉCOLE ÎLE")], "doc_id long, text string"), model).first()
+    beside = langid.predict(spark.createDataFrame([(0, "İstanbul"), (1, "ÉCOLE ÎLE")], "doc_id long, text string").coalesce(1), model).where("doc_id = 1").first()
+    assert alone == beside
+
+
+def test_kneser_ney_by_hand():
+    """The probabilities of a model against plain counting with dictionaries."""
+    text = "abracadabra abba " * 3 + "cab"
+    symbols = np.array([ord(c) if c != " " else 1 for c in text], np.uint64)
+    grams = langid._grams(symbols, np.array([0, len(symbols)]))
+    model = langid.Model(*np.unique(grams, return_counts=True))
+    padded = [1] * (langid.ORDER - 1) + [int(x) for x in symbols]
+    tops = [tuple(padded[i : i + langid.ORDER]) for i in range(len(symbols))]
+    counts = {langid.ORDER: {g: tops.count(g) for g in set(tops)}}
+    for m in range(langid.ORDER - 1, 0, -1):
+        ends = [g[-m:] for g in counts[m + 1]]
+        counts[m] = {g: ends.count(g) for g in set(ends)}
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 64)
+        c = counts[len(g)]
+        n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        own = [v for h, v in c.items() if h[:-1] == g[:-1]]
+        return p(g[1:]) if not own else max(c.get(g, 0) - d, 0) / sum(own) + d * len(own) / sum(own) * p(g[1:])
+
+    for g in [*set(tops), (97, 97, 97, 97, 99), (1, 1, 1, 1, 122), tops[7][:4] + (122,)]:
+        packed = sum(x << (langid.BITS * (langid.ORDER - 1 - i)) for i, x in enumerate(g))
+        assert abs(model.logp(np.array([packed], np.uint64))[0] - np.log(p(g))) < 1e-4
+
+
+def test_matches_against_every_entry():
+    rng = random.Random(8)
+    lexicon = {"idio": 2.0, "bad ": 1.0, "bads": 3.0, "白 痴 ": 2.5, "zzz": 1.0}
+    model = toxicity.Matcher(lexicon)
+    for _ in range(300):
+        words = rng.choices(["idiot", "idi", "bad", "badly", "badsy", "白痴", "白", "trash", "can", "clown", "fish", "Bád", "1diot", "zzzz", "clownfish"], k=8)
+        text = " ".join(words)
+        plain = " " + " ".join(toxicity.WORD.findall(toxicity.fold(text))) + " "
+        spared = {i for e in toxicity.EXCEPTIONS for i in range(len(plain)) if plain.startswith(f" {e} ", i) for i in range(i, i + len(e) + 1)}
+        found = {}
+        for i, c in enumerate(plain):
+            if c == " " and i not in spared:
+                own = [w for e, w in lexicon.items() if plain.startswith(" " + e, i)]
+                if own:
+                    found[i] = max(own)
+        assert model(text) == (sum(found.values()), len(found), len(plain.split()))
+
+
+def test_bounds_of_many_lengths():
+    rng = np.random.default_rng(1)
+    sizes = np.unique(rng.integers(1, 5000, 300))
+    count = rng.integers(1, 50, len(sizes))
+    total = np.concatenate(([0], np.cumsum(count)))
+    best = np.full(len(sizes) + 1, np.inf)
+    best[0] = 0
+    for _ in range(6):
+        best = np.array([0] + [min(best[i] + (total[j] - total[i]) * sizes[j - 1] for i in range(j)) for j in range(1, len(sizes) + 1)])
+    bounds = packing.boundaries(sizes, count, 6)
+    assert sum(n * min(b for b in bounds if b >= s) for s, n in zip(sizes, count, strict=True)) == best[-1]
