@@ -101,6 +101,24 @@ def _fence(m: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "op5_line_dedup": rf"""WITH l AS (SELECT doc_id, unnest(range(0, len(x)))::INT AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, E'\n') AS x FROM documents)),
+ w AS (SELECT doc_id, line_no, list_filter(string_split(translate(lower(line), E'\t\x0B\f\r', '    '), ' '), lambda y: y <> '') AS w FROM l),
+ o AS (SELECT *, array_to_string(w, ' ') AS s, {{'d': doc_id, 'l': line_no}} AS place FROM w WHERE len(w) > 0),
+ d AS (SELECT s, any_value(w) AS w, min(place) AS first, count(*) AS n FROM o GROUP BY s),
+ e AS (SELECT s, w, first FROM d WHERE len(w) >= {lines.MIN_WORDS} OR list_sum(list_transform(w, lambda y: length(y))) - list_max(list_transform(w, lambda y: length(y))) >= {lines.NEAR_CHARS}),
+ k AS (SELECT s, first, 1 AS del, i || '|' || array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS key FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM e)
+ UNION ALL SELECT s, first, 0, i || '|' || s FROM (SELECT *, unnest(range(1, len(w) + 2)) AS i FROM e)),
+ m AS (SELECT DISTINCT a.s FROM k a JOIN k b ON a.key = b.key AND a.s <> b.s AND a.del + b.del >= 1 WHERE b.first < a.first)
+ SELECT doc_id, line_no, m.s IS NOT NULL AS near FROM o JOIN d USING (s) LEFT JOIN m USING (s) WHERE m.s IS NOT NULL OR (n > 1 AND place <> first)""",
+    "op6_ngram_jaccard": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ l AS (SELECT i.a, i.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) i JOIN n p ON p.doc_id = i.a JOIN n q ON q.doc_id = i.b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+ r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.id = l.a)
+ SELECT id AS doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY 1""",
+    "op9_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), x AS (SELECT page_id, h, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+ CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to FROM x""",
     "op7_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
  n AS (SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v),
  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
