@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import sigtree, vec
 from quarry.llm.graph import components
-from quarry.llm.shared import free, stored, text_hash
+from quarry.llm.shared import dropped, free, stored, text_hash
 
 #: A task joins so many sets at most, and of sets below this size together so many tokens.
 PART, TOKENS = 1500, 4_000_000
@@ -165,14 +165,17 @@ def blocks(docs: DataFrame, some: DataFrame, k: int, num: int, den: int, doc_id:
     texts = _met(_told_apart(docs, doc_id, text), some.select("id", *HASHES), ("id", *HASHES), "left_semi").select("text")
     tokens = _tokens(texts, k, 1, "text", told=False).select("token", "node")
     often = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "often")
-    shared = tokens.join(stored(often, "shared-tokens"), "token").distinct()
+    often = stored(often, "shared-tokens")
+    shared = tokens.join(often, "token").distinct()
     own = Window.partitionBy("node")
     ranked = shared.withColumns({"rank": F.row_number().over(own.orderBy("often", "token")), "shared": F.count("*").over(own)})
     sizes = some.select("node", "n")
     prefix = ranked.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "node").where(F.col("rank") + F.col("n") - F.col("shared") <= _prefix(num, den))
     keys = stored(prefix.select("token", "node"), "prefixes")
     heads = keys.groupBy("token").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
-    return components(keys.join(heads, "token").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    found = components(keys.join(heads, "token").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    dropped(docs.sparkSession, often, keys)
+    return found
 
 
 def _class(size: str, num: int, den: int) -> Column:

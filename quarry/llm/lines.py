@@ -33,7 +33,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import stored, text_hash
+from quarry.llm.shared import dropped, stored, text_hash
 
 MIN_WORDS, NEAR_CHARS, EDITS = 5, 20, 1
 #: Tables of up to so many rows of a few longs are broadcast after they are counted; larger ones are joined by shuffle.
@@ -182,8 +182,11 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars:
     checked = _within_one(chosen) if edits == 1 else _edited(chosen, edits)
 
     marks = distinct.join(checked.withColumn("near", F.lit(True)), line, "left").where("near or n > 1").select(*line, "first", F.coalesce("near", F.lit(False)).alias("near"))
-    out = found.select(*at, *line).join(_small(stored(marks, "marks")), line)
-    return stored(out.where(F.col("near") | ~place.eqNullSafe(F.col("first"))).select(*at, "near"), "removed-lines")
+    marks = stored(marks, "marks")
+    out = found.select(*at, *line).join(_small(marks), line)
+    result = stored(out.where(F.col("near") | ~place.eqNullSafe(F.col("first"))).select(*at, "near"), "removed-lines")
+    dropped(docs.sparkSession, found, distinct, shared, likely, where, chosen, marks)
+    return result
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: int | None = NEAR_CHARS, edits: int = EDITS, least: int = MIN_WORDS) -> DataFrame:
