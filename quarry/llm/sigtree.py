@@ -53,11 +53,11 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
-def links(sets: list[np.ndarray], num: int, den: int, group: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], num: int, den: int, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join up exactly what all pairs with den * overlap >= num * union would join up.
 
     sets: sorted distinct 64-bit tokens, none empty. group: components known before, whose sets need
-    no more links. side: if given, only sets of different sides are compared.
+    no more links.
     """
     if len(sets) < 2:
         return []
@@ -103,8 +103,6 @@ def links(sets: list[np.ndarray], num: int, den: int, group: np.ndarray | None =
         fits = (sizes[a][:, None] - lacks >= least) & (sizes[b][None, :] - misses >= least)
         if m == n:
             fits &= np.triu(np.ones(fits.shape, bool), 1)
-        if side is not None:
-            fits &= side[a][:, None] != side[b][None, :]
         for i, j in np.argwhere(fits):
             p, q = int(a[i]), int(b[j])
             if root[p] == root[q]:
