@@ -47,7 +47,7 @@ TEMPLATES = {
     "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "CC0 1.0 Universal Public Domain Dedication", "SPDX-License-Identifier: CC0-1.0"],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "proprietary": ["All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved."],
+    "proprietary": ["All rights reserved.", "All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved."],
 }
 FAMILIES = [*TEMPLATES, "unknown"]
 DIM, NEGATIVES, CONFIRM, RUN = 1 << 15, 20_000, 0.5, 4
