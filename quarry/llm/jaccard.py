@@ -42,7 +42,7 @@ from quarry.llm.shared import dropped, free, stored, text_hash
 #: A task joins so many sets at most, and of sets below this size together so many tokens.
 PART, TOKENS = 1500, 4_000_000
 #: Classes that a task remembers, so that it sends the tokens of copies once; tokens that it looks at together.
-SEEN, TOGETHER = 100_000, 1_000_000
+SEEN, TOGETHER = 50_000, 400_000
 HASHES = ("t1", "t2")
 #: So many rows of tasks (four numbers each) are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 300_000

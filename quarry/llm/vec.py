@@ -1,6 +1,6 @@
 """Vectorised words, lines and hashes over Arrow string columns.
 
-Everything here works on UTF-8 bytes in blocks of a few megabytes, so no Python string
+Everything here works on UTF-8 bytes in blocks of about a megabyte, so no Python string
 is made for a word and memory stays bounded whatever the length of a batch.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
