@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, embed, jaccard, langid, licences, lines, packing, quality, toxicity, warc
+from quarry.llm import bpe, centroids, embed, jaccard, langid, licences, lines, packing, pivots, quality, resample, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,10 +81,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(token_lengths(table(spark, sf_dir, "documents"), "length"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_embedding_near_dedup, op8_quality_rules, op9_warc, op10_packing)
-}
+    for f in (
+        op1_byte_bpe, op2_language_id, op3_license_scan, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_embedding_near_dedup, op8_quality_rules, op9_warc, op10_packing,
+        op11_importance_resample, op12_exact_top_k, op13_centroid_clustering,
+    )
+}
 
 _SHARES = {m: f"({n} * 1000 // nullif({d}, 0))" for m, (n, d, _, _) in quality.RULES.items()}
 _SHARES = {m: f"({e} >> greatest(length(bin({e})) - {quality.BITS}, 0)) << greatest(length(bin({e})) - {quality.BITS}, 0)" for m, e in _SHARES.items()}
@@ -100,6 +115,24 @@ def _fence(m: str) -> str:
     return f"coalesce(m_{m} BETWEEN {low} AND {pick('b')} + {spread}, true)"
 
 
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """Rounds unrolled. Products and sums of whole numbers below 2^53 are exact in doubles."""
+    near = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+    out = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('2:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {k}))"""
+    for i in range(rounds + 1):
+        out += f""",
+ d{i} AS MATERIALIZED (SELECT rid, min({{'d': d, 'k': k}}) AS best FROM (SELECT rid, k, {near} AS d FROM v, c{i}) GROUP BY 1)"""
+        if i < rounds:
+            out += f""",
+ m{i} AS (SELECT k, j, sum(x::BIGINT) AS s, count(*) AS n FROM (SELECT best.k AS k, unnest(range(1, 65)) AS j, unnest(v) AS x FROM d{i} JOIN v USING (rid)) GROUP BY 1, 2),
+ n{i} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY j) AS c FROM m{i} GROUP BY 1),
+ c{i + 1} AS MATERIALIZED (SELECT k, coalesce(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} USING (k))"""
+    return out + f""",
+ a AS (SELECT vec_id, best.k AS k, best.d::BIGINT AS distance FROM d{rounds} JOIN v USING (rid))
+ SELECT vec_id, k::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256 FROM a JOIN c{rounds} USING (k)"""
+
+
 SQL: dict[str, str] = {
     "op5_line_dedup": rf"""WITH l AS (SELECT doc_id, unnest(range(0, len(x)))::INT AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, E'\n') AS x FROM documents)),
  w AS (SELECT doc_id, line_no, list_filter(string_split(translate(lower(line), E'\t\x0B\f\r', '    '), ' '), lambda y: y <> '') AS w FROM l),
@@ -134,4 +167,25 @@ SQL: dict[str, str] = {
  f AS (SELECT lang, source, {_QUANTILES} FROM m WHERE NOT base_failed GROUP BY ALL), l AS (SELECT lang, {_QUANTILES} FROM m WHERE NOT base_failed GROUP BY ALL), w AS (SELECT {_QUANTILES} FROM m WHERE NOT base_failed)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(_fence(m) for m in quality.RULES)} AS kept
  FROM m CROSS JOIN w LEFT JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source LEFT JOIN l ON l.lang IS NOT DISTINCT FROM m.lang""",
+    "op11_importance_resample": rf"""WITH poly AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda a, x: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS p),
+ d AS (SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+ w AS MATERIALIZED (SELECT side, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM d),
+ f AS MATERIALIZED (SELECT side, id, f, count(*) AS n FROM (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM w) GROUP BY ALL),
+ words AS MATERIALIZED (SELECT x, list_transform(range(1, strlen(x) + 1), lambda i: ('0x' || substr(hex(x), 2 * i - 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT unnest(w) AS x FROM w)),
+ parts AS (SELECT f, string_split(f, ' ') AS ps FROM (SELECT DISTINCT f FROM f)),
+ bytes AS (SELECT f, list_concat(a.b, CASE WHEN len(ps) > 1 THEN list_concat([32], b.b) ELSE [] END, CASE WHEN len(ps) > 2 THEN list_concat([32], c.b) ELSE [] END) AS b FROM parts JOIN words a ON a.x = ps[1] LEFT JOIN words b ON b.x = ps[2] LEFT JOIN words c ON c.x = ps[3]),
+ crc AS MATERIALIZED (SELECT f, xor(list_reduce(list_concat([4294967295], b), lambda a, x: xor(a >> 8, p[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, poly),
+ c AS MATERIALIZED (SELECT side, id, bucket, sum(n) AS n FROM f JOIN crc USING (f) GROUP BY ALL),
+ g AS (SELECT bucket, sum(n) FILTER (WHERE side = 's') AS s, sum(n) FILTER (WHERE side = 't') AS t FROM c GROUP BY 1),
+ gain AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce(sum(t) OVER (), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM g),
+ weights AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM c JOIN gain USING (bucket) WHERE side = 's' GROUP BY 1),
+ h AS (SELECT id AS doc_id, len(w) AS words, ('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT::DOUBLE AS h FROM w WHERE side = 's'),
+ x AS (SELECT doc_id, words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM h LEFT JOIN weights ON id = doc_id),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM x WHERE words >= 20)
+ SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM x LEFT JOIN r USING (doc_id)""",
+    "op12_exact_top_k": """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+ s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.rid <> c.rid WHERE q.vec_id % 100 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
+ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_centroid_clustering": _clusters(),
 }

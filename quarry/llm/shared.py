@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +42,22 @@ def fresh(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quarry-{what}-{uuid.uuid4().hex}"
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Written to the shared folder and read back: lineage is cut, and lost executors cost nothing."""
     path = fresh(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Removes what stored() wrote, once nothing reads it any more."""
+    """Removes what stored() wrote, once nothing reads it any more. Of frames that stored() did not return, files are listed."""
     jvm = spark.sparkContext._jvm
-    for path in {p.rpartition("/")[0] for df in frames for p in df.inputFiles()}:
+    for path in {p for df in frames for p in ([_PATHS[df]] if df in _PATHS else {f.rpartition("/")[0] for f in df.inputFiles()})}:
         if "/quarry-" in path:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
