@@ -12,16 +12,20 @@ from quarry.functions import text as T
 from quarry.operators import answer, chunk, ground, search, store as chunks_of
 from quarry.operators.segment import Embedder
 from quarry.sources import store
+from quarry.sources.log import Conflict, Log, State
 from quarry.sources.store import Options
 
+VECTORS = "id string, vector array<double>"
+TABLES = {"chunks": store.CHUNK, "vectors": VECTORS} | search.schemas("string")
+
 
 @dataclass
 class Engine:
-    """A store below `path`: chunks, their vectors, the index of their terms, and settings.
+    """A store below `path`: chunks, their vectors and the index of their terms, in one log of commits, and settings.
 
     embed turns texts into vectors, reranker scores texts for a query, model(context, query) writes answers: all are
     hooks with a built-in stand-in or none. Chunks whose id is stored already are left out at ingest, and of those that repeat
-    one in a batch one stays.
+    one in a batch one stays. An ingest that fails, wherever it does, leaves the store as it was.
     """
 
     spark: SparkSession
@@ -34,37 +38,71 @@ class Engine:
     def _at(self, name: str) -> str:
         return f"{self.path.rstrip('/')}/{name}"
 
-    def chunks(self) -> DataFrame:
-        if not store.exists(self.spark, self._at("chunks")):
-            return self.spark.createDataFrame([], store.CHUNK)
-        return self.spark.read.schema(store.CHUNK).parquet(self._at("chunks"))
+    @property
+    def log(self) -> Log:
+        return Log(self.spark, self.path)
+
+    def chunks(self, state: State | None = None) -> DataFrame:
+        return self.log.read((state or self.log.state()).of("chunks"), store.CHUNK)
+
+    def vectors(self, state: State | None = None) -> DataFrame:
+        return self.log.read((state or self.log.state()).of("vectors"), VECTORS)
 
     def index(self) -> search.Index:
-        return search.Index.read(self.spark, self._at("index"))
+        return search.Index.read(self.spark, self.path)
 
-    def ingest(self, pages: DataFrame) -> dict[str, int]:
-        """Stores the new chunks of page records; files, new and skipped are counted."""
+    def ingest(self, pages: DataFrame, stream: str | None = None, batch: int = 0) -> dict[str, int]:
+        """Stores the new chunks of page records; files, new and skipped are counted.
+
+        Chunks, vectors and index runs are written first and enter the store by one commit. Where another writer has committed in
+        between, what is new is worked out again. A batch of a stream that is committed already is not looked at again, and its counts are
+        given as they were.
+        """
         store.claim(self.spark, self.path)
-        batch = store.fresh(self.spark, "batch")
-        chunk.chunked(pages, self.options, self.embed).write.parquet(batch)
-        found = self.spark.read.schema(store.CHUNK).parquet(batch)
-        new = chunks_of.ingest(found, self.chunks(), "id").dropDuplicates(["id"])
-        fresh = store.fresh(self.spark, "new")
-        new.write.parquet(fresh)
-        new = self.spark.read.schema(store.CHUNK).parquet(fresh)
-        stats = chunks_of.ingest_stats(found, new)
-        if stats["new"]:
-            new.write.mode("append").parquet(self._at("chunks"))
-            new.select("id", self.embed(F.col("text")).alias("vector")).write.mode("append").parquet(self._at("vectors"))
-            search.extend(new, self._at("index"), "id", "text")
+        log, found_at = self.log, store.fresh(self.spark, "batch")
+        if stream is not None and self._seen(log.state(), stream, batch):
+            return log.state().info["streams"][stream]["stats"]
+        chunk.chunked(pages, self.options, self.embed).write.parquet(found_at)
+        found = self.spark.read.schema(store.CHUNK).parquet(found_at)
+        while True:
+            state = log.state()
+            if stream is not None and self._seen(state, stream, batch):
+                return state.info["streams"][stream]["stats"]
+            new = log.write("chunks", chunks_of.ingest(found, self.chunks(state), "id").dropDuplicates(["id"]))
+            rows = log.read([new], store.CHUNK)
+            stats, runs, info = chunks_of.ingest_stats(found, rows), [], {}
+            if stats["new"]:
+                vectors = log.write("vectors", rows.select("id", self.embed(F.col("text")).cast("array<double>").alias("vector")))
+                runs, info = search.indexed(log, rows, state, "id", "text")
+                runs = [new, vectors, *runs]
+            if stream is not None:
+                info["streams"] = state.info.get("streams", {}) | {stream: {"batch": batch, "stats": stats}}
+            if not info:
+                break
+            try:
+                log.commit(state, runs, info=info)
+                break
+            except Conflict:
+                continue
         store.put_json(self.spark, self._at("sparse.json"), {"backend": self.options.sparse_backend, "top_k_vocab": self.options.top_k_vocab})
+        log.merge(TABLES, search.LAID)
         return stats
 
+    @staticmethod
+    def _seen(state: State, stream: str, batch: int) -> bool:
+        return state.info.get("streams", {}).get(stream, {"batch": -1})["batch"] >= batch
+
     def rebuild(self) -> None:
-        """The index of terms anew, from the stored chunks."""
-        store.claim(self.spark, self._at("index"))
-        store.reset(self.spark, self._at("index"))
-        search.extend(self.chunks(), self._at("index"), "id", "text")
+        """The index of terms anew, from the stored chunks; it takes the place of the one before by one commit."""
+        log, none = self.log, State(0, (), {})
+        while True:
+            state = log.state()
+            runs, info = search.indexed(log, self.chunks(state), none, "id", "text")
+            try:
+                log.commit(state, runs, [r for t in search.schemas("string") for r in state.of(t)], info)
+                return
+            except Conflict:
+                continue
 
     def reset(self) -> None:
         store.reset(self.spark, self.path)
@@ -76,9 +114,9 @@ class Engine:
         """The ranked chunks with score and rank; changes are options for this query alone."""
         o = Options(**{**self.options.__dict__, **changes})
         vector = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first()[0]
-        vectors = self.spark.read.parquet(self._at("vectors"))
-        best = search.search(self.index(), vectors, query, o.mode, "id", list(vector), o.top_k, o.rerank_top_n, o.rrf_k, o.alpha, encoder=o.sparse_backend != "BM25")
-        found = self.chunks().join(F.broadcast(best), "id")  # as many rows as asked for
+        index = self.index()
+        best = search.search(index, self.vectors(index.state), query, o.mode, "id", list(vector), o.top_k, o.rerank_top_n, o.rrf_k, o.alpha, encoder=o.sparse_backend != "BM25")
+        found = self.chunks(index.state).join(F.broadcast(best), "id")  # as many rows as asked for
         reranker = self.reranker or search.RERANKERS.get(o.reranker)
         if reranker is not None:
             found = search.rerank(found, query, o.top_k, reranker, "id")

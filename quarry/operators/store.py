@@ -14,8 +14,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def ingest(new: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
-    """Chunks whose id is not stored yet; repeats inside the batch survive."""
-    return new.join(stored.select(key).distinct(), key, "left_anti")
+    """Chunks whose id is not stored yet; repeats inside the batch survive. Of the stored rows only ids are read, and only those
+    that the batch has too go on, so the store is not shuffled where the batch's ids are few."""
+    ids = new.select(key).distinct()
+    known = stored.select(key).join(ids, key, "left_semi").distinct()
+    return new.join(known, key, "left_anti")
 
 
 def corpus_stats(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:

@@ -87,7 +87,12 @@ def put_json(spark: SparkSession, path: str, value: dict) -> None:
 
 
 def get_json(spark: SparkSession, path: str) -> dict:
-    return json.loads("\n".join(r.value for r in spark.read.text(path).collect()))  # a settings file
+    fs, at = _files(spark, path)
+    stream = fs.open(at)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 @dataclasses.dataclass(frozen=True)

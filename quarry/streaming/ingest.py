@@ -9,10 +9,11 @@ from quarry.engine import Engine
 
 
 def ingest(pages: DataFrame, engine: Engine, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Starts the stream. A batch that is run again after a failure stores nothing twice, as ids that are stored are left out."""
+    """Starts the stream. A batch enters the store whole, by one commit that also names it: one that failed is run again
+    as if it had never been, and one that was committed before the stream could note it is left out. The stream's name is its checkpoint."""
 
-    def batch(rows: DataFrame, _: int) -> None:
-        engine.ingest(rows)
+    def batch(rows: DataFrame, number: int) -> None:
+        engine.ingest(rows, checkpoint, number)
 
     writer = pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
