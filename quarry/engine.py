@@ -12,18 +12,18 @@ from quarry.functions import text as T
 from quarry.operators import answer, chunk, ground, search, store as chunks_of
 from quarry.operators.segment import Embedder
 from quarry.sources import store
-from quarry.sources.log import Conflict, Log, State
+from quarry.sources.log import Conflict, Log, Run, State
 from quarry.sources.store import Options
 
 VECTORS = "id string, vector array<double>"
-TABLES = {"chunks": store.CHUNK, "vectors": VECTORS} | search.schemas("string")
+TABLES = {"chunks": store.CHUNK, "vectors": VECTORS, "sparse": search.SPARSE.format("string")} | search.schemas("string")
 
 
 @dataclass
 class Engine:
     """A store below `path`: chunks, their vectors and the index of their terms, in one log of commits, and settings.
 
-    embed turns texts into vectors, reranker scores texts for a query, model(context, query) writes answers: all are
+    embed turns texts into vectors, encoder (none by default) into sparse weights of which `top_k_vocab` a chunk are kept, reranker scores texts for a query, model(context, query) writes answers: all are
     hooks with a built-in stand-in or none. Chunks whose id is stored already are left out at ingest, and of those that repeat
     one in a batch one stays. An ingest that fails, wherever it does, leaves the store as it was.
     """
@@ -32,6 +32,7 @@ class Engine:
     path: str
     options: Options = field(default_factory=Options)
     embed: Embedder = T.hashed_vector
+    encoder: search.Encoder | None = None
     reranker: search.Reranker | None = None
     model: Callable[[str, str], str] | None = None
 
@@ -74,7 +75,7 @@ class Engine:
             if stats["new"]:
                 vectors = log.write("vectors", rows.select("id", self.embed(F.col("text")).cast("array<double>").alias("vector")))
                 runs, info = search.indexed(log, rows, state, "id", "text")
-                runs = [new, vectors, *runs]
+                runs = [new, vectors, *runs, *self._sparse(rows)]
             if stream is not None:
                 info["streams"] = state.info.get("streams", {}) | {stream: {"batch": batch, "stats": stats}}
             if not info:
@@ -92,14 +93,23 @@ class Engine:
     def _seen(state: State, stream: str, batch: int) -> bool:
         return state.info.get("streams", {}).get(stream, {"batch": -1})["batch"] >= batch
 
-    def rebuild(self) -> None:
-        """The index of terms anew, from the stored chunks; it takes the place of the one before by one commit."""
-        log, none = self.log, State(0, (), {})
+    def _sparse(self, chunks: DataFrame) -> list[Run]:
+        if self.encoder is None:
+            return []
+        return [self.log.write("sparse", search.sparse_rows(chunks, self.encoder, self.options.top_k_vocab, "id"))]
+
+    def rebuild(self, backend: str | None = None) -> None:
+        """The sparse index of a backend anew from the stored chunks, by default that of the options: BM25 is the index of terms,
+        anything else the encoder's weights. It takes the place of the one before by one commit."""
+        log, none, words = self.log, State(0, (), {}), (backend or self.options.sparse_backend) == "BM25"
+        if not words and self.encoder is None:
+            raise ValueError("there is no encoder")
         while True:
             state = log.state()
-            runs, info = search.indexed(log, self.chunks(state), none, "id", "text")
+            runs, info = search.indexed(log, self.chunks(state), none, "id", "text") if words else (self._sparse(self.chunks(state)), {})
+            tables = search.schemas("string") if words else ("sparse",)
             try:
-                log.commit(state, runs, [r for t in search.schemas("string") for r in state.of(t)], info)
+                log.commit(state, runs, [r for t in tables for r in state.of(t)], info)
                 return
             except Conflict:
                 continue
@@ -115,13 +125,19 @@ class Engine:
         o = Options(**{**self.options.__dict__, **changes})
         vector = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first()[0]
         index = self.index()
-        best = search.search(index, self.vectors(index.state), query, o.mode, "id", list(vector), o.top_k, o.rerank_top_n, o.rrf_k, o.alpha, encoder=o.sparse_backend != "BM25")
+        best = search.search(index, self.vectors(index.state), query, o.mode, "id", list(vector), o.top_k, o.rerank_top_n, o.rrf_k, o.alpha, self._weights(query))
         found = self.chunks(index.state).join(F.broadcast(best), "id")  # as many rows as asked for
         reranker = self.reranker or search.RERANKERS.get(o.reranker)
         if reranker is not None:
             found = search.rerank(found, query, o.top_k, reranker, "id")
         return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
+    def _weights(self, query: str) -> dict[int, float] | None:
+        """Of the query; None without an encoder."""
+        if self.encoder is None:
+            return None
+        return self.spark.range(1).select(search.strongest_of(self.encoder, F.lit(query), self.options.top_k_vocab).alias("w")).first().w or {}
+
     def answer(self, query: str, **changes) -> tuple[str, list[str]]:
         """An answer and its references."""
         ranked = self.search(query, **changes)

@@ -153,9 +153,31 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
 
 
+def run_lengths(c: Column) -> Column:
+    """array<struct<value, n>> of an array: its distinct values with how often they occur, in order; one sort and one pass."""
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+        return bound(starts, lambda at: F.transform(at, lambda p, k: F.struct(F.get(s, p).alias("value"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).alias("n"))))
+
+    return bound(F.array_sort(c), counted)
+
+
 def hashed_vector(c: Column, size: int = 64) -> Column:
     """Counts of the words by hash in `size` places, at unit length: a stand-in for an encoder, not semantic."""
     place = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long"), F.lit(size)).cast("int")
-    places = F.transform(words(c), place)
-    counts = lambda p: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(p, lambda x: x == i)).cast("double"))
+    counts = lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double"))
+    places = F.coalesce(F.map_from_entries(run_lengths(F.transform(words(c), place))), F.create_map().cast("map<int,int>"))
     return bound(bound(places, counts), lambda v: bound(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+
+
+def term_weights(c: Column) -> Column:
+    """map<int,double>: log1p of how often each word occurs, by the word's CRC: a stand-in for a sparse encoder. Words of one CRC count as one."""
+    ids = F.transform(words(c), lambda w: F.crc32(F.encode(w, "UTF-8")).bitwiseAND(0x7FFFFFFF).cast("int"))
+    return F.map_from_entries(F.transform(run_lengths(ids), lambda r: F.struct(r["value"], F.log1p(r["n"]))))
+
+
+def strongest(weights: Column, n: int) -> Column:
+    """map<int,double> of the n largest positive weights, of equal ones those of the smaller ids."""
+    ordered = F.array_sort(F.transform(F.map_entries(weights), lambda e: F.struct((-e["value"]).alias("minus"), e["key"].alias("key"))))
+    return F.map_from_entries(F.transform(F.slice(F.filter(ordered, lambda e: e["minus"] < 0), 1, n), lambda e: F.struct(e["key"], -e["minus"])))

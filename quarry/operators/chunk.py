@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import hooks
 from quarry.functions import text as T
-from quarry.operators import pack, segment
+from quarry.operators import pack, punkt, segment
 from quarry.sources.store import Options
 
 
@@ -20,14 +21,26 @@ def _starts(length: Column, step: int) -> Column:
     return F.when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(step)))
 
 
-def token_windows(docs: DataFrame, keys: list[str], target: int = 700, overlap: int = 80, least: int = 120, text: str = "text", raw: bool = False) -> DataFrame:
-    """Windows over pieces of four characters; short ones stay only where they reach the end."""
+def token_windows(docs: DataFrame, keys: list[str], target: int = 700, overlap: int = 80, least: int = 120, text: str = "text", raw: bool = False, tokenizer: hooks.Tokenizer | None = None) -> DataFrame:
+    """Windows over tokens, by default pieces of four characters; short ones stay only where they reach the end.
+
+    char_start and char_end count tokens. A window goes from the start of its first token to the start of the one after its last, so that what a tokenizer
+    leaves out between tokens stays in the text.
+    """
     step = _step(target, overlap)
-    n = F.ceil(F.length(text) / 4).cast("int")
-    windows = docs.select(*keys, text, n.alias("n"), F.explode(_starts(n, step)).alias("char_start"))
+    if tokenizer is None:
+        n = F.ceil(F.length(text) / 4).cast("int")
+        windows = docs.select(*keys, text, n.alias("n"), F.explode(_starts(n, step)).alias("char_start"))
+        first, behind = F.col("char_start") * 4, F.col("char_end") * 4
+    else:
+        # a window takes along where it begins and ends, not the offsets of the whole text
+        cut = lambda t: F.transform(_starts(F.size(t), step), lambda i: F.struct(i.alias("char_start"), F.least(i + target, F.size(t)).alias("char_end"), F.size(t).alias("n"), F.when(i > 0, F.get(t, i)["start"]).otherwise(0).alias("first"), F.get(t, i + target)["start"].alias("behind")))
+        spans = docs.select(*keys, text, tokenizer(F.col(text)).alias("spans"))
+        windows = spans.select(*keys, text, F.explode(cut(F.col("spans"))).alias("w")).select(*keys, text, "w.char_start", "w.n", "w.first", "w.behind")
+        first, behind = F.col("first"), F.coalesce("behind", F.length(text))
     windows = windows.withColumn("char_end", F.least(F.col("char_start") + target, F.col("n")))
     windows = windows.where((F.col("char_end") - F.col("char_start") >= least) | (F.col("char_end") == F.col("n")))
-    piece = F.substr(text, F.col("char_start") * 4 + 1, (F.col("char_end") - F.col("char_start")) * 4)
+    piece = F.substr(text, first + 1, behind - first)
     return windows.select(*keys, "char_start", "char_end", (piece if raw else T.normalize_text(piece)).alias("chunk"))
 
 
@@ -57,9 +70,11 @@ def sentence_rows(docs: DataFrame, keys: list[str], text: str = "text") -> DataF
 STRATEGIES = ("token", "character", "sentence", "paragraph", "page", "markdown_structure", "semantic_boundary", "recursive_character", "hybrid")
 
 
-def chunked(pages: DataFrame, options: Options | None = None, embed: segment.Embedder | None = T.hashed_vector, overrides: bool = False) -> DataFrame:
+def chunked(pages: DataFrame, options: Options | None = None, embed: segment.Embedder | None = T.hashed_vector, overrides: bool = False, tokenizer: hooks.Tokenizer | None = None, punkt_model: punkt.Model | None = None) -> DataFrame:
     """Page records (source_name, text, page_start, page_end and metadata, if they have it) as chunks of the schema store.CHUNK.
 
+    A tokenizer gives the windows of the strategy `token` and the token counts of all chunks; a Punkt model the sentences of the strategy `sentence`.
+
     An unknown strategy is `token`. The id is worked out from the text, its source, pages and place, before metadata is
     looked at; with overrides, metadata that has the name of a text column takes its place.
     """
@@ -72,9 +87,12 @@ def chunked(pages: DataFrame, options: Options | None = None, embed: segment.Emb
     strategy = o.strategy if o.strategy in STRATEGIES else "token"
     none, zero = F.lit(None).cast("string"), F.lit(0)
     if strategy == "token":
-        found = token_windows(docs, keys, o.target_tokens, o.overlap_tokens, o.min_tokens, raw=True)
+        found = token_windows(docs, keys, o.target_tokens, o.overlap_tokens, o.min_tokens, raw=True, tokenizer=tokenizer)
     elif strategy == "character":
         found = char_windows(docs, keys, o.char_size, o.char_overlap, o.min_tokens, raw=True)
+    elif strategy == "sentence" and punkt_model is not None:
+        split = punkt.sentence_arrays(docs.select(*keys, "text"), punkt_model)
+        found = split.select(*keys, F.explode(pack.packed(F.col("sentences"), overlap=2, **limits)).alias("chunk")).select(*keys, "chunk", zero.alias("char_start"), F.length("chunk").alias("char_end"))
     elif strategy == "recursive_character":
         numbered = docs.withColumn("row", F.monotonically_increasing_id())
         texts = numbered.select(F.struct("row", *keys).alias("page"), "text").withColumn("page", F.to_json("page"))
@@ -98,7 +116,7 @@ def chunked(pages: DataFrame, options: Options | None = None, embed: segment.Emb
     if "section_path" not in found.columns:
         found = found.withColumn("section_path", none)
     rows = found.where("chunk is not null").select(
-        T.normalize_text(F.col("chunk")).alias("text"), "source_name", "page_start", "page_end", T.approx_tokens(F.col("chunk")).alias("tokens"), F.lit(strategy).alias("parser"), F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), "section_path", "metadata"
+        T.normalize_text(F.col("chunk")).alias("text"), "source_name", "page_start", "page_end", hooks.count_tokens(F.col("chunk"), tokenizer).alias("tokens"), F.lit(strategy).alias("parser"), F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), "section_path", "metadata"
     )
     own = T.chunk_id(*[F.col(c) for c in ("text", "source_name", "page_start", "page_end", "char_start", "char_end")])
     rows = rows.select(own.alias("id"), F.sha2("text", 256).alias("sha256"), *rows.columns)

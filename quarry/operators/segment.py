@@ -5,11 +5,15 @@ An embedder is a function from a text Column to an array<double> Column; the bui
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quarry.functions import text as T
 from quarry.operators import pack
@@ -211,12 +215,93 @@ def boundaries(sentences: Column, embed: Embedder = T.hashed_vector, window: int
     return F.when(F.size(sentences) <= 1, F.array().cast(INTS)).otherwise(found)
 
 
+WORD = re.compile(r"[^\W_]+")
+
+
+def tiles(sentences: list[str], width: int = 20, around: int = 10, apart: int = 4) -> list[int]:
+    """Places (from 0) of sentences that begin a tile (Hearst 1997).
+
+    Words fall in pieces of `width`. At each gap between pieces the term counts of up to `around` pieces before and behind are compared by
+    cosine; both counts slide along, so a text costs as many steps as it has words. Scores are smoothed over neighbours; the depth of a gap is how far
+    scores rise on both sides of it; gaps deeper than the mean less half a deviation are boundaries, the deepest first, none
+    within `apart` of another. A boundary moves to the nearest start of a sentence.
+    """
+    words, starts = [], []
+    for s in sentences:
+        starts.append(len(words))
+        words += WORD.findall(s.lower())
+    pieces = [words[i : i + width] for i in range(0, len(words), width)]
+    gaps = len(pieces) - 1
+    if gaps < 2 or len(sentences) < 2:
+        return []
+    left, right, scores = Counter(), Counter(), []
+    dot, square = 0, [0, 0]
+
+    def add(own: Counter, other: Counter, side: int, piece: list[str], by: int) -> None:
+        nonlocal dot
+        for w in piece:
+            dot += by * other[w]
+            square[side] += 2 * by * own[w] + 1
+            own[w] += by
+
+    lo, mid, hi = 0, 0, 0
+    for gap in range(gaps):
+        n = min(around, gap + 1, gaps - gap)
+        # the pieces lo..mid-1 are left of the gap, mid..hi-1 right of it
+        while hi < gap + 1 + n:
+            add(right, left, 1, pieces[hi], 1)
+            hi += 1
+        while mid < gap + 1:
+            add(right, left, 1, pieces[mid], -1)
+            add(left, right, 0, pieces[mid], 1)
+            mid += 1
+        while lo < gap + 1 - n:
+            add(left, right, 0, pieces[lo], -1)
+            lo += 1
+        while hi > gap + 1 + n:
+            hi -= 1
+            add(right, left, 1, pieces[hi], -1)
+        scores.append(dot / math.sqrt(square[0] * square[1]) if dot else 0.0)
+    smooth = [sum(scores[max(0, i - 1) : i + 2]) / len(scores[max(0, i - 1) : i + 2]) for i in range(gaps)]
+    depths = []
+    for i, score in enumerate(smooth):
+        peaks = 0.0
+        for step in (-1, 1):
+            j = i
+            while 0 <= j + step < gaps and smooth[j + step] >= smooth[j]:
+                j += step
+            peaks += smooth[j]
+        depths.append(peaks - 2 * score)
+    mean = sum(depths) / gaps
+    limit = mean - math.sqrt(sum((d - mean) ** 2 for d in depths) / gaps) / 2
+    chosen: list[int] = []
+    for i in sorted(range(gaps), key=lambda i: (-round(depths[i], 12), i)):
+        if depths[i] > max(limit, 1e-12) and all(abs(i - c) >= apart for c in chosen):
+            chosen.append(i)
+    places = {min(range(len(starts)), key=lambda k: (abs(starts[k] - (i + 1) * width), k)) for i in chosen}
+    return sorted(places - {0})
+
+
+def with_tiles(rows: DataFrame, sentences: str = "sentences") -> DataFrame:
+    """rows with a column tiles, the tiles() of each section, in place of the sentences (array<array<string>>)."""
+    kept = rows.drop(sentences)
+    names = kept.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if row is None else [tiles(s or []) for s in row] for row in batch.column(sentences).to_pylist()]
+            columns = [batch.column(c) for c in names] + [pa.array(found, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "tiles"])
+
+    return rows.mapInArrow(run, StructType([*kept.schema.fields, StructField("tiles", ArrayType(ArrayType(IntegerType())))]))
+
+
 STRATEGIES = ("hybrid", "semantic", "texttiling", "token")
 
 
-def blocks(body: Column, strategy: str = "hybrid", target: int = 700, overlap: int = 80, least: int = 120, embed: Embedder | None = T.hashed_vector) -> Column:
-    """The chunks of a section. semantic and hybrid cut at boundaries first; token, and texttiling (which finds no
-    paragraphs among joined sentences), fill windows; both leave code blocks and tables whole."""
+def blocks(body: Column, strategy: str = "hybrid", target: int = 700, overlap: int = 80, least: int = 120, embed: Embedder | None = T.hashed_vector, places: Column | None = None) -> Column:
+    """The chunks of a section. semantic and hybrid cut at boundaries first, texttiling at the given places of sentences; token
+    fills windows. All leave code blocks and tables whole."""
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}")
     segmented = strategy in ("semantic", "hybrid") and embed is not None
@@ -226,6 +311,8 @@ def blocks(body: Column, strategy: str = "hybrid", target: int = 700, overlap: i
         if segmented:
             parts = T.bound(boundaries(s, embed), lambda b: _pieces(s, F.concat(F.array(F.lit(0)), b)))
             return F.flatten(F.transform(parts, lists))
+        if places is not None:
+            return F.flatten(F.transform(_pieces(s, F.concat(F.array(F.lit(0)), places)), lists))
         return lists(s)
 
     def chunks(x: Column) -> Column:
@@ -241,8 +328,16 @@ def standalone(docs: DataFrame, keys: list[str], text: str = "text", strategy: s
     """keys, id (chunk_00001 and so on in each document), section, chunk, tokens."""
     clean = T.normalize_whitespace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")))
     filled = F.filter(headed(clean), lambda s: T.strip(s["body"]) != "")
-    rows = F.flatten(F.transform(filled, lambda s: F.transform(blocks(s["body"], strategy, **options), lambda b: F.struct(s["section"].alias("section"), b.alias("chunk")))))
-    found = docs.select(*keys, F.posexplode(rows).alias("no", "c"))
+    split = docs.select(*keys, filled.alias("sections"))
+    if strategy == "texttiling":
+        # Python sees the sentences of all sections of a text at once, with stand-ins for blocks, and gives their places
+        sentences = F.transform("sections", lambda s: T.split_sentences(_stashed(s["body"])["text"]))
+        split = with_tiles(split.withColumn("sentences", sentences))
+    else:
+        split = split.withColumn("tiles", F.transform("sections", lambda s: F.array().cast(INTS)))
+    cut = lambda s, at: F.transform(blocks(s["body"], strategy, places=at if strategy == "texttiling" else None, **options), lambda b: F.struct(s["section"].alias("section"), b.alias("chunk")))
+    rows = F.flatten(F.zip_with("sections", "tiles", cut))
+    found = split.select(*keys, F.posexplode(rows).alias("no", "c"))
     return found.select(*keys, F.format_string("chunk_%05d", F.col("no") + 1).alias("id"), "c.section", "c.chunk", T.approx_tokens(F.col("c.chunk")).alias("tokens"))
 
 

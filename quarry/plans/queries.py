@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import hooks
 from quarry.functions import text as T
-from quarry.operators import answer, chunk, dedup, ground, pack, policy, search, segment, store
+from quarry.operators import answer, chunk, dedup, ground, pack, policy, punkt, search, segment, store
 from quarry.sources.store import Options, fresh
 from quarry.sources.tables import record_lines, table
 
@@ -43,6 +44,19 @@ def _index(spark: SparkSession, d: str) -> search.Index:
     return search.Index.read(spark, _built[at])
 
 
+_vectors_built: dict[tuple[str, str], str] = {}
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, vector of the documents, stored like the index."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _vectors_built:
+        path = fresh(spark, "vectors")
+        _docs(spark, d).select("doc_id", T.hashed_vector(F.col("text")).alias("vector")).write.parquet(path)
+        _vectors_built[at] = path
+    return spark.read.parquet(_vectors_built[at])
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
@@ -89,7 +103,7 @@ def exact_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT {K}")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.top(search.bm25(_index(spark, d), ASK), K, "doc_id"))
+    return _rounded(search.bm25_top(_index(spark, d), ASK, K))
 
 
 @query(f"WITH {_BM25}, {_QV}, {_SPARSE} SELECT doc_id, round(score, 6) AS score FROM sp ORDER BY sp.score DESC, doc_id LIMIT {K}")
@@ -127,7 +141,7 @@ def dense_l2(spark: SparkSession, d: str) -> DataFrame:
 )
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
-    return _rounded(search.top(search.rrf([search.bm25(index, ASK), search.sparse_cosine(index, OTHER)], "doc_id", n=POOL), K, "doc_id"))
+    return _rounded(search.top(search.rrf([search.bm25_top(index, ASK, POOL), search.sparse_cosine(index, OTHER)], "doc_id", n=POOL), K, "doc_id"))
 
 
 @query(
@@ -140,7 +154,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 )
 def alpha_search(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
-    return _rounded(search.top(search.alpha_fusion(search.sparse_cosine(index, OTHER), search.bm25(index, ASK), "doc_id", 0.7, POOL), K, "doc_id"))
+    return _rounded(search.top(search.alpha_fusion(search.sparse_cosine(index, OTHER), search.bm25_top(index, ASK, POOL), "doc_id", 0.7, POOL), K, "doc_id"))
 
 
 @query(
@@ -291,7 +305,7 @@ def answer_sentences(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return answer.answer(search.top(search.bm25(_index(spark, d), _POLICY), K, "doc_id").join(docs.select("doc_id", "text"), "doc_id"), _POLICY)
+    return answer.answer(search.bm25_top(_index(spark, d), _POLICY, K).join(docs.select("doc_id", "text"), "doc_id"), _POLICY)
 
 
 @query(
@@ -300,7 +314,7 @@ def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
 )
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    best = search.top(search.bm25(_index(spark, d), ASK), K, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    best = search.bm25_top(_index(spark, d), ASK, K).join(docs.select("doc_id", "text"), "doc_id")
     return answer.within_budget(best).select("doc_id", "upto")
 
 
@@ -417,7 +431,7 @@ def cosines(spark: SparkSession, d: str) -> DataFrame:
  s AS (SELECT doc_id, sum(b.n * q.n) / (SELECT sqrt(sum(n * n)) FROM q) AS dot FROM b JOIN q USING (b) GROUP BY 1), m AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1)
  SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, round(coalesce(dot / norm, 0.0), 9) AS score FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id)) x ORDER BY x.score DESC, doc_id LIMIT {K}""")
 def semantic_search(spark: SparkSession, d: str) -> DataFrame:
-    vectors = _docs(spark, d).select("doc_id", T.hashed_vector(F.col("text")).alias("vector"))
+    vectors = _vectors(spark, d)
     asked = spark.range(1).select(T.hashed_vector(F.lit(ASK)).alias("v")).first()[0]
     scores = search.dense(vectors, list(asked), "doc_id", "vector").withColumn("score", F.round("score", 9))
     return _rounded(search.top(scores, K, "doc_id"))
@@ -453,50 +467,45 @@ def remerged(spark: SparkSession, d: str) -> DataFrame:
     return segment.remerged(turns, "conv_id", "turn", most=10**6)
 
 
-_CONTEXT = "Employees must be in by 9:45 AM and may leave at 6:15 PM, Monday to Friday. The policy is designed to be fair. They must have completed their probationary period and have a consistent record of performance"
+# lines of policies with names and numbers of customers in them, and what an answer makes of them: query, text, answer, as SQL that Spark and DuckDB share
+_IN, _OUT = "(c_custkey % 11 + 1) || ':45 AM'", "(c_custkey % 7 + 1) || ':15 PM'"
+_RULE = f"'Staff of ' || c_name || ' must be in by ' || {_IN} || ' and may leave at ' || {_OUT} || ', Monday to Friday. The policy is designed to be fair. They must have completed their probationary period and have a consistent record of performance'"
 _POLICIES = [
-    ("which clothing does the dress code prohibit", "casual tops, jeans", "The dress code prohibits casual tops and jeans."),
-    ("which clothing does the dress code prohibit", "ripped clothing, jeans and casual tops", "The dress code prohibits ripped clothing of any sort, casual tops, and jeans."),
-    ("what does the dress code prohibit", "nothing named here", "Nothing named here"),
-    ("what are the working hours", _CONTEXT, "Working hours are 9:45 AM to 6:15 PM on Monday, Friday."),
-    ("what are the working hours", "no times", "no times"),
-    (
-        "who is eligible",
-        _CONTEXT,
-        "**Eligibility Criteria:**\n\n• Employees must be in by 9:45 AM and may leave at 6:15 PM, Monday to Friday\n• They must have completed their probationary period and have a consistent record of performance",
-    ),
-    (
-        "who is eligible for wfh",
-        _CONTEXT,
-        "**The eligibility criteria for Work From Home (WFH) at the company are as follows:**\n\n1. Employees must have completed their probationary period and must have a consistent record of performance that meets or exceeds expectations.",
-    ),
-    ("who is eligible for wfh", "at the discretion of a lead", "**WFH Eligibility Criteria:**\n\n✓ Subject to company requirements and management discretion"),
-    ("outline wfh by role and probation", "On probation for 3 months; completed probation counts", "**Probation Status:**\n• Must complete 3-month probationary period\n• Probationary period must be successfully completed"),
-    ("summarize", "The policy is designed to be fair. Short", "**Key Points:**\n\n• The policy is designed to be fair"),
-    ("anything else", "the policy explicitly  allows this", "Allows this"),
-]
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_QUOTED(x[2])})" for i, x in enumerate(_POLICIES)) + ") t(case_id, answer)")
+    ("which clothing does the dress code prohibit", "'casual tops, jeans (' || c_name || ')'", "'The dress code prohibits casual tops and jeans.'"),
+    ("which clothing does the dress code prohibit", "c_name || ': ripped clothing, jeans and casual tops'", "'The dress code prohibits ripped clothing of any sort, casual tops, and jeans.'"),
+    ("what does the dress code prohibit", "'nothing of ' || c_name", "'Nothing of ' || c_name"),
+    ("what are the working hours", _RULE, f"'Working hours are ' || {_IN} || ' to ' || {_OUT} || ' on Monday, Friday.'"),
+    ("what are the working hours", "'no times for ' || c_name", "'no times for ' || c_name"),
+    ("who is eligible", _RULE, f"'**Eligibility Criteria:**' || chr(10) || chr(10) || '• Staff of ' || c_name || ' must be in by ' || {_IN} || ' and may leave at ' || {_OUT} || ', Monday to Friday' || chr(10) || '• They must have completed their probationary period and have a consistent record of performance'"),
+    ("who is eligible for wfh", "'at the discretion of ' || c_name", "'**WFH Eligibility Criteria:**' || chr(10) || chr(10) || '✓ Subject to company requirements and management discretion'"),
+    ("outline wfh by role and probation", "c_name || ' is on probation for 3 months; completed probation counts'", "'**Probation Status:**' || chr(10) || '• Must complete 3-month probationary period' || chr(10) || '• Probationary period must be successfully completed'"),
+    ("summarize", "'The policy of ' || c_name || ' is designed to be fair. Short'", "'**Key Points:**' || chr(10) || chr(10) || '• The policy of ' || c_name || ' is designed to be fair'"),
+    ("anything else", "'the policy explicitly  allows ' || c_name", "'Allows ' || c_name"),
+]
+_CASE = lambda i: f"CASE c_custkey % {len(_POLICIES)} {' '.join(f'WHEN {n} THEN {x[i]}' for n, x in enumerate(_POLICIES))} END"
+
+
+@query(f"SELECT c_custkey, {_CASE(2)} AS answer FROM customer")
 def policy_answers(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, q, t) for i, (q, t, _) in enumerate(_POLICIES)], "case_id int, query string, text string")
-    forms = F.coalesce(*[F.when(F.col("query") == q, policy.formatted(F.col("text"), q)) for q in dict.fromkeys(q for q, _, _ in _POLICIES)])
-    return rows.select("case_id", forms.alias("answer"))
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(_POLICIES)).alias("form"), F.expr(_CASE(1)).alias("text"))
+    forms = F.coalesce(*[F.when(F.col("form") == n, policy.formatted(F.col("text"), q)) for n, (q, _, _) in enumerate(_POLICIES)])
+    return rows.select("c_custkey", forms.alias("answer"))
 
 
-_NUMBERS = [
-    ("Office hours 9:00 AM to 11:30 AM", [("Weekday Working Hours", None, 2.5, "hours")]),
-    ("Working hours: 9:45 AM to 6:15 PM", [("Weekday Working Hours", None, 8.5, "hours"), ("Working Hours", None, 9.0, "")]),
-    ("21 days annual leave", [("Annual Leave", None, 21.0, "days")]),
-    ("45% completion rate", [("Completion Rate", None, 45.0, "%")]),
-    ("$1,250,000 revenue", [("Revenue", None, 1250000.0, "$")]),
-    ("Q1 2023: 1500\nsection: 12 units something", [(None, "Q1 2023", 1500.0, "")]),
-]
-_CELL = lambda x: "NULL::VARCHAR" if x is None else _QUOTED(x) if isinstance(x, str) else f"{x}::DOUBLE"
+_STATED = [
+    ("'Office hours ' || (p_size % 5 + 4) || ':00 AM to ' || (p_size % 5 + 6) || ':30 AM'", "'Weekday Working Hours'", "2.5", "'hours'"),
+    ("'Working hours: ' || (p_size % 4 + 7) || ':45 AM to ' || (p_size % 4 + 3) || ':15 PM'", "'Weekday Working Hours'", "7.5", "'hours'"),
+    ("p_size || ' days annual leave'", "'Annual Leave'", "p_size", "'days'"),
+    ("p_size || '% completion rate'", "'Completion Rate'", "p_size", "'%'"),
+    ("'$1,' || (p_size + 100) || ',000 revenue'", "'Revenue'", "1000000 + (p_size + 100) * 1000", "'$'"),
+]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(_CELL, p))})" for i, (_, found) in enumerate(_NUMBERS) for p in found) + ") t(case_id, category, time_period, value, unit)")
+@query("".join(f"SELECT p_partkey, {c} AS category, ({v})::DOUBLE AS value, {u} AS unit FROM part WHERE p_partkey % {len(_STATED)} = {i} UNION ALL " for i, (_, c, v, u) in enumerate(_STATED)) + f"SELECT p_partkey, 'Working Hours', (p_size % 4 + 7)::DOUBLE, '' FROM part WHERE p_partkey % {len(_STATED)} = 1")
 def numbers_stated(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_NUMBERS)], "case_id int, text string")
-    return ground.numbers(rows, "case_id", fix_meridiem=True).drop("line_no")
+    """Hours, leave, shares and sums of money in lines made of parts; a line of working hours is a label with a number too."""
+    line = f"CASE p_partkey % {len(_STATED)} {' '.join(f'WHEN {i} THEN {x[0]}' for i, x in enumerate(_STATED))} END"
+    return ground.numbers(table(spark, d, "part").select("p_partkey", F.expr(line).alias("text")), "p_partkey", fix_meridiem=True).drop("line_no", "time_period")
 
 
 @query("""WITH p AS (SELECT 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) AS t, round(sum(o_totalprice)) AS v, min(o_orderdate) AS at FROM orders GROUP BY 1)
@@ -534,3 +543,88 @@ def boundaries(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def near_dup_greedy(spark: SparkSession, d: str) -> DataFrame:
     return dedup.greedy(_docs(spark, d), "source", "doc_id")
+
+
+_HASH = lambda w: f"('0x' || substr(md5({w}), 1, 7))::BIGINT % 64"
+_MANY = f"""qw AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY 1, 2),
+ qs AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM qw JOIN i USING (term) JOIN p USING (term), n GROUP BY 1, 2),
+ qa AS (SELECT item_id, d.doc_id, coalesce(score, 0.0) AS score FROM benchmark CROSS JOIN documents d LEFT JOIN qs USING (item_id, doc_id)),
+ qr AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM qa)"""
+_NEAR = f"""hb AS (SELECT doc_id, {_HASH('w')} AS b, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) GROUP BY 1, 2), hq AS (SELECT item_id, {_HASH('w')} AS b, count(*) AS n FROM (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark) GROUP BY 1, 2),
+ hs AS (SELECT item_id, doc_id, sum(hb.n * hq.n) AS dot FROM hb JOIN hq USING (b) GROUP BY 1, 2), hm AS (SELECT doc_id, sqrt(sum(n * n)) AS m FROM hb GROUP BY 1), hn AS (SELECT item_id, sqrt(sum(n * n)) AS k FROM hq GROUP BY 1),
+ ha AS (SELECT item_id, d.doc_id, round(coalesce(dot / m / k, 0.0), 9) AS score FROM benchmark CROSS JOIN documents d LEFT JOIN hs USING (item_id, doc_id) LEFT JOIN hm USING (doc_id) LEFT JOIN hn USING (item_id)),
+ hr AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ha)"""
+
+
+@query(f"WITH {_BM25}, {_MANY} SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM qr WHERE rank <= {K}")
+def bm25_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of benchmark against all documents."""
+    return _rounded(search.bm25_many(_index(spark, d), table(spark, d, "benchmark"), K, "item_id"))
+
+
+@query(f"""WITH {_BM25}, {_MANY}, {_NEAR}, u AS (SELECT item_id, doc_id, round(sum(part), 9) AS score FROM (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS part FROM qr WHERE rank <= {POOL} UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM hr WHERE rank <= {POOL}) GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM u) SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= {K}""")
+def hybrid_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of benchmark against all documents, words and vectors fused."""
+    asked = table(spark, d, "benchmark")
+    near = search.dense_many(_vectors(spark, d), asked.select("item_id", T.hashed_vector(F.col("text")).alias("vector")), POOL, "item_id")
+    return _rounded(search.rrf_many([search.bm25_many(_index(spark, d), asked, POOL, "item_id"), near], K, "item_id", "doc_id"))
+
+
+# a word stands for an abbreviation, as the texts have none
+_DOTTED = "replace(text, ' of ', ' vol. ')"
+_EDGES = r"""'^[\p{Ps}\p{Pi}"''`]+|[\p{Pe}\p{Pf}"''`]+$'"""
+_LIKE = lambda k, n, p: f"({k} * ln(greatest({p}, 1e-300)) + ({n} - {k}) * ln(greatest(1 - {p}, 1e-300)))"
+
+
+def _dunning(a: str, b: str, both: str, n: str) -> str:
+    p1, p2 = f"({both} / {a})", f"(({b} - {both}) / greatest({n} - {a}, 1))"
+    return f"-2 * ({_LIKE(both, a, f'({b} / {n})')} + {_LIKE(f'({b} - {both})', f'({n} - {a})', f'({b} / {n})')} - {_LIKE(both, a, p1)} - {_LIKE(f'({b} - {both})', f'({n} - {a})', p2)})"
+
+
+_PUNKT = rf"""r AS (SELECT doc_id, unnest(t) AS raw, unnest(range(0, len(t))) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace({_DOTTED}, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM documents)),
+ b AS (SELECT *, regexp_replace(raw, {_EDGES}, '', 'g') AS bare FROM r), y AS (SELECT *, regexp_replace(bare, '[.!?,;:]+$', '') AS body FROM b),
+ k AS (SELECT doc_id, pos, CASE WHEN regexp_matches(body, '^[-+]?[0-9][0-9.,]*$') THEN '##number##' ELSE lower(body) END AS type, regexp_matches(bare, '[^.]\.$') AS dot, regexp_matches(body, '^\p{{Lu}}') AS upper, regexp_matches(body, '^\p{{Ll}}') AS lower, regexp_matches(bare, '[!?]$|\.\.+$') AS ended FROM y),
+ s AS (SELECT *, coalesce(lag(dot OR ended) OVER (PARTITION BY doc_id ORDER BY pos), false) AS start FROM k),
+ c AS (SELECT type, count(*)::DOUBLE AS n, count_if(dot)::DOUBLE AS dots, count_if(upper)::DOUBLE AS upper_n, count_if(lower)::DOUBLE AS lower_n, count_if(start)::DOUBLE AS starts FROM s WHERE type <> '' GROUP BY 1),
+ z AS (SELECT sum(n) AS all_n, sum(dots) AS all_dots, sum(starts) AS breaks FROM c),
+ v AS (SELECT type, n, dots, length(type) - length(replace(type, '.', '')) AS inn, length(replace(type, '.', '')) AS letters, -2 * ({_LIKE('dots', 'n', '(all_dots / all_n)')} - {_LIKE('dots', 'n', '0.99::DOUBLE')}) AS ratio FROM c, z WHERE dots > 0 AND type <> '##number##' AND regexp_matches(type, '\p{{L}}')),
+ a AS (SELECT 'abbreviation' AS kind, type, round(ratio * exp(-letters::DOUBLE) * (inn + 1) * pow(letters::DOUBLE, -(n - dots)), 6) AS score FROM v),
+ o AS (SELECT 'starter' AS kind, type, round({_dunning('breaks', 'n', 'starts', 'all_n')}, 6) AS score FROM c, z WHERE starts > 0 AND upper_n > 0 AND starts / breaks > n / all_n)"""
+
+
+@query(f"WITH {_PUNKT} SELECT * FROM a WHERE score >= {punkt.ABBREVIATION} UNION ALL SELECT * FROM o WHERE score >= {punkt.STARTER}")
+def punkt_types(spark: SparkSession, d: str) -> DataFrame:
+    """Abbreviations and sentence starters of the documents, with their scores."""
+    counted = punkt.counts(_docs(spark, d).select(F.expr(_DOTTED).alias("text")))
+    return punkt.abbreviations(counted).select(F.lit("abbreviation").alias("kind"), "type", "score").unionByName(punkt.starters(counted).select(F.lit("starter").alias("kind"), "type", "score"))
+
+
+@query()
+def punkt_sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select("doc_id", F.expr(_DOTTED).alias("text"))
+    return punkt.sentences(docs, punkt.learn(docs), ["doc_id"])
+
+
+@query()
+def chunk_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return segment.standalone(_markdown(spark, d), ["doc_id"], strategy="texttiling")
+
+
+@query()
+def chunk_bpe(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 700 tokens of a byte-level tokenizer."""
+    import public_tokenizers
+
+    return chunk.token_windows(_docs(spark, d), ["doc_id"], tokenizer=hooks.file_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+_TOP = 12
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents), t AS (SELECT doc_id, term, ln(1 + count(*)) AS weight FROM w GROUP BY 1, 2),
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS r FROM t) SELECT doc_id, count(*)::INT AS kept, round(sum(weight), 6) AS total FROM k WHERE r <= {_TOP} GROUP BY 1""")
+def sparse_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The stored weights of a sparse encoder, the largest of each document."""
+    rows = search.sparse_rows(_docs(spark, d), T.term_weights, _TOP)
+    return rows.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").cast("int").alias("kept"), F.round(F.sum("weight"), 6).alias("total"))

@@ -30,6 +30,13 @@ def fresh(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/quarry-{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Written to the shared folder and read back, so that it is worked out once and lineage ends there."""
+    path = fresh(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _files(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
