@@ -33,6 +33,8 @@ from quarry.llm.shared import stored
 
 ORDER, BITS = 5, 12
 SAMPLE, ROWS, LONGEST, REJECTED = 2000, 64_000, 1 << 16, 0.005
+#: So many deviations are above the mean at that share of a normal distribution.
+NORMAL = 2.5758
 BLOCK = 2 << 20
 #: Characters beyond which a longer text makes a prediction no surer.
 SURE = 60
@@ -137,14 +139,14 @@ def entropies(models: list[Model], grams: np.ndarray, first: np.ndarray) -> np.n
 
 def sample(docs: DataFrame, train: Column, doc_id: str, lang: str, text: str) -> DataFrame:
     """lang, text, aside: about SAMPLE labelled rows of each language, those with small hashes of their ids."""
-    rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    short = F.octet_length(text) <= LONGEST
-    sizes = rows.groupBy(F.col(lang).alias("l")).agg(F.count(F.when(short, 1)).alias("short"), F.count("*").alias("n")).collect()  # a row a language
+    rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    short = F.octet_length("text") <= LONGEST
+    sizes = rows.groupBy("lang").agg(F.count(F.when(short, 1)).alias("short"), F.count("*").alias("n")).collect()  # a row a language
     each = max(20, min(SAMPLE, ROWS // max(1, len(sizes))))
-    known = docs.sparkSession.createDataFrame([(r.l, each / max(1, r.short or r.n), r.short == 0) for r in sizes], "l string, share double, long boolean")
-    place = F.pmod(F.xxhash64(F.lit(5), F.col(doc_id)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(F.broadcast(known), F.col(lang) == F.col("l")).where((place < F.col("share")) & (short | F.col("long")))
-    return picked.select(F.col("l").alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.lit(6), F.col(doc_id)), F.lit(8)) == 0).alias("aside"))
+    known = docs.sparkSession.createDataFrame([(r.lang, each / max(1, r.short or r.n), r.short == 0) for r in sizes], "lang string, share double, long boolean")
+    place = F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.join(F.broadcast(known), "lang").where((place < F.col("share")) & (short | F.col("long")))
+    return picked.select("lang", "text", (F.pmod(F.xxhash64(F.lit(6), F.col("id")), F.lit(8)) == 0).alias("aside"))
 
 
 def train(rows: DataFrame) -> dict:
@@ -172,7 +174,10 @@ def train(rows: DataFrame) -> dict:
     fitted = {"langs": langs, "models": models, "limits": [np.inf] * len(langs)}
     if langs:
         own = (F.col("lang") == F.col("lang_pred")) & F.col("entropy").isNotNull()
-        seen = {r.lang: r.limit for r in predict(rows.where("aside"), fitted).where(own).groupBy("lang").agg(F.percentile("entropy", 1 - REJECTED).alias("limit")).collect()}
+        # few rows say little of so far a quantile: not below that of a normal distribution with their mean and deviation
+        wide = F.avg("entropy") + NORMAL * F.stddev_samp("entropy") * F.sqrt(1 + 1 / F.count("*"))
+        limit = F.when(F.count("*") > 1, F.greatest(F.percentile("entropy", 1 - REJECTED), wide)).otherwise(float("inf"))
+        seen = {r.lang: r.limit for r in predict(rows.where("aside"), fitted).where(own).groupBy("lang").agg(limit.alias("limit")).collect()}
         fitted["limits"] = [seen.get(x, np.inf) for x in langs]
     return fitted
 

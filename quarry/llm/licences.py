@@ -9,7 +9,7 @@ with numpy on variations of the templates (words dropped, other words around the
 after them, and on shuffled templates; what shares CONFIRM of a template is left out. A family is
 predicted if its probability is at least the limit that keeps all but one in a thousand of the
 paragraphs unknown that begin at every fifth of those lines, which are not trained on, and confirmed if at least CONFIRM of the template's word trigrams
-are shared. Of fewer than three words only what is confirmed is a licence. Of paragraphs with lines in common the one with the larger share stays, then the shorter.
+are shared; what is not confirmed is unknown. Of paragraphs with lines in common the one with the larger share stays, then the shorter.
 
 Edge cases: null and empty texts, and texts without a match, have no licence; paragraphs of any
 length are whole; repeated rows are scanned each; empty tables give empty results; other columns
@@ -219,8 +219,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", negatives
     return Classifier([[*itertools.takewhile(str.strip, r.run)] or r.run[:1] for r in picked])
 
 
-def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each paragraph with a licence: id, line_no (of its first line), family, probability, template_share, confirmed."""
+def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text", unconfirmed: bool = False) -> DataFrame:
+    """A row for each paragraph with a licence: id, line_no (of its first line), family, probability, template_share, confirmed.
+
+    A prediction that no template confirms is unknown, and given only if it is asked for.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -230,7 +233,8 @@ def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str =
             out = []
             for block in vec.texts(batch.column(1), 1 << 20):
                 for i, no, family, p, share in classify(block):
-                    out.append((batch.column(0)[block.first + i].as_py(), no, family, p, share, share >= CONFIRM))
+                    if unconfirmed or share >= CONFIRM:
+                        out.append((batch.column(0)[block.first + i].as_py(), no, family, p, share, share >= CONFIRM))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "line_no", "family", "probability", "template_share", "confirmed"])

@@ -44,14 +44,14 @@ HOMOGLYPHS = dict(zip("абвгеіјкмнорстухѕԁһԛԝαβεικνο
 SUBSTITUTES = dict(zip("0134578@$!", "oieastbasi", strict=True))
 #: Insults in common use in English, French, German and Spanish, and phrases with such a word that are none.
 LEXICON = dict.fromkeys("idiot moron imbecile scum scumbag trash stupid dumbass jackass pathetic worthless disgusting loser clown bastard crétin abruti connard salaud dummkopf trottel mistkerl vollidiot arschloch imbécil estúpido cabrón pendejo".split(), 2.0)
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clownfish", "stupidly simple")
+EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bins", "clown fish", "clownfish", "stupidly simple")
 LOW, HIGH, PRECISION, EVIDENCE = 4, 10, 0.75, 12.0
 SAMPLE = 30_000
 #: The curve without labelled rows, and what fitted ones are drawn to.
 CURVE = (-4.0, 1.0, 1.0, 1.0, 1.0)
 SPACELESS = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff])")
 WORD = re.compile(r"[^\W_]+")
-_SIGNS = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|\b[0134578@$](?=[^\W\d_]{2})")
+_SIGNS = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<![^\W_])[0134578@$](?=[^\W\d_]{2})")
 _RUNS = re.compile(r"(.)\1{2,}")
 _GLYPHS = {ord(k): v for k, v in HOMOGLYPHS.items()}
 _SUBS = {ord(k): v for k, v in SUBSTITUTES.items()}
@@ -64,7 +64,8 @@ def fold(text: str) -> str:
         text = "".join(c for c in text if not unicodedata.combining(c)).lower().translate(_GLYPHS)
         text = SPACELESS.sub(r" \1 ", text)
     text = text.lower()
-    text = _SIGNS.sub(lambda m: m[0].translate(_SUBS), text)
+    while (plain := _SIGNS.sub(lambda m: m[0].translate(_SUBS), text)) != text:  # each round leaves fewer signs
+        text = plain
     return _RUNS.sub(r"\1\1", text)
 
 
