@@ -9,7 +9,7 @@ from quarry.functions import hooks
 from quarry.functions import text as T
 from quarry.operators import answer, chunk, dedup, ground, pack, policy, punkt, search, segment, store
 from quarry.sources.store import Options, fresh
-from quarry.sources.tables import record_lines, table
+from quarry.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -101,6 +101,15 @@ def exact_groups(spark: SparkSession, d: str) -> DataFrame:
     return store.exact_groups(_docs(spark, d))
 
 
+@query(f"WITH {_BM25} SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM v) AS terms, (SELECT count(*) FROM p) AS postings FROM n")
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """Builds and stores the index anew, and says what is in it."""
+    index = search.extend(_docs(spark, d), fresh(spark, "index"))
+    terms = index.terms.agg(F.count_distinct("term").alias("terms"))
+    counts = terms.join(F.broadcast(index.postings.agg(F.count("*").alias("postings"))))  # one row each
+    return counts.select(F.lit(index.n_docs).cast("long").alias("n_docs"), F.lit(round(index.avgdl, 6)).alias("avgdl"), "terms", "postings")
+
+
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT {K}")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(search.bm25_top(_index(spark, d), ASK, K))

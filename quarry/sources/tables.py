@@ -1,22 +1,9 @@
-"""Tables in, and their cells as text lines."""
+"""Tables in."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def record_lines(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """key, line: `header: value` for each filled cell; whole numbers without a decimal point."""
-    shown = lambda c: F.col(c).cast("string")
-    cells = F.array(*[F.when(F.col(c).isNotNull(), F.concat_ws(": ", F.lit(c), shown(c))) for c in columns])
-    return rows.select(key, F.explode(F.array_compact(cells)).alias("line"))
-
-
-def texts(spark: SparkSession, path: str) -> DataFrame:
-    """source_name, text of whole text or markdown files."""
-    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_name"), F.col("value").alias("text"))
