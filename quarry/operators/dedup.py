@@ -2,53 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.sources.store import fresh
+from quarry.sources.store import fresh, removed
 
+FRONT = 16
 
-def _written(df: DataFrame, what: str) -> DataFrame:
-    path = fresh(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def _alike(pairs: DataFrame, sets: DataFrame, over: float) -> DataFrame:
+    """Of pairs of ids, those whose sets are alike."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.where(T.jaccard(F.col("x"), F.col("y")) > over).select("a", "b")
 
-def greedy(chunks: DataFrame, group: str, order: str, text: str = "text", over: float = 0.8, n: int = 8) -> DataFrame:
-    """group, order of the chunks that stay: in each group, by the order (unique in it), those whose Jaccard similarity to
-    no chunk kept before is above `over`. Chunks of fewer than n words are all alike.
 
-    Chunks with equal shingle sets are one. Two sets that alike share a shingle among the rarest of
-    each (a share of 1 - over of them and one), so only such pairs are compared. What is known of a chunk
-    spreads by rounds: it goes once an earlier one like it stays, and stays once all of those have gone.
+def greedy(chunks: DataFrame, group: str, order: str, text: str = "text", over: float = 0.8, n: int = 8, front: int = FRONT) -> DataFrame:
+    """group, order of the chunks that stay: in each group, by the order, those whose Jaccard similarity to no chunk kept
+    before is above `over`. Chunks of fewer than n words, or without a text, are all alike.
+
+    A null group is a group of its own, and a null order comes first. Chunks of one order in a group are taken by hashes
+    of their sets. Shingles are 64-bit hashes of their group and words. Other columns of `chunks` are not looked at.
+
+    Chunks with equal sets are one. Two sets that are alike share a shingle among the rarest of each (a share of 1 - over
+    of them and one). In each round the first `front` open chunks of each such shingle are compared; one that is among
+    these wherever it occurs, and is like none before it, stays. Then only those that stay are compared with what is open
+    after them, and what they are like leaves all further rounds. So a group of near copies costs one
+    comparison a copy for each of its chunks that stay.
     """
-    sets = chunks.select(F.col(group).alias("g"), F.col(order).alias("o"), F.array_sort(T.shingles(F.col(text), n)).alias("s"))
-    first = Window.partitionBy("g", F.xxhash64("s"), F.xxhash64(F.lit(17), "s")).orderBy("o")
-    reps = _written(sets.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at"), "dedup-sets")
-    words = reps.select("g", "o", F.size("s").alias("n"), F.explode("s").alias("w")).select("g", "o", "n", F.xxhash64("w").alias("w"))
-    often = words.groupBy("g", "w").agg(F.count("*").alias("df")).where("df > 1")
-    rank = F.row_number().over(Window.partitionBy("g", "o").orderBy("df", "w"))
+    spark = chunks.sparkSession
+    made: list[str] = []
+
+    def written(df: DataFrame, what: str) -> DataFrame:
+        made.append(fresh(spark, what))
+        df.write.parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    shingle = T.shingles(F.coalesce(F.col(text), F.lit("")), n)
+    sets = chunks.select(F.col(group).alias("g"), F.col(order).alias("o"), F.array_sort(F.array_distinct(F.transform(shingle, lambda w: F.xxhash64(F.col(group), w)))).alias("s"))
+    sets = sets.withColumn("k", F.struct("o", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(17), "s").alias("i")))
+    first = Window.partitionBy("g", "k.h", "k.i").orderBy("o")
+    reps = sets.withColumn("at", F.row_number().over(first)).where("at = 1").select("g", "o", "k", "s", F.monotonically_increasing_id().alias("id"))
+    reps = written(reps, "dedup-sets")
+    sets = reps.select("id", "s")
+
+    words = reps.select("id", "k", F.size("s").alias("n"), F.explode("s").alias("w"))
+    often = words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
+    shared = words.join(often, "w")
     # shingles of one chunk alone come first in it and meet nothing
-    own = words.groupBy("g", "o").agg(F.first("n").alias("n"))
-    shared = words.join(often, ["g", "w"])
-    alone = own.join(shared.groupBy("g", "o").agg(F.count("*").alias("k")), ["g", "o"]).select("g", "o", (F.col("n") - F.col("k")).alias("alone"))
-    prefix = shared.join(alone, ["g", "o"]).withColumn("r", rank + F.col("alone")).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * over) + 1)
-    prefix = prefix.select("g", "o", "w")
-    later = prefix.toDF("g", "later", "w")
-    pairs = prefix.join(later, ["g", "w"]).where("o < later").select("g", "o", "later").distinct()
-    left, right = reps.toDF("g", "o", "a"), reps.toDF("g", "later", "b")
-    alike = pairs.join(left, ["g", "o"]).join(right, ["g", "later"]).where(T.jaccard(F.col("a"), F.col("b")) > over)
-    alike = _written(alike.select("g", "o", "later"), "dedup-pairs")
-    state = _written(reps.join(alike.select("g", F.col("later").alias("o")).distinct(), ["g", "o"], "left_anti").select("g", "o", F.lit(True).alias("stays")), "dedup-state")
-    waiting = alike.select("g", F.col("later").alias("o")).distinct().count()
-    while waiting:
-        known = alike.join(state, ["g", "o"], "left").groupBy("g", F.col("later").alias("o")).agg(F.max("stays").alias("kept"), F.count(F.when(F.col("stays").isNull(), 1)).alias("open"))
-        told = known.join(state.select("g", "o"), ["g", "o"], "left_anti").where("kept or open = 0").select("g", "o", (~F.coalesce("kept", F.lit(False))).alias("stays"))
-        told = _written(told, "dedup-round")
-        done = told.count()
-        if not done:
-            raise RuntimeError("the order of the chunks must be unique in a group")
-        state = _written(state.unionByName(told), "dedup-state")
-        waiting -= done
-    return state.where("stays").select(F.col("g").alias(group), F.col("o").alias(order))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("w")))
+    prefix = shared.withColumn("from_end", place).where(F.col("from_end") >= F.ceil(F.col("n") * over)).select("w", "id", "k", "n")
+    some = Window.partitionBy("id")
+    live = written(prefix.withColumn("places", F.count("*").over(some)), "dedup-open")
+    opened = made[-1]
+    kept = [written(reps.join(live.select("id").distinct(), "id", "left_anti").select("id"), "dedup-stays")]
+
+    def sized(a: str, b: str) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * over
+
+    while not live.isEmpty():
+        before = opened
+        top = live.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("k", "id"))).where(F.col("r") <= front)
+        top = written(top.select("w", "id", "k", "n", "r", "places"), "dedup-front")
+        early, late = top.select("w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra")), top.select("w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+        met = early.join(late, "w").where((F.col("ra") < F.col("rb")) & sized("na", "nb")).select("a", "b").distinct()
+        after = _alike(met, sets, over).select(F.col("b").alias("id")).distinct()
+        seen = top.groupBy("id").agg(F.count("*").alias("m"), F.first("places").alias("places")).where("m = places")
+        stays = written(seen.join(after, "id", "left_anti").select("id"), "dedup-stays")
+        kept.append(stays)
+        rest = live.join(stays, "id", "left_anti")
+        mine = live.join(stays, "id", "left_semi").select("w", F.col("id").alias("a"), F.col("k").alias("ka"), F.col("n").alias("na"))
+        met = mine.join(rest.select("w", F.col("id").alias("b"), F.col("k").alias("kb"), F.col("n").alias("nb")), "w")
+        met = met.where((F.col("ka") < F.col("kb")) & sized("na", "nb")).select("a", "b").distinct()
+        gone = _alike(met, sets, over).select(F.col("b").alias("id")).distinct()
+        live = written(rest.join(gone, "id", "left_anti"), "dedup-open")
+        opened = made[-1]
+        removed(spark, before)
+        made.remove(before)
+    stays = kept[0]
+    for k in kept[1:]:
+        stays = stays.unionByName(k)
+    out = reps.select("id", F.col("g").alias(group), F.col("o").alias(order)).join(stays, "id", "left_semi").drop("id")
+    out = written(out, "dedup-kept")
+    for path in made[:-1]:
+        removed(spark, path)
+    return out

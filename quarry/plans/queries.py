@@ -549,7 +549,15 @@ def boundaries(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", segment.boundaries(T.split_sentences(F.col("text"))).alias("places"))
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, source, {_WORDS} AS w FROM documents),
+ s AS (SELECT doc_id, source, list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM w),
+ e AS (SELECT doc_id, source, unnest(s) AS x, len(s) AS n FROM s),
+ p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.source = b.source AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) > 0.8
+ UNION ALL SELECT s.source, least_id, doc_id FROM s JOIN (SELECT source, min(doc_id) AS least_id FROM s WHERE len(s) = 0 GROUP BY 1) f ON s.source = f.source AND doc_id > least_id WHERE len(s) = 0),
+ l AS (SELECT source, b, list(a) AS before, row_number() OVER (PARTITION BY source ORDER BY b) AS i FROM p GROUP BY 1, 2),
+ r AS (SELECT DISTINCT source, 0::BIGINT AS i, []::BIGINT[] AS gone FROM l UNION ALL
+ SELECT r.source, l.i, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, b) ELSE gone END FROM r JOIN l ON l.source = r.source AND l.i = r.i + 1)
+ SELECT source, doc_id FROM s WHERE doc_id NOT IN (SELECT unnest(gone) FROM (SELECT source, arg_max(gone, i) AS gone FROM r GROUP BY 1))""")
 def near_dup_greedy(spark: SparkSession, d: str) -> DataFrame:
     return dedup.greedy(_docs(spark, d), "source", "doc_id")
 

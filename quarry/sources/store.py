@@ -47,6 +47,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table in between that nothing reads any more."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
 MARK = "_quarry_store"
 
 

@@ -87,6 +87,31 @@ def test_greedy_near_copies(spark):
     assert dedup.greedy(df.where("false"), "g", "o").count() == 0
 
 
+def test_greedy_over_a_large_group(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(None if i % 50 == 7 else 1, i, " ".join([*base[:at], f"x{i}", *base[at + 1 :]])) for i in range(2000) for at in [rng.randrange(150)]]
+    pairs, alike = [], dedup._alike
+    monkeypatch.setattr(dedup, "_alike", lambda p, *rest: (pairs.append(p.count()), alike(p, *rest))[1])
+    df = spark.createDataFrame(rows, "g int, o long, text string").withColumns({c: F.lit("mine") for c in ("w", "k", "s", "id")})
+    got = {(r.g, r.o) for r in dedup.greedy(df, "g", "o").collect()}
+    kept: dict = {}
+    for g, i, t in rows:
+        w = t.split()
+        s = {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+        if not any(len(a & s) / len(a | s) > 0.8 for _, a in kept.setdefault(g, [])):
+            kept[g].append((i, s))
+    assert got == {(g, i) for g in kept for i, _ in kept[g]}
+    assert len(got) < 20 and sum(pairs) < 10 * len(rows)
+
+
+def test_greedy_ties_and_null_orders(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    rows = [(1, 5, words[0]), (1, 5, words[1]), (1, None, words[0] + " more"), (None, None, words[1]), (1, 5, words[1])]
+    got = dedup.greedy(spark.createDataFrame(rows, "g int, o long, text string"), "g", "o").collect()
+    assert sorted(((r.g, r.o) for r in got), key=repr) == [(1, 5), (1, None), (None, None)]
+
+
 POINTS = [{"category": f"C{i}", "time_period": None, "value": float(i), "unit": "kg"} for i in range(20)]
 
 
