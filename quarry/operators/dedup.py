@@ -22,7 +22,7 @@ def greedy(chunks: DataFrame, group: str, order: str, text: str = "text", over:
     before is above `over`. Chunks of fewer than n words, or without a text, are all alike.
 
     A null group is a group of its own, and a null order comes first. Chunks of one order in a group are taken by hashes
-    of their sets. Shingles are 64-bit hashes of their group and words. Other columns of `chunks` are not looked at.
+    of their sets. Shingles are 64-bit hashes of their group and of 64-bit hashes of their words. Other columns of `chunks` are not looked at.
 
     Chunks with equal sets are one. Two sets that are alike share a shingle among the rarest of each (a share of 1 - over
     of them and one). In each round the first `front` open chunks of each such shingle are compared; one that is among
@@ -38,8 +38,10 @@ def greedy(chunks: DataFrame, group: str, order: str, text: str = "text", over:
         df.write.parquet(made[-1])
         return spark.read.schema(df.schema).parquet(made[-1])
 
-    shingle = T.shingles(F.coalesce(F.col(text), F.lit("")), n)
-    sets = chunks.select(F.col(group).alias("g"), F.col(order).alias("o"), F.array_sort(F.array_distinct(F.transform(shingle, lambda w: F.xxhash64(F.col(group), w)))).alias("s"))
+    hashes = F.transform(T.words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w))
+    runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(F.col(group), *[F.get(h, i + k) for k in range(n)]))
+    shingles = T.bound(hashes, lambda h: F.when(F.size(h) >= n, F.array_sort(F.array_distinct(runs(h)))).otherwise(F.array().cast("array<bigint>")))
+    sets = chunks.select(F.col(group).alias("g"), F.col(order).alias("o"), shingles.alias("s"))
     sets = sets.withColumn("k", F.struct("o", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(17), "s").alias("i")))
     first = Window.partitionBy("g", "k.h", "k.i").orderBy("o")
     reps = sets.withColumn("at", F.row_number().over(first)).where("at = 1").select("g", "o", "k", "s", F.monotonically_increasing_id().alias("id"))
