@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,9 +109,48 @@ def md_types(c: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in kinds.items()]))
 
 
-def front_matter(values: dict[str, Column]) -> Column:
-    """`key: value` lines between `---` lines, in order of the keys; missing values are left out, and nothing is rendered of none."""
-    lines = F.array_compact(F.array(*[F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in sorted(values.items())]))
+# Strings that YAML 1.1 would read as something else, or that can't stand plain in a block mapping.
+YAML_OTHER = r"(?x) ^( | ~ | null|Null|NULL | yes|Yes|YES|no|No|NO|true|True|TRUE|false|False|FALSE|on|On|ON|off|Off|OFF | = | << | [-+]?0b[01_]+ | [-+]?0[0-7_]+ | [-+]?(0|[1-9][0-9_]*) | [-+]?0x[0-9a-fA-F_]+ | [-+]?[1-9][0-9_]*(:[0-5]?[0-9])+ | [-+]?[0-9][0-9_]*\.[0-9_]*([eE][-+][0-9]+)? | \.[0-9][0-9_]*([eE][-+][0-9]+)? | [-+]?[0-9][0-9_]*(:[0-5]?[0-9])+\.[0-9_]* | [-+]?\.(inf|Inf|INF) | \.(nan|NaN|NAN) | [0-9]{4}-[0-9]{2}-[0-9]{2} | [0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([Tt]|[\ \t]+)[0-9]{1,2}:[0-9]{2}:[0-9]{2}(\.[0-9]*)?([\ \t]*(Z|[-+][0-9]{1,2}(:?[0-9]{2})?))? )$"
+YAML_MARKED = r"^[#,\[\]{}&*!|>'\"%@`]|^[-?:]($|[ ])|^---|^\.\.\.|:($|[ ])|[ ]#|^[ ]|[ ]$"
+YAML_ESCAPED = r"[^\x20-\x7e]"
+YAML_WIDTH = 80
+
+
+def yaml_scalar(c: Column, column: int = 0) -> Column:
+    """A string as the value of a block mapping that begins at the column: plain, in single quotes where plain text would
+    be read as something else, or in double quotes with escapes where it has other than printable ASCII characters. Plain
+    and single-quoted text goes on in a new line at the first single blank beyond 80 columns; escaped text is one line."""
+    quoted = F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    flow = F.when(c.rlike(YAML_OTHER) | c.rlike(YAML_MARKED), quoted).otherwise(c)
+
+    def step(a: Column, w: Column) -> Column:
+        over = (a["at"] > YAML_WIDTH) & (a["out"] != "")
+        sep = F.when(a["first"], "").when(over, "\n  ").otherwise(" ")
+        at = F.when(a["first"], a["at"] + F.length(w)).when(over, 2 + F.length(w)).otherwise(a["at"] + 1 + F.length(w))
+        return F.struct(at.alias("at"), F.lit(False).alias("first"), F.concat(a["out"], sep, w).alias("out"))
+
+    start = F.struct(F.lit(column).alias("at"), F.lit(True).alias("first"), F.lit("").alias("out"))
+    folded = F.aggregate(F.split(flow, r"(?<=[^ ]) (?=[^ ])", -1), start, step, lambda a: a["out"])
+    hexed = lambda x, n: F.lpad(F.hex(F.ascii(x)), n, "0")
+    named = {"\\": "\\\\", '"': '\\"', "\0": "\\0", "\x07": "\\a", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\v": "\\v", "\f": "\\f", "\r": "\\r", "\x1b": "\\e", "\x85": "\\N", "\xa0": "\\_", "\u2028": "\\L", "\u2029": "\\P"}
+
+    def escaped(x: Column) -> Column:
+        code = F.ascii(x)
+        long = F.when(code < 256, F.concat(F.lit("\\x"), hexed(x, 2))).when(code < 65536, F.concat(F.lit("\\u"), hexed(x, 4))).otherwise(F.concat(F.lit("\\U"), hexed(x, 8)))
+        known = F.element_at(F.create_map(*[F.lit(v) for kv in named.items() for v in kv]), x)
+        return F.coalesce(known, F.when(x.rlike(YAML_ESCAPED), long).otherwise(x))
+
+    double = F.concat(F.lit('"'), F.array_join(F.transform(F.split(c, ""), escaped), ""), F.lit('"'))
+    return F.when(c.rlike(YAML_ESCAPED), double).otherwise(folded)
+
+
+def front_matter(values: dict[str, Column], numbers: Collection[str] = ()) -> Column:
+    """`key: value` lines between `---` lines, in order of the keys; missing values are left out, and nothing is rendered of none.
+
+    Values are strings, but for the keys in `numbers`.
+    """
+    shown = {k: v.cast("string") if k in numbers else yaml_scalar(v.cast("string"), len(k) + 2) for k, v in values.items()}
+    lines = F.array_compact(F.array(*[F.concat(F.lit(f"{k}: "), v) for k, v in sorted(shown.items())]))
     return F.when(F.size(lines) == 0, "").otherwise(F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---")))
 
 

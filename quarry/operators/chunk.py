@@ -75,8 +75,9 @@ def chunked(pages: DataFrame, options: Options | None = None, embed: segment.Emb
 
     A tokenizer gives the windows of the strategy `token` and the token counts of all chunks; a Punkt model the sentences of the strategy `sentence`.
 
-    An unknown strategy is `token`. The id is worked out from the text, its source, pages and place, before metadata is
-    looked at; with overrides, metadata that has the name of a text column takes its place.
+    An unknown strategy is `token`, and `hybrid_chunking` is `hybrid`. The id is worked out from the text, its source, pages and place, before metadata is
+    looked at; with overrides, metadata that has the name of a text column takes its place. Front matter is put before the text at the end, so that id, hash
+    and token count are those of the text alone; a key that is no column is looked up in the metadata.
     """
     o = options or Options()
     docs = pages.withColumns({"page_start": F.coalesce("page_start", F.lit(1)), "page_end": F.coalesce("page_end", F.lit(1))})
@@ -84,8 +85,9 @@ def chunked(pages: DataFrame, options: Options | None = None, embed: segment.Emb
         docs = docs.withColumn("metadata", F.create_map().cast("map<string,string>"))
     keys = ["source_name", "page_start", "page_end", "metadata"]
     text, limits = F.col("text"), {"target": o.target_tokens, "least": o.min_tokens}
-    strategy = o.strategy if o.strategy in STRATEGIES else "token"
-    none, zero = F.lit(None).cast("string"), F.lit(0)
+    strategy = {"hybrid_chunking": "hybrid"}.get(o.strategy, o.strategy)
+    strategy = strategy if strategy in STRATEGIES else "token"
+    zero = F.lit(0)
     if strategy == "token":
         found = token_windows(docs, keys, o.target_tokens, o.overlap_tokens, o.min_tokens, raw=True, tokenizer=tokenizer)
     elif strategy == "character":
@@ -111,15 +113,19 @@ def chunked(pages: DataFrame, options: Options | None = None, embed: segment.Emb
         fields = found.schema["c"].dataType
         names = fields.names if hasattr(fields, "names") else []
         raw = F.col("c.raw") if "raw" in names else F.col("c.chunk") if names else F.col("c")
-        path = F.col("c.section_path") if "section_path" in names else none
-        found = found.select(*keys, raw.alias("chunk"), zero.alias("char_start"), F.length(raw).alias("char_end"), path.alias("section_path"))
-    if "section_path" not in found.columns:
-        found = found.withColumn("section_path", none)
+        own = {made: F.col(f"c.{name}") for made, name in {"section_path": "section_path", "md_types_present": "md_types", "header_level": "header_level", "sentence_count": "sentence_count"}.items() if name in names}
+        found = found.select(*keys, raw.alias("chunk"), zero.alias("char_start"), F.length(raw).alias("char_end"), *[c.alias(made) for made, c in own.items()])
+    extras = {"section_path": "string", "md_types_present": "array<string>", "header_level": "int", "sentence_count": "int"}
+    found = found.withColumns({c: F.lit(None).cast(kind) for c, kind in extras.items() if c not in found.columns})
     rows = found.where("chunk is not null").select(
-        T.normalize_text(F.col("chunk")).alias("text"), "source_name", "page_start", "page_end", hooks.count_tokens(F.col("chunk"), tokenizer).alias("tokens"), F.lit(strategy).alias("parser"), F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), "section_path", "metadata"
+        T.normalize_text(F.col("chunk")).alias("text"), "source_name", "page_start", "page_end", hooks.count_tokens(F.col("chunk"), tokenizer).alias("tokens"), F.lit(strategy).alias("parser"), F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), *extras, "metadata"
     )
     own = T.chunk_id(*[F.col(c) for c in ("text", "source_name", "page_start", "page_end", "char_start", "char_end")])
     rows = rows.select(own.alias("id"), F.sha2("text", 256).alias("sha256"), *rows.columns)
     if overrides:
         rows = rows.withColumns({c: F.coalesce(F.col("metadata")[c], F.col(c)) for c in ("id", "sha256", "text", "source_name", "parser", "section_path")})
+    if o.include_front_matter:
+        values = {k: F.col(k) if k in rows.columns else F.col("metadata")[k] for k in o.front_matter_keys}
+        front = T.front_matter(values, numbers=("page_start", "page_end", "tokens", "char_start", "char_end", "header_level", "sentence_count"))
+        rows = rows.withColumn("text", F.concat(front, F.lit("\n\n"), "text"))
     return rows

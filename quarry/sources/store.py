@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
-CHUNK = "id string, sha256 string, text string, source_name string, page_start int, page_end int, tokens int, parser string, char_start int, char_end int, section_path string, metadata map<string,string>"
+CHUNK = "id string, sha256 string, text string, source_name string, page_start int, page_end int, tokens int, parser string, char_start int, char_end int, section_path string, md_types_present array<string>, header_level int, sentence_count int, metadata map<string,string>"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -129,6 +129,8 @@ class Options:
     top_k_vocab: int = 60
     answer_mode: str = "extractive"
     company: str = "the company"
+    include_front_matter: bool = False
+    front_matter_keys: tuple[str, ...] = ("source_name", "section_path", "page_start", "page_end", "tokens", "sha256", "created_at")
 
     def to_json(self) -> str:
         return json.dumps(dataclasses.asdict(self), sort_keys=True)
@@ -136,4 +138,5 @@ class Options:
     def merged(self, text: str) -> Options:
         """These options with those of a JSON text over them; names that are none are left out."""
         given = json.loads(text)
+        given = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items()}
         return dataclasses.replace(self, **{f.name: given[f.name] for f in dataclasses.fields(self) if f.name in given})

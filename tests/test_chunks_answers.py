@@ -1,11 +1,15 @@
 """Ordered chunkers, answers and number extraction against plain Python or given values."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.operators import answer, ground, pack, segment
+from quarry.functions import text as T
+from quarry.operators import answer, chunk, ground, pack, segment
 from quarry.plans.queries import QUERIES
+from quarry.sources.store import Options
 
 DATA = "/root/testdata/sf0.001"
 tokens = lambda s: max(1, len(s) // 4)
@@ -96,3 +100,37 @@ def test_table_and_chart(spark):
     assert ground.chart(rows)["mark"]["type"] == "line"
     assert ground.chart([r for r in rows if not r["time_period"]], "Donut Chart")["mark"] == {"type": "arc", "innerRadius": 50}
     assert ground.markdown_table(points.where("false")).first().table.startswith("No tabular data")
+
+
+def test_yaml_scalars(spark):
+    yaml = pytest.importorskip("yaml")
+    words = ["a", "is: it", "x #y", "- b", "-b", "? q", "yes", "Null", "~", "12", "1_0", "0x1f", "1.5e+3", "1e5", ".5", "2024-01-02", "12:30", "", " lead", "trail ", "it's", "'q", "[l", "{m", "a > b", "> c", "%d", "@e", "`f", "&g", "*h", "!i", "|j", "k:", "k:v", "café", "tab\there", "世", "\U0001f600", 'say "hi"', "back\\slash", "---", "...", "=", "<<", "a,b", "0.1.2", "on", "007", "089", "line\nbreak"]
+    rng = random.Random(4)
+    long = [" > ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    values = words + long + [f"it's {x}: y" for x in long] + ["w" * 90 + " x", "a  b " * 30 + "c"]
+    for key in ("source_name", "k"):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+        got = {r.i: r.f for r in df.select("i", T.front_matter({key: F.col("v")}).alias("f")).collect()}
+        wrong = {v: (got[i], want) for i, v in enumerate(values) if got[i] != (want := f"---\n{yaml.dump({key: v}, default_flow_style=False, width=80)}---") and not (v.isascii() is False or "\t" in v or "\n" in v)}
+        assert wrong == {}
+        for i, v in enumerate(values):
+            assert yaml.safe_load(got[i].split("---\n", 1)[1].removesuffix("---")) == {key: v}
+
+
+def test_front_matter_in_chunks(spark):
+    text = "# Top\nintro words here\n\n## Sub\n- a list\n\n> quoted"
+    pages = spark.createDataFrame([("a.md", text, 2, 3, {"created_at": "2024-01-02", "other": "x"})], "source_name string, text string, page_start int, page_end int, metadata map<string,string>")
+    plain = chunk.chunked(pages, Options(strategy="markdown_structure")).orderBy("section_path").collect()
+    assert [(r.section_path, r.header_level, r.md_types_present, r.sentence_count) for r in plain] == [("Top", 1, [], None), ("Top > Sub", 2, ["blockquote", "list"], None)]
+    options = Options(strategy="markdown_structure", include_front_matter=True)
+    assert Options().merged(options.to_json()) == options
+    rich = chunk.chunked(pages, options).orderBy("section_path").collect()
+    for a, b in zip(plain, rich, strict=True):
+        assert (a.id, a.sha256, a.tokens) == (b.id, b.sha256, b.tokens)
+        front = f"---\ncreated_at: '2024-01-02'\npage_end: 3\npage_start: 2\nsection_path: {a.section_path}\nsha256: {a.sha256}\nsource_name: a.md\ntokens: {a.tokens}\n---"
+        assert b.text == f"{front}\n\n{a.text}"
+    none = chunk.chunked(pages, Options(strategy="page", include_front_matter=True, front_matter_keys=("section_path",))).first()
+    assert none.text.startswith("\n\n# Top")
+    semantic = chunk.chunked(pages.withColumn("text", F.lit("One thing. Two things. Three things.")), Options(strategy="semantic_boundary", min_tokens=1, semantic_threshold=0.0)).first()
+    assert semantic.sentence_count == 3
+    assert chunk.chunked(pages, Options(strategy="hybrid_chunking", min_tokens=1)).first().parser == "hybrid"
