@@ -9,19 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import answer, chunk, ground, search, store as chunks_of
+from quarry.operators import answer, cells, chunk, ground, search, store as chunks_of
 from quarry.operators.segment import Embedder
 from quarry.sources import store
 from quarry.sources.log import Conflict, Log, Run, State
 from quarry.sources.store import Options
 
-VECTORS = "id string, vector array<double>"
-TABLES = {"chunks": store.CHUNK, "vectors": VECTORS, "sparse": search.SPARSE.format("string")} | search.schemas("string")
+TABLES = {"chunks": store.CHUNK, "sparse": search.SPARSE.format("string")} | search.schemas("string") | {t: s for t, s in cells.schemas("id", "string").items() if t in cells.LAID}
 
 
 @dataclass
 class Engine:
-    """A store below `path`: chunks, their vectors and the index of their terms, in one log of commits, and settings.
+    """A store below `path`: chunks, the index of their vectors and that of their terms, in one log of commits, and settings.
 
     embed turns texts into vectors, encoder (none by default) into sparse weights of which `top_k_vocab` a chunk are kept, reranker scores texts for a query, model(context, query) writes answers: all are
     hooks with a built-in stand-in or none. Chunks whose id is stored already are left out at ingest, and of those that repeat
@@ -47,7 +46,7 @@ class Engine:
         return self.log.read((state or self.log.state()).of("chunks"), store.CHUNK)
 
     def vectors(self, state: State | None = None) -> DataFrame:
-        return self.log.read((state or self.log.state()).of("vectors"), VECTORS)
+        return cells.Cells(self.log, state or self.log.state(), "id").vectors()
 
     def index(self) -> search.Index:
         return search.Index.read(self.spark, self.path)
@@ -73,9 +72,10 @@ class Engine:
             rows = log.read([new], store.CHUNK)
             stats, runs, info = chunks_of.ingest_stats(found, rows), [], {}
             if stats["new"]:
-                vectors = log.write("vectors", rows.select("id", self.embed(F.col("text")).cast("array<double>").alias("vector")))
+                embedded = store.written(rows.select("id", self.embed(F.col("text")).cast("array<double>").alias("vector")), "embedded")  # a model sees each chunk once
+                vectors, counts = cells.stored(log, state, embedded, "id")
                 runs, info = search.indexed(log, rows, state, "id", "text")
-                runs = [new, vectors, *runs, *self._sparse(rows)]
+                runs, info = [new, *vectors, *runs, *self._sparse(rows)], info | counts
             if stream is not None:
                 info["streams"] = state.info.get("streams", {}) | {stream: {"batch": batch, "stats": stats}}
             if not info:
@@ -86,7 +86,8 @@ class Engine:
             except Conflict:
                 continue
         store.put_json(self.spark, self._at("sparse.json"), {"backend": self.options.sparse_backend, "top_k_vocab": self.options.top_k_vocab})
-        log.merge(TABLES, search.LAID)
+        log.merge(TABLES, search.LAID | cells.LAID, cells.SPLIT)
+        cells.laid_anew(log, "id")
         return stats
 
     @staticmethod
@@ -125,7 +126,7 @@ class Engine:
         o = Options(**{**self.options.__dict__, **changes})
         vector = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first()[0]
         index = self.index()
-        best = search.search(index, self.vectors(index.state), query, o.mode, "id", list(vector), o.top_k, o.rerank_top_n, o.rrf_k, o.alpha, self._weights(query))
+        best = search.search(index, cells.Cells(index.log, index.state, "id"), query, o.mode, "id", list(vector), o.top_k, o.rerank_top_n, o.rrf_k, o.alpha, self._weights(query))
         found = self.chunks(index.state).join(F.broadcast(best), "id")  # as many rows as asked for
         reranker = self.reranker or search.RERANKERS.get(o.reranker)
         if reranker is not None:

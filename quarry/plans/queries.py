@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import hooks
 from quarry.functions import text as T
-from quarry.operators import answer, chunk, dedup, ground, pack, policy, punkt, search, segment, store
+from quarry.operators import answer, cells, chunk, dedup, ground, pack, policy, punkt, search, segment, store
 from quarry.sources.store import Options, fresh
 from quarry.sources.tables import table
 
@@ -141,6 +141,29 @@ def dense_l2(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_dense(spark, d, "l2"))
 
 
+def _in_cells(spark: SparkSession, d: str, score: str) -> DataFrame:
+    """What _dense finds, by an index of cells that the query stores."""
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.orderBy("vec_id").select("embedding").head(1)
+    index = cells.extend(vectors, fresh(spark, "cells"))
+    return index.nearest(list(asked[0][0]) if asked else [], K, score)
+
+
+@query(SQL["dense_dot"])
+def cells_dot(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_in_cells(spark, d, "dot"))
+
+
+@query(SQL["dense_clamped"])
+def cells_clamped(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_in_cells(spark, d, "clamped"))
+
+
+@query(SQL["dense_l2"])
+def cells_l2(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_in_cells(spark, d, "l2"))
+
+
 @query(
     f"""WITH {_BM25}, {_QV}, {_SPARSE},
  a AS (SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS part FROM bm ORDER BY score DESC, doc_id LIMIT {POOL}),
