@@ -1,7 +1,8 @@
 """Licence scans by a trained paragraph classifier (operator 3).
 
-Paragraphs are the lines of a text, all runs of two to RUN lines between blank ones, and whole
-blocks of lines between blank ones. Each is scored: word n-grams (one to three words, ASCII
+Paragraphs are the lines of a text, runs of lines between blank ones, and whole blocks of lines between
+blank ones. Of the runs all are taken that have at most RUN lines, or whose lines between the first and the last have at most WITHIN words: so any
+template lies, however it is wrapped, in a run of just the lines that it touches. Each is scored: word n-grams (one to three words, ASCII
 punctuation being blank) are hashed into DIM places, and a softmax regression over the families below
 and an `unknown` class adds up their weights, by running sums over the words of a text. It is trained
 with numpy on variations of the templates (words dropped, other words around them) and, for
@@ -52,6 +53,8 @@ TEMPLATES = {
 FAMILIES = [*TEMPLATES, "unknown"]
 DIM, NEGATIVES, CONFIRM, RUN = 1 << 15, 20_000, 0.5, 4
 BATCH, EPOCHS, STEPS = 1000, 4, 60
+#: As many words as the longest template has.
+WITHIN = max(len(re.findall(r"[^\W_]+", t)) for ts in TEMPLATES.values() for t in ts)
 TOKEN = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 BLANK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -93,12 +96,20 @@ def paragraphs(block: vec.Texts, words: np.ndarray) -> tuple[np.ndarray, ...]:
     closes = np.flatnonzero(full & np.concatenate((~full[1:] | (doc[1:] != doc[:-1]), [True])))
     last = np.zeros(len(starts), np.int64)
     last[full] = np.repeat(closes, closes - head + 1)
-    at, n = [], []
-    for m in range(1, RUN + 1):
-        at.append(np.flatnonzero(full & (np.arange(len(starts)) + m - 1 <= last)))
-        n.append(np.full(len(at[-1]), m))
-    long = closes - head + 1 > RUN
-    at, n = np.concatenate([*at, head[long]]), np.concatenate([*n, (closes - head + 1)[long]])
+    before = np.searchsorted(words, starts)  # words before each line
+    some, m, at, n = np.flatnonzero(full), 1, [], []
+    while len(some):  # a line of a block has a word or more, so runs are at most WITHIN + 2 lines long
+        at.append(some)
+        n.append(np.full(len(some), m))
+        m += 1
+        some = some[some + m - 1 <= last[some]]
+        if m > RUN:
+            some = some[before[some + m - 1] - before[some + 1] <= WITHIN]
+    at.append(head)
+    n.append(closes - head + 1)
+    at, n = np.concatenate(at), np.concatenate(n)
+    _, once = np.unique(at * (len(starts) + 1) + n, return_index=True)
+    at, n = at[once], n[once]
     return doc[at], at - first[doc[at]], n, starts[at], ends[at + n - 1]
 
 

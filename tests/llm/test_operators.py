@@ -8,11 +8,12 @@ import random
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import bpe, embed, langid, licences, packing, quality, queries, toxicity, warc
+from quarry.llm import bpe, embed, langid, licences, packing, quality, queries, toxicity, vec, warc
 
 DATA = "/root/testdata/sf0.001"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -92,6 +93,36 @@ def test_licences_without_cue_and_wrapped(spark):
     assert found == {60: [("mit", 0, True)], 61: [("gpl", 2, True)], 62: [("cc-by", 0, True)], 63: [("mit", 2, True)]}
 
 
+def test_licences_wrapped_word_by_word(spark):
+    """A template with one or two words a line, in a block of other lines, is one find."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")
+    words = licences.TEMPLATES["mit"][0].split()
+    around = ["tall trees grow", "near the river", "all year round"]
+    planted = ["\n".join([*around, *(" ".join(words[i : i + k]) for i in range(0, len(words), k)), *around]) for k in (1, 2)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(60 + i, t) for i, t in enumerate(planted)], "doc_id long, text string"))
+    found = {}
+    for r in licences.scan(docs, licences.train(docs)).where("doc_id >= 60").collect():
+        found.setdefault(r.doc_id, []).append((r.family, r.line_no <= 4, r.template_share > 0.9))
+    assert found == {60: [("mit", True, True)], 61: [("mit", True, True)]}
+
+
+def test_licences_runs_by_brute_force():
+    """Runs are those of the docstring."""
+    lines = ["", "a", "b b b", "a", "a a", "", *["w"] * 50, " ", "w " * 40, "x", "y " * 30, "z", "z", "z " * 9]
+    want, n_words = set(), [len(x.split()) for x in lines]
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            if all(n_words[i : j + 1]):
+                whole = (i == 0 or not n_words[i - 1]) and (j + 1 == len(lines) or not n_words[j + 1])
+                if j - i < licences.RUN or whole or sum(n_words[i + 1 : j]) <= licences.WITHIN:
+                    want.add((i, j - i + 1))
+    (block,) = vec.texts(pa.array(["\n".join(lines)]))
+    doc, line, n, lo, hi = licences.paragraphs(block, licences.grams(block)[0])
+    got = list(zip(line.tolist(), n.tolist(), strict=True))
+    assert set(got) == want and len(got) == len(want)
+    assert all(block.data[a:b].tobytes().decode() == "\n".join(lines[i : i + k]) for i, k, a, b in zip(line, n, lo, hi, strict=True))
+
+
 def test_licences_of_more_families(spark):
     plain = [f"The committee number {i} met by the river and spoke of boats and weather.\nMit.\nBy.\n" for i in range(60)]
     planted = [t for ts in licences.TEMPLATES.values() for t in ts]
