@@ -72,8 +72,10 @@ class Engine:
             rows = log.read([new], store.CHUNK)
             stats, runs, info = chunks_of.ingest_stats(found, rows), [], {}
             if stats["new"]:
-                embedded = store.written(rows.select("id", self.embed(F.col("text")).cast("array<double>").alias("vector")), "embedded")  # a model sees each chunk once
-                vectors, counts = cells.stored(log, state, embedded, "id")
+                embedded = store.fresh(self.spark, "embedded")  # a model sees each chunk once
+                rows.select("id", self.embed(F.col("text")).cast("array<double>").alias("vector")).write.parquet(embedded)
+                vectors, counts = cells.stored(log, state, self.spark.read.schema("id string, vector array<double>").parquet(embedded), "id")
+                store.removed(self.spark, embedded)
                 runs, info = search.indexed(log, rows, state, "id", "text")
                 runs, info = [new, *vectors, *runs, *self._sparse(rows)], info | counts
             if stream is not None:
