@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import threading
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ Offsets = Callable[[Sequence[str]], list[list[tuple[int, int]]]]
 #: From a text to array<struct<start, end>>, the character offsets of its tokens.
 Tokenizer = Callable[[Column], Column]
 SPANS = "array<struct<start:int,end:int>>"
+#: So many characters of texts, or one longer text, are with a tokenizer at a time.
+AT_ONCE = 1 << 18
 _loaded: dict[str, Any] = {}
 
 
@@ -34,26 +39,46 @@ def pieces_of_four(text: Column) -> Column:
 
 
 def tokenizer(name: str, load: Callable[[], Offsets], batch: int = 64) -> Tokenizer:
-    """A tokenizer of Python: a column of offsets, made in Arrow batches, `batch` texts at a time. Null texts have no tokens."""
+    """A tokenizer of Python: a column of offsets, made in Arrow batches, `batch` texts at a time and no more than AT_ONCE characters of them. Null texts have
+    no tokens. Offsets are kept as pairs of 32-bit integers, eight bytes a token of the batch."""
 
     @F.arrow_udf(SPANS)
     def spans(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = once(name, load)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for column in columns:
-            out: list = []
-            for lo in range(0, len(column), batch):
-                texts = [t or "" for t in column.slice(lo, batch).to_pylist()]
-                out += [[{"start": a, "end": b} for a, b in found] for found in encode(texts)]
-            yield pa.array(out, kind)
+            ends, flat = [0], [np.empty(0, np.int32)]
+            for texts in _some(column, batch):
+                found = encode(texts)
+                flat.append(np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int32, 2 * sum(map(len, found))))
+                for some in found:
+                    ends.append(ends[-1] + len(some))
+            both = np.concatenate(flat)
+            pairs = pa.StructArray.from_arrays([pa.array(both[0::2]), pa.array(both[1::2])], ["start", "end"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
 
     return lambda text: spans(text)
 
 
+def _some(column: pa.Array, batch: int) -> Iterator[list[str]]:
+    """The texts of a column, null ones empty, `batch` at a time; fewer where they have more than AT_ONCE characters."""
+    some, size = [], 0
+    for i in range(len(column)):
+        text = column[i].as_py() or ""
+        if some and (len(some) == batch or size + len(text) > AT_ONCE):
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 def file_tokenizer(path: str) -> Tokenizer:
     """A tokenizer of the tokenizers library from its JSON file, which every worker must be able to open. Special tokens are ordinary text."""
 
     def load() -> Offsets:
+        # a task has one core; the library's own threads would only wait for each other, each with memory of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
 
         own = Library.from_file(path)

@@ -58,6 +58,24 @@ def test_file_tokenizer_on_all_documents(spark):
     assert got == want
 
 
+def test_a_tokenizer_sees_few_characters_at_a_time(spark):
+    """Offsets of 64 texts of any length were with the tokenizer at once, and those of a whole batch were dicts of Python."""
+    limit = hooks.AT_ONCE
+
+    def load():
+        def encode(texts):
+            assert len(texts) == 1 or sum(map(len, texts)) <= limit
+            return [[(i, i + 2) for i in range(0, len(t), 2)] for t in texts]
+
+        return encode
+
+    docs = spark.range(80).coalesce(1).select("id", F.expr("case id when 7 then null when 9 then '' when 11 then repeat('ab', 200000) else repeat('ab', 5000) end").alias("text"))
+    spans = docs.select("id", hooks.tokenizer("twos", load)(F.col("text")).alias("t"))
+    got = spans.select("id", F.size("t").alias("n"), F.get("t", F.lit(1)).alias("second"), F.get("t", F.size("t") - 1)["end"].alias("end")).orderBy("id").collect()
+    size = {7: 0, 9: 0, 11: 200000}
+    assert [(r.n, r.second and tuple(r.second), r.end) for r in got] == [(n, (2, 4) if n else None, 2 * n if n else None) for n in (size.get(i, 5000) for i in range(80))]
+
+
 def test_model_workers(spark, tmp_path):
     def load():
         import os
