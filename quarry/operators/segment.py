@@ -13,8 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from quarry.functions import hashed
 from quarry.functions import text as T
 from quarry.operators import pack
 
@@ -28,22 +28,23 @@ def _pieces(items: Column, cuts: Column) -> Column:
     return F.transform(cuts, lambda c, k: F.slice(items, c + 1, F.coalesce(F.get(cuts, k + 1), F.size(items)) - c))
 
 
-def semantic(text: Column, target: int = 700, least: int = 120, threshold: float = 0.65, embed: Embedder = T.hashed_vector) -> Column:
+def semantic(text: Column, target: int = 700, least: int = 120, threshold: float = 0.65, embed: Embedder = T.hashed_vector, alike: Column | None = None) -> Column:
     """array<struct<chunk, sentence_count>>: runs of sentences, cut where the cosine of neighbours is below
     the threshold or a run would exceed the target. Runs of fewer than `least` tokens are left out; a
-    text of one sentence is one chunk whatever its size."""
+    text of one sentence is one chunk whatever its size. alike has the cosine of each sentence with the one before it, where they are known."""
 
     def cut(known: Column) -> Column:
         def step(a: Column, i: Column) -> Column:
             here = F.get(known, i)
-            apart = (i > 0) & ((T.cosine(F.get(known, i - 1)["v"], here["v"]) < threshold) | (a["n"] + here["n"] > target))
+            near = T.cosine(F.get(known, i - 1)["v"], here["v"]) if alike is None else F.get(alike, i)
+            apart = (i > 0) & ((near < threshold) | (a["n"] + here["n"] > target))
             return F.struct(F.when(apart, F.array_append(a["cuts"], i)).otherwise(a["cuts"]).alias("cuts"), F.when(apart, here["n"]).otherwise(a["n"] + here["n"]).alias("n"))
 
         start = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("n"))
         return F.aggregate(F.sequence(F.lit(0), F.size(known) - 1), start, step, lambda a: a["cuts"])
 
     def chunks(found: Column) -> Column:
-        known = F.transform(found, lambda s: F.struct(s.alias("s"), T.approx_tokens(s).alias("n"), embed(s).alias("v")))
+        known = F.transform(found, lambda s: F.struct(s.alias("s"), T.approx_tokens(s).alias("n"), *([embed(s).alias("v")] if alike is None else [])))
         runs = T.bound(known, lambda k: T.bound(cut(k), lambda c: _pieces(k, c)))
         rows = F.transform(runs, lambda r: F.struct(F.array_join(F.transform(r, lambda x: x["s"]), " ").alias("chunk"), F.size(r).alias("sentence_count")))
         return F.filter(rows, lambda r: T.approx_tokens(r["chunk"]) >= least)
@@ -52,27 +53,38 @@ def semantic(text: Column, target: int = 700, least: int = 120, threshold: float
     return F.when(text.isNotNull(), T.bound(T.sentences(text), lambda s: F.when(F.size(s) <= 1, whole).otherwise(chunks(s))))
 
 
-def by_semantic(docs: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
-    found = docs.select(*keys, F.posexplode(semantic(F.col(text), **options)).alias("chunk_no", "s"))
+def by_semantic(docs: DataFrame, keys: list[str], text: str = "text", embed: Embedder = T.hashed_vector, **options) -> DataFrame:
+    known = docs.select(*keys, F.col(text).alias("of"))
+    if embed is T.hashed_vector:
+        known = hashed.added(known.withColumn("sentences", T.sentences(F.col("of"))), "near", hashed.alike, "double")
+    chunks = semantic(F.col("of"), embed=embed, alike=F.col("near") if embed is T.hashed_vector else None, **options)
+    found = known.select(*keys, F.posexplode(chunks).alias("chunk_no", "s"))
     return found.select(*keys, "chunk_no", "s.chunk", "s.sentence_count")
 
 
-def hybrid(text: Column, target: int = 700, least: int = 120, threshold: float = 0.65, embed: Embedder | None = T.hashed_vector) -> Column:
+def hybrid(text: Column, target: int = 700, least: int = 120, threshold: float = 0.65, embed: Embedder | None = T.hashed_vector, parts: Column | None = None, alike: Column | None = None) -> Column:
     """array<struct<chunk, section_path>>: markdown sections; those over 1.5 targets are cut by meaning (by
-    sentences without an embedder); then near copies of a chunk kept before go."""
+    sentences without an embedder); then near copies of a chunk kept before go. parts are the sections of the text and alike the cosines of
+    the sentences of each, where they are known."""
     row = lambda c, s: F.struct(c.alias("chunk"), s["section_path"].alias("section_path"))
 
-    def finer(s: Column) -> Column:
+    def finer(s: Column, near: Column | None = None) -> Column:
         if embed is None:
             return F.transform(pack.packed(T.sentences(s["chunk"]), target, least, 2), lambda c: row(c, s))
-        return F.transform(semantic(s["chunk"], target, least, threshold, embed), lambda c: row(c["chunk"], s))
+        return F.transform(semantic(s["chunk"], target, least, threshold, embed, near), lambda c: row(c["chunk"], s))
 
-    split = F.transform(pack.sections(text), lambda s: F.when(T.approx_tokens(s["chunk"]) > 1.5 * target, finer(s)).otherwise(F.array(row(s["chunk"], s))))
-    return pack.first_of_alike(F.flatten(split))
+    split = lambda s, near=None: F.when(T.approx_tokens(s["chunk"]) > 1.5 * target, finer(s, near)).otherwise(F.array(row(s["chunk"], s)))
+    parts = pack.sections(text) if parts is None else parts
+    return pack.first_of_alike(F.flatten(F.transform(parts, lambda s: split(s)) if alike is None else F.zip_with(parts, alike, split)))
 
 
-def by_hybrid(docs: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
-    found = docs.select(*keys, F.posexplode(hybrid(F.col(text), **options)).alias("chunk_no", "s"))
+def by_hybrid(docs: DataFrame, keys: list[str], text: str = "text", target: int = 700, embed: Embedder | None = T.hashed_vector, **options) -> DataFrame:
+    known = docs.select(*keys, pack.sections(F.col(text)).alias("parts"))
+    if embed is T.hashed_vector:
+        long = F.transform("parts", lambda s: F.when(T.approx_tokens(s["chunk"]) > 1.5 * target, T.sentences(s["chunk"])).otherwise(F.array().cast("array<string>")))
+        known = hashed.added(known.withColumn("sentences", long), "near", hashed.alike, "double", nested=True)
+    chunks = hybrid(F.lit(None), target, embed=embed, parts=F.col("parts"), alike=F.col("near") if embed is T.hashed_vector else None, **options)
+    found = known.select(*keys, F.posexplode(chunks).alias("chunk_no", "s"))
     return found.select(*keys, "chunk_no", "s.chunk", "s.section_path")
 
 
@@ -181,6 +193,11 @@ def _stashed(text: Column) -> Column:
     return T.bound(T.bound(first, lambda x: stash(x, "CODE")), lambda x: stash(x, "TABLE"))
 
 
+def _whole(x: Column) -> Column:
+    """The sentences of a stashed text; one that is a stand-in is its block."""
+    return F.transform(T.split_sentences(x["text"]), lambda s: F.coalesce(F.get(F.filter(x["blocks"], lambda b: b["mark"] == s), F.lit(0))["block"], s))
+
+
 def _restored(c: Column, blocks: Column) -> Column:
     return F.aggregate(blocks, c, lambda s, b: F.replace(s, b["mark"], b["block"]))
 
@@ -215,6 +232,11 @@ def boundaries(sentences: Column, embed: Embedder = T.hashed_vector, window: int
     return F.when(F.size(sentences) <= 1, F.array().cast(INTS)).otherwise(found)
 
 
+def by_boundaries(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, places: the boundaries() of the sentences of each text by the built-in embedder."""
+    return hashed.added(docs.select(*keys, T.split_sentences(F.col(text)).alias("sentences")), "places", hashed.drops, "int")
+
+
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -282,29 +304,15 @@ def tiles(sentences: list[str], width: int = 20, around: int = 10, apart: int =
     return sorted(places - {0})
 
 
-def with_tiles(rows: DataFrame, sentences: str = "sentences") -> DataFrame:
-    """rows with a column tiles, the tiles() of each section, in place of the sentences (array<array<string>>)."""
-    kept = rows.drop(sentences)
-    names = kept.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [None if row is None else [tiles(s or []) for s in row] for row in batch.column(sentences).to_pylist()]
-            columns = [batch.column(c) for c in names] + [pa.array(found, pa.list_(pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "tiles"])
-
-    return rows.mapInArrow(run, StructType([*kept.schema.fields, StructField("tiles", ArrayType(ArrayType(IntegerType())))]))
-
-
 STRATEGIES = ("hybrid", "semantic", "texttiling", "token")
 
 
 def blocks(body: Column, strategy: str = "hybrid", target: int = 700, overlap: int = 80, least: int = 120, embed: Embedder | None = T.hashed_vector, places: Column | None = None) -> Column:
-    """The chunks of a section. semantic and hybrid cut at boundaries first, texttiling at the given places of sentences; token
-    fills windows. All leave code blocks and tables whole."""
+    """The chunks of a section. semantic and hybrid cut at boundaries first (at the given places, where they are known), texttiling at the given places of
+    sentences; token fills windows. All leave code blocks and tables whole."""
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}")
-    segmented = strategy in ("semantic", "hybrid") and embed is not None
+    segmented = strategy in ("semantic", "hybrid") and embed is not None and places is None
 
     def joined(s: Column) -> Column:
         lists = lambda part: pack.merged(part, target, overlap, least)
@@ -316,8 +324,7 @@ def blocks(body: Column, strategy: str = "hybrid", target: int = 700, overlap: i
         return lists(s)
 
     def chunks(x: Column) -> Column:
-        whole = lambda s: F.coalesce(F.get(F.filter(x["blocks"], lambda b: b["mark"] == s), F.lit(0))["block"], s)
-        found = T.bound(F.transform(T.split_sentences(x["text"]), whole), joined)
+        found = T.bound(_whole(x), joined)
         texts = F.transform(found, lambda run: T.boundary_cleanup(_restored(F.array_join(run, "\n"), x["blocks"])))
         return F.filter(texts, lambda t: t != "")
 
@@ -329,13 +336,15 @@ def standalone(docs: DataFrame, keys: list[str], text: str = "text", strategy: s
     clean = T.normalize_whitespace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")))
     filled = F.filter(headed(clean), lambda s: T.strip(s["body"]) != "")
     split = docs.select(*keys, filled.alias("sections"))
-    if strategy == "texttiling":
+    if given := strategy == "texttiling":
         # Python sees the sentences of all sections of a text at once, with stand-ins for blocks, and gives their places
         sentences = F.transform("sections", lambda s: T.split_sentences(_stashed(s["body"])["text"]))
-        split = with_tiles(split.withColumn("sentences", sentences))
+        split = hashed.added(split.withColumn("sentences", sentences), "tiles", lambda lists: map(tiles, lists), "int", nested=True)
+    elif given := strategy in ("semantic", "hybrid") and options.get("embed", T.hashed_vector) is T.hashed_vector:
+        split = hashed.added(split.withColumn("sentences", F.transform("sections", lambda s: T.bound(_stashed(s["body"]), _whole))), "tiles", hashed.drops, "int", nested=True)
     else:
         split = split.withColumn("tiles", F.transform("sections", lambda s: F.array().cast(INTS)))
-    cut = lambda s, at: F.transform(blocks(s["body"], strategy, places=at if strategy == "texttiling" else None, **options), lambda b: F.struct(s["section"].alias("section"), b.alias("chunk")))
+    cut = lambda s, at: F.transform(blocks(s["body"], strategy, places=at if given else None, **options), lambda b: F.struct(s["section"].alias("section"), b.alias("chunk")))
     rows = F.flatten(F.zip_with("sections", "tiles", cut))
     found = split.select(*keys, F.posexplode(rows).alias("no", "c"))
     return found.select(*keys, F.format_string("chunk_%05d", F.col("no") + 1).alias("id"), "c.section", "c.chunk", T.approx_tokens(F.col("c.chunk")).alias("tokens"))
