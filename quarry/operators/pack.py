@@ -136,7 +136,12 @@ def first_of_alike(chunks: Column, over: float = 0.8, n: int = 8) -> Column:
     """Of an array of structs with a field chunk, in order: those not alike to one kept before."""
     known = F.transform(chunks, lambda c: F.struct(c.alias("c"), T.shingles(c["chunk"], n).alias("set")))
 
+    def alike(k: Column, x: Column) -> Column:
+        # sets of sizes too far apart can't be alike, so few meet
+        a, b = F.size(k["set"]), F.size(x["set"])
+        return F.when(F.least(a, b) >= F.greatest(a, b) * over, T.jaccard(k["set"], x["set"]) > over).otherwise(False)
+
     def step(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: T.jaccard(k["set"], x["set"]) > over), kept).otherwise(F.concat(kept, F.array(x)))
+        return F.when(F.exists(kept, lambda k: alike(k, x)), kept).otherwise(F.concat(kept, F.array(x)))
 
     return T.bound(known, lambda k: F.transform(F.aggregate(k, F.slice(k, 1, 0), step), lambda x: x["c"]))
