@@ -124,24 +124,37 @@ def cascade(text: str, size: int, overlap: int, separators: tuple[str, ...] = SE
     return [x for x in out if x]
 
 
+#: Characters of pieces that a task hands on at a time.
+HANDED_ON = 1 << 20
+
+
 def by_recursion(docs: DataFrame, key: str, text: str = "text", size: int = 4000, overlap: int = 400) -> DataFrame:
     """key, chunk_no, char_start, chunk by the cascade of blank lines, line feeds, blanks and characters."""
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the size")
-    kind = docs.schema[key].dataType.simpleString()
+    kind, size_of = docs.schema[key].dataType.simpleString(), size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string())
+
+            def made(out: list[tuple], kinds: tuple = kinds) -> pa.RecordBatch:
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "chunk_no", "char_start", "chunk"])
+
+            out, size = [], 0
+            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                text = t.as_py() or ""
                 at, before = 0, 0
-                for no, piece in enumerate(cascade(t or "", size, overlap)):
-                    at = (t or "").find(piece, max(0, at + before - overlap) if no else 0)
+                for no, piece in enumerate(cascade(text, size_of, overlap)):
+                    at = text.find(piece, max(0, at + before - overlap) if no else 0)
                     before = len(piece)
                     out.append((k.as_py(), no, at, piece))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "chunk_no", "char_start", "chunk"])
+                    size += before
+                if size > HANDED_ON:  # pieces overlap, so that a whole batch of them could be much more than its texts
+                    yield made(out)
+                    out, size = [], 0
+            yield made(out)
 
     return docs.select(key, text).mapInArrow(run, f"key {kind}, chunk_no int, char_start int, chunk string").withColumnRenamed("key", key)
 

@@ -168,3 +168,12 @@ def test_cosines_in_batches_are_those_of_columns(spark):
         kind = "int" if of is hashed.drops else "double"
         got = {r.doc_id: r.x for r in hashed.added(lists.withColumnRenamed("s", "sentences"), "x", of, kind).collect()}
         assert got == {r.doc_id: r.x for r in lists.select("doc_id", column.alias("x")).collect()}
+
+
+def test_recursion_hands_on_few_pieces_at_a_time(spark, monkeypatch):
+    """All pieces of a batch of Arrow were held at once, as objects of Python; however they are handed on, they are the same."""
+    docs = frame(spark, *[" ".join(f"w{i}{k}" for k in range(300)) for i in range(40)], None, "")
+    whole = segment.by_recursion(docs, "doc_id", size=200, overlap=20)
+    want = sorted(map(tuple, whole.collect()))
+    monkeypatch.setattr(segment, "HANDED_ON", 500)
+    assert sorted(map(tuple, segment.by_recursion(docs, "doc_id", size=200, overlap=20).collect())) == want
