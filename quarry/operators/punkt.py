@@ -6,6 +6,8 @@ short is an abbreviation; what follows full stops more often than elsewhere star
 collocations, which no sentence end divides. What is learned are three small tables of types whose number is checked before they are broadcast;
 a larger model is joined by shuffle to the candidates of its types. The split itself is Column functions over the tokens of one row.
 
+Arrays that are worked out from texts are exploded with *_outer: for explode, Spark looks at their size first, and works them out twice or more.
+
 Types are lower-cased; numbers are the type ##number##. A token is a run without white space, stripped of quotes and brackets. Null texts have no sentences.
 """
 
@@ -27,38 +29,55 @@ FEW = 200_000
 _EDGE = r"^[\p{Ps}\p{Pi}\"'`]+|[\p{Pe}\p{Pf}\"'`]+$"
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<raw, type, dot, upper, lower, ended>> of a text: the run itself, its type without a final full stop, whether it has one,
-    how its first letter is written, and whether ! or ? ends it."""
+def runs(text: Column) -> Column:
+    """array<string> of a text: its runs without white space."""
+    return F.filter(F.split(text, T.BLANK), lambda r: r != "")
 
-    def token(raw: Column) -> Column:
-        bare = F.regexp_replace(raw, _EDGE, "")
-        body = F.regexp_replace(bare, r"[.!?,;:]+$", "")
-        kind = F.when(body.rlike(r"^[-+]?[0-9][0-9.,]*$"), F.lit(NUMBER)).otherwise(F.lower(body))
-        return F.struct(
-            raw.alias("raw"), kind.alias("type"), bare.rlike(r"[^.]\.$").alias("dot"), body.rlike(r"^\p{Lu}").alias("upper"), body.rlike(r"^\p{Ll}").alias("lower"), bare.rlike(r"[!?]$|\.\.+$").alias("ended"),
-        )
 
-    runs = F.filter(F.split(text, T.BLANK), lambda r: r != "")
-    return F.transform(runs, token)
+def token(raw: Column) -> Column:
+    """struct<type, dot, upper, lower, ended> of a run: its type without a final full stop, whether it has one, how its first letter is written, and whether
+    ! or ? ends it. Several patterns a run: it is for distinct runs and for those with a mark, not for every place of a corpus."""
 
+    def of(bare: Column) -> Column:
+        def kinds(body: Column) -> Column:
+            kind = F.when(body.rlike(r"^[-+]?[0-9][0-9.,]*$"), F.lit(NUMBER)).otherwise(F.lower(body))
+            return F.struct(kind.alias("type"), bare.rlike(r"[^.]\.$").alias("dot"), body.rlike(r"^\p{Lu}").alias("upper"), body.rlike(r"^\p{Ll}").alias("lower"), bare.rlike(r"[!?]$|\.\.+$").alias("ended"))
 
-def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """type, n, dots, upper_n, lower_n and, of its places after a sentence end, starts: one row a word type."""
+        return T.bound(F.regexp_replace(bare, r"[.!?,;:]+$", ""), kinds)
+
+    return T.bound(F.regexp_replace(raw, _EDGE, ""), of)
+
+
+def _marked(raw: Column) -> Column:
+    """Whether a run can end a sentence: it has a mark somewhere."""
+    return F.contains(raw, F.lit(".")) | F.contains(raw, F.lit("!")) | F.contains(raw, F.lit("?"))
 
-    def seen(t: Column) -> Column:
-        row = lambda x, i: F.struct(x["type"].alias("type"), x["dot"].alias("dot"), x["upper"].alias("upper"), x["lower"].alias("lower"), F.coalesce(F.get(t, i - 1)["dot"] | F.get(t, i - 1)["ended"], F.lit(False)).alias("start"))
-        return F.transform(t, row)
 
-    each = docs.select(F.explode(T.bound(tokens(F.col(text)), seen)).alias("e")).select("e.*").where("type <> ''")
+def counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """type, n, dots, upper_n, lower_n and, of its places after a sentence end, starts: one row a word type.
+
+    Places are counted by their run and by whether one before it, which must have a mark, ends a sentence; only these distinct runs are looked at by patterns.
+    """
+    ends = lambda r: T.bound(F.regexp_replace(r, _EDGE, ""), lambda bare: bare.rlike(r"[^.]\.$|[!?]$|\.\.+$"))
+    row = lambda t: lambda x, i: F.struct(x.alias("raw"), F.when(_marked(F.get(t, i - 1)), ends(F.get(t, i - 1))).otherwise(F.lit(False)).alias("start"))
+    each = docs.select(F.explode_outer(T.bound(runs(F.col(text)), lambda t: F.transform(t, row(t)))).alias("e")).where("e is not null").groupBy("e.raw", "e.start").agg(F.count("*").alias("times"))
+    flat = each.select("times", "start", token(F.col("raw")).alias("t")).select("times", "start", "t.*").where("type <> ''")
     flags = {"dots": "dot", "upper_n": "upper", "lower_n": "lower", "starts": "start"}
-    return each.groupBy("type").agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in flags.items()])
+    return flat.groupBy("type").agg(F.sum("times").alias("n"), *[F.sum(F.when(F.col(c), F.col("times")).otherwise(F.lit(0).cast("long"))).alias(name) for name, c in flags.items()])
+
+
+def _meeting(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, at, raw, next of the runs that have a mark."""
+    place = lambda t: lambda x, i: F.when(_marked(x), F.struct(i.alias("at"), x.alias("raw"), F.get(t, i + 1).alias("next")))
+    some = lambda t: F.filter(F.transform(t, place(t)), lambda p: p["next"].isNotNull())
+    return docs.select(*keys, F.explode_outer(T.bound(runs(F.col(text)), some)).alias("e")).where("e is not null").select(*keys, "e.*")
 
 
 def pairs(docs: DataFrame, text: str = "text") -> DataFrame:
     """a, b, n: how often type b follows type a and a full stop."""
-    following = lambda t: F.filter(F.transform(t, lambda x, i: F.struct(F.when(x["dot"], x["type"]).alias("a"), F.get(t, i + 1)["type"].alias("b"))), lambda p: (p["a"] != "") & (p["b"] != ""))
-    return docs.select(F.explode(T.bound(tokens(F.col(text)), following)).alias("e")).groupBy("e.a", "e.b").agg(F.count("*").alias("n"))
+    each = _meeting(docs, [], text).groupBy("raw", "next").agg(F.count("*").alias("times"))
+    known = each.select("times", token(F.col("raw")).alias("t"), token(F.col("next")).alias("u")).where("t.dot and t.type <> '' and u.type <> ''")
+    return known.groupBy(F.col("t.type").alias("a"), F.col("u.type").alias("b")).agg(F.sum("times").alias("n"))
 
 
 def _ln(x: Column) -> Column:
@@ -133,9 +152,8 @@ def breaks(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -
     ! and ? end one. A full stop does so unless its word is an abbreviation, an initial or a number; after these it does where the next word
     is a known starter in capitals, or is written small elsewhere too and stands in capitals here, and is no collocation.
     """
-    place = lambda t: lambda x, i: F.struct(i.alias("at"), x["type"].alias("a"), x["dot"].alias("dot"), x["ended"].alias("ended"), F.get(t, i + 1)["type"].alias("b"), F.get(t, i + 1)["upper"].alias("capital"))
-    asked_of = lambda t: F.filter(F.transform(t, place(t)), lambda p: (p["dot"] | p["ended"]) & p["b"].isNotNull())
-    flat = docs.select(*keys, F.explode(T.bound(tokens(F.col(text)), asked_of)).alias("e")).select(*keys, "e.*")
+    known = _meeting(docs, keys, text).select(*keys, "at", token(F.col("raw")).alias("t"), token(F.col("next")).alias("u"))
+    flat = known.select(*keys, "at", F.col("t.type").alias("a"), "t.dot", "t.ended", F.col("u.type").alias("b"), F.col("u.upper").alias("capital")).where("dot or ended")
     plain = flat.where("ended").select(*keys, "at")
     asked = flat.where("not ended")
     flag = lambda df, name, *cols: df.select(*cols).distinct().withColumn(name, F.lit(True))
@@ -153,7 +171,7 @@ def breaks(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -
 def _cut(t: Column, ends: Column) -> Column:
     def piece(end: Column, i: Column) -> Column:
         start = F.when(i > 0, F.get(ends, i - 1) + 1).otherwise(0)
-        return F.array_join(F.transform(F.slice(t, start + 1, end - start + 1), lambda x: x["raw"]), " ")
+        return F.array_join(F.slice(t, start + 1, end - start + 1), " ")
 
     return F.when(F.size(t) > 0, F.transform(ends, piece)).otherwise(F.array().cast("array<string>"))
 
@@ -171,9 +189,9 @@ def sentence_arrays(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     found = rows.join(places, row, "left")
     cuts = F.coalesce("cuts", F.array().cast("array<int>"))
     pieces = lambda t: T.bound(F.concat(cuts, F.array(F.size(t) - 1)), lambda ends: _cut(t, ends))
-    return found.withColumn("sentences", T.bound(tokens(F.col(text)), pieces)).drop(row, "cuts")
+    return found.withColumn("sentences", T.bound(runs(F.col(text)), pieces)).drop(row, "cuts")
 
 
 def sentences(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
     """keys, sentence_no, sentence."""
-    return sentence_arrays(docs.select(*keys, text), model, text).select(*keys, F.posexplode("sentences").alias("sentence_no", "sentence"))
+    return sentence_arrays(docs.select(*keys, text), model, text).select(*keys, F.posexplode_outer("sentences").alias("sentence_no", "sentence")).where("sentence_no is not null")

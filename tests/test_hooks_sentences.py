@@ -297,3 +297,13 @@ def test_rows_of_one_key_are_one_document(spark, tmp_path):
     index = search.extend(docs, str(tmp_path / "i"))
     assert sorted(tuple(r) for r in index.postings.select("key", "term", "tf", "dl").collect()) == [(1, "a", 3, 3), (1, "b", 1, 3), (2, "b", 1, 1)]
     assert sorted((r.key, r.dl, round(r.norm, 6)) for r in index.docs.collect()) == [(1, 1, 1.549924), (1, 3, 1.549924), (2, 1, 0.693147)]
+
+
+def test_punkt_looks_at_distinct_runs_by_patterns(spark):
+    """Each place of the corpus was looked at by six patterns, in each of two or more evaluations of its text; now a text is only split and its runs are counted."""
+    docs = spark.createDataFrame([(0, 'Dr. No! "no." yes... (A. b) 3.5 x.'), (1, None), (2, ""), (3, ". No")], "doc_id long, text string")
+    plan = punkt.counts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
+    assert not any("Filter" in line and "size(" in line for line in plan.splitlines())
+    got = {r.type: (r.n, r.dots, r.upper_n, r.lower_n, r.starts) for r in punkt.counts(docs).collect()}
+    assert got == {"dr": (1, 1, 1, 0, 0), "no": (3, 1, 2, 1, 2), "yes": (1, 0, 0, 1, 1), "a": (1, 1, 1, 0, 1), "b": (1, 0, 0, 1, 1), "##number##": (1, 0, 0, 0, 0), "x": (1, 1, 0, 1, 0)}
