@@ -199,7 +199,7 @@ def run_lengths(c: Column) -> Column:
         starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
         return bound(starts, lambda at: F.transform(at, lambda p, k: F.struct(F.get(s, p).alias("value"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).alias("n"))))
 
-    return bound(F.array_sort(c), counted)
+    return bound(F.sort_array(c), counted)  # array_sort compares by a lambda
 
 
 def hashed_vector(c: Column, size: int = 64) -> Column:

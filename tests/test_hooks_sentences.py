@@ -307,3 +307,10 @@ def test_punkt_looks_at_distinct_runs_by_patterns(spark):
     assert not any("Filter" in line and "size(" in line for line in plan.splitlines())
     got = {r.type: (r.n, r.dots, r.upper_n, r.lower_n, r.starts) for r in punkt.counts(docs).collect()}
     assert got == {"dr": (1, 1, 1, 0, 0), "no": (3, 1, 2, 1, 2), "yes": (1, 0, 0, 1, 1), "a": (1, 1, 1, 0, 1), "b": (1, 0, 0, 1, 1), "##number##": (1, 0, 0, 0, 0), "x": (1, 1, 0, 1, 0)}
+
+
+def test_sparse_rows_are_made_once(spark):
+    plan = search.sparse_rows(spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "doc_id long, text string"), T.term_weights, 5)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "size(" in line for line in text.splitlines()) and "rangepartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.key, round(r.weight, 6)) for r in plan.collect()) == [(1, 0.693147), (1, 1.098612)]
