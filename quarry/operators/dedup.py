@@ -11,9 +11,19 @@ from quarry.sources.store import fresh, removed
 FRONT = 16
 
 
+#: So many ids are broadcast at most; more are joined by shuffle.
+FEW_IDS = 1_000_000
+
+
+def _of(sets: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of sets with (or without) one of the ids, found where they lie if the ids are few."""
+    return sets.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", how)
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, over: float) -> DataFrame:
-    """Of pairs of ids, those whose sets are alike."""
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    """Of pairs of ids, those whose sets are alike. Only sets of the pairs are moved."""
+    left, right = (_of(sets, pairs.select(F.col(c).alias("id")).distinct()).toDF(c, x) for c, x in (("a", "x"), ("b", "y")))
+    both = pairs.join(left, "a").join(right, "b")
     return both.where(T.jaccard(F.col("x"), F.col("y")) > over).select("a", "b")
 
 
@@ -25,7 +35,7 @@ def greedy(chunks: DataFrame, group: str, order: str, text: str = "text", over:
     of their sets. Shingles are 64-bit hashes of their group and of 64-bit hashes of their words. Other columns of `chunks` are not looked at.
 
     Chunks with equal sets are one. Two sets that are alike share a shingle among the rarest of each (a share of 1 - over
-    of them and one). In each round the first `front` open chunks of each such shingle are compared; one that is among
+    of them and one), so a set with so many that no other has stays, and its shingles go no further. In each round the first `front` open chunks of each such shingle are compared; one that is among
     these wherever it occurs, and is like none before it, stays. Then only those that stay are compared with what is open
     after them, and what they are like leaves all further rounds. So a group of near copies costs one
     comparison a copy for each of its chunks that stay.
@@ -40,22 +50,30 @@ def greedy(chunks: DataFrame, group: str, order: str, text: str = "text", over:
 
     hashes = F.transform(T.words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w))
     runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(F.col(group), *[F.get(h, i + k) for k in range(n)]))
-    shingles = T.bound(hashes, lambda h: F.when(F.size(h) >= n, F.array_sort(F.array_distinct(runs(h)))).otherwise(F.array().cast("array<bigint>")))
+    shingles = T.bound(hashes, lambda h: F.when(F.size(h) >= n, F.sort_array(F.array_distinct(runs(h)))).otherwise(F.array().cast("array<bigint>")))
     sets = chunks.select(F.col(group).alias("g"), F.col(order).alias("o"), shingles.alias("s"))
-    sets = sets.withColumn("k", F.struct("o", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(17), "s").alias("i")))
-    first = Window.partitionBy("g", "k.h", "k.i").orderBy("o")
-    reps = sets.withColumn("at", F.row_number().over(first)).where("at = 1").select("g", "o", "k", "s", F.monotonically_increasing_id().alias("id"))
-    reps = written(reps, "dedup-sets")
-    sets = reps.select("id", "s")
-
-    words = reps.select("id", "k", F.size("s").alias("n"), F.explode("s").alias("w"))
-    often = words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
-    shared = words.join(often, "w")
+    # one shingle in `share` is looked at first: of most sets these show that their prefix is theirs alone
+    share = max(1, int(0.6 / (1 - over))) if over < 1 else 1
+    looked = F.size(F.filter("s", lambda w: F.pmod(w, F.lit(share)) == 0)) if share > 1 else F.size("s")
+    # sets are written where they are made and only those that may have one like them are moved; numbers are drawn when the table is written
+    every = written(sets.select(F.monotonically_increasing_id().alias("id"), "g", "o", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(17), "s").alias("i"), F.size("s").alias("n"), looked.alias("m"), "s"), "dedup-sets")
+    first = Window.partitionBy("g", "h", "i").orderBy("o", "id")
+    judged = written(every.select("id", "g", "o", F.struct("o", "h", "i").alias("k"), "n", "m", F.row_number().over(first).alias("at")), "dedup-first")
+    reps = judged.where("at = 1").drop("at")
+
+    of = Window.partitionBy("w")
+    some = _of(every.select("id", "s"), judged.where("at > 1").select("id"), "left_anti").select("id", F.explode("s").alias("w")).where(F.pmod("w", F.lit(share)) == 0)
+    shared = some.withColumn("met", F.min("id").over(of) < F.max("id").over(of)).where("met").groupBy("id").agg(F.count("*").alias("shared"))
+    prefix = F.col("n") - F.ceil(F.col("n") * over) + 1
+    may = written(reps.where("n > 0").join(shared, "id", "left").where(F.col("m") - F.coalesce("shared", F.lit(0)) < prefix).select("id"), "dedup-may")
+    sets = written(_of(every, may).select("id", "s"), "dedup-sets-open")
+
+    words = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("w"))
+    shared = words.withColumn("df", F.count("*").over(of)).where("df > 1")
     # shingles of one chunk alone come first in it and meet nothing
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("w")))
-    prefix = shared.withColumn("from_end", place).where(F.col("from_end") >= F.ceil(F.col("n") * over)).select("w", "id", "k", "n")
-    some = Window.partitionBy("id")
-    live = written(prefix.withColumn("places", F.count("*").over(some)), "dedup-open")
+    prefix = shared.withColumn("from_end", place).where(F.col("from_end") >= F.ceil(F.col("n") * over)).select("w", "id", "n")
+    live = written(prefix.withColumn("places", F.count("*").over(Window.partitionBy("id"))).join(reps.select("id", "k"), "id").select("w", "id", "k", "n", "places"), "dedup-open")
     opened = made[-1]
     kept = [written(reps.join(live.select("id").distinct(), "id", "left_anti").select("id"), "dedup-stays")]
 
@@ -67,7 +85,7 @@ def greedy(chunks: DataFrame, group: str, order: str, text: str = "text", over:
         top = live.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("k", "id"))).where(F.col("r") <= front)
         top = written(top.select("w", "id", "k", "n", "r", "places"), "dedup-front")
         early, late = top.select("w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra")), top.select("w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-        met = early.join(late, "w").where((F.col("ra") < F.col("rb")) & sized("na", "nb")).select("a", "b").distinct()
+        met = written(early.join(late, "w").where((F.col("ra") < F.col("rb")) & sized("na", "nb")).select("a", "b").distinct(), "dedup-met")
         after = _alike(met, sets, over).select(F.col("b").alias("id")).distinct()
         seen = top.groupBy("id").agg(F.count("*").alias("m"), F.first("places").alias("places")).where("m = places")
         stays = written(seen.join(after, "id", "left_anti").select("id"), "dedup-stays")
@@ -75,7 +93,7 @@ def greedy(chunks: DataFrame, group: str, order: str, text: str = "text", over:
         rest = live.join(stays, "id", "left_anti")
         mine = live.join(stays, "id", "left_semi").select("w", F.col("id").alias("a"), F.col("k").alias("ka"), F.col("n").alias("na"))
         met = mine.join(rest.select("w", F.col("id").alias("b"), F.col("k").alias("kb"), F.col("n").alias("nb")), "w")
-        met = met.where((F.col("ka") < F.col("kb")) & sized("na", "nb")).select("a", "b").distinct()
+        met = written(met.where((F.col("ka") < F.col("kb")) & sized("na", "nb")).select("a", "b").distinct(), "dedup-met")
         gone = _alike(met, sets, over).select(F.col("b").alias("id")).distinct()
         live = written(rest.join(gone, "id", "left_anti"), "dedup-open")
         opened = made[-1]

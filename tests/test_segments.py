@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -105,6 +106,28 @@ def test_greedy_over_a_large_group(spark, monkeypatch):
     assert len(got) < 20 and sum(pairs) < 10 * len(rows)
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_greedy_moves_few_sets(spark, monkeypatch, few):
+    """All sets went to each comparison, also those of chunks that have most shingles for themselves."""
+    rng = random.Random(5)
+    texts = [[f"u{i}x{j}" for j in range(30 if i > 30 else 8 + i % 2)] for i in range(300)]
+    for size in (10, 14, 17, 40, 90):  # from few shingles to many, each with longer ones, copies and ones that are less alike
+        base = [f"b{size}x{j}" for j in range(size)]
+        texts += [base, [*base, "more"], ["other", *base], base, [*base, "more", "and", "more"], [*base[: size // 2], "in", *base[size // 2 :]], [*base, "more"]]
+    rng.shuffle(texts)
+    seen, alike = [], dedup._alike
+    monkeypatch.setattr(dedup, "_alike", lambda pairs, sets, over: (seen.append(sets.count()), alike(pairs, sets, over))[1])
+    monkeypatch.setattr(dedup, "FEW_IDS", few, raising=False)
+    got = {r.o for r in dedup.greedy(spark.createDataFrame([(1, i, " ".join(w)) for i, w in enumerate(texts)], "g int, o long, text string"), "g", "o").collect()}
+    kept: list = []
+    for i, w in enumerate(texts):
+        s = {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+        if not any(len(a & s) / len(a | s) > 0.8 for _, a in kept):
+            kept.append((i, s))
+    assert got == {i for i, _ in kept}
+    assert seen and max(seen) < 100
+
+
 def test_greedy_ties_and_null_orders(spark):
     words = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
     rows = [(1, 5, words[0]), (1, 5, words[1]), (1, None, words[0] + " more"), (None, None, words[1]), (1, 5, words[1])]
