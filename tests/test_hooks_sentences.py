@@ -300,6 +300,20 @@ def test_tables_of_queries_hand_on_the_first_rows_only(spark, tmp_path, monkeypa
         assert handed[0] <= len(asked) * 4 * 4  # four rows a query and task
 
 
+def test_rows_of_a_task_do_not_grow_with_the_corpus(spark, tmp_path, monkeypatch):
+    """Postings were sorted in the session's number of tasks, however many there were, and so were the rows of a search for many queries."""
+    monkeypatch.setattr(search, "TO_SORT", 500, raising=False)
+    docs = spark.createDataFrame([(i % 290, " ".join(f"w{(i * j) % 97}" for j in range(40))) for i in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w2"), (2, "w96 w5")], "query_id int, text string")
+    for name, table in (("once", docs.limit(290)), ("repeated", docs)):
+        index = search.extend(table, str(tmp_path / name))
+        assert len(index.postings.inputFiles()) > 8
+        found = index.postings.groupBy("key").agg(F.sum("tf").alias("n"))
+        assert found.agg(F.sum("n")).first()[0] == 40 * table.count() == index.state.info["n_words"] and index.n_docs == table.count()
+        got = search.bm25_many(index, asked, 5).where("query_id = 1").orderBy("rank").collect()
+        assert [(r.doc_id, r.score) for r in got] == [tuple(r) for r in search.top(search.bm25(index, "w1 w2 w2").distinct(), 5, "doc_id").collect()]
+
+
 def test_postings_are_counted_in_place(spark):
     """They were grouped by document and word in a shuffle of all words, and the documents' norms in another of all postings."""
     texts = ["The the\u00a0x ÄÖ äö \x0b\x1cİ", None, "", " \n", "ΣΑΣ σας Ǆ", "a b a"]
