@@ -72,9 +72,9 @@ def split_sentences(c: Column) -> Column:
     return F.filter(F.transform(pieces, strip), lambda s: s != "")
 
 
-# What makes a line a heading.
-HEADINGS = [r"^\s{0,3}#{1,6}\s+\S", r"^\s*[0-9IVXivx]+[.)]\s+\S"]
-LABEL = r"^[A-Z][A-Za-z0-9 ,/&()\-:]{3,}$"
+# What makes a line a heading. Other than in Java, \s of their SQL has no \x0B and $ does not match before a line end.
+HEADINGS = [r"^[ \t\n\f\r]{0,3}#{1,6}[ \t\n\f\r]+[^ \t\n\f\r]", r"^[ \t\n\f\r]*[0-9IVXivx]+[.)][ \t\n\f\r]+[^ \t\n\f\r]"]
+LABEL = r"^[A-Z][A-Za-z0-9 ,/&()\-:]{3,}\z"
 
 
 def is_heading(line: Column) -> Column:

@@ -159,9 +159,9 @@ def by_recursion(docs: DataFrame, key: str, text: str = "text", size: int = 4000
     return docs.select(key, text).mapInArrow(run, f"key {kind}, chunk_no int, char_start int, chunk string").withColumnRenamed("key", key)
 
 
-def headed(text: Column) -> Column:
+def headed(text: Column, whole: bool = True) -> Column:
     """array<struct<section, body>> by heading lines, which are not in the bodies. The part before the first
-    heading is called Document; a heading without a line below it gives none; headings alone give the whole text."""
+    heading is called Document; a heading without a line below it gives none; headings alone give the whole text, or nothing without whole."""
     title = lambda line: T.strip(F.regexp_replace(line, r"^[# ]+|[# ]+\z", ""))
 
     def sections(lines: Column) -> Column:
@@ -175,14 +175,17 @@ def headed(text: Column) -> Column:
 
         return T.bound(starts, lambda x: F.filter(F.transform(x, lambda s, k: section(s, k, x)), lambda b: b["body"].isNotNull()))
 
-    whole = F.array(F.struct(F.lit("Document").alias("section"), text.alias("body")))
     found = T.bound(F.split(text, "\n", -1), sections)
-    return T.bound(found, lambda f: F.when(F.size(f) == 0, whole).otherwise(f))
+    if not whole:
+        return found
+    alone = F.array(F.struct(F.lit("Document").alias("section"), text.alias("body")))
+    return T.bound(found, lambda f: F.when(F.size(f) == 0, alone).otherwise(f))
 
 
-def by_headings(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    clean = T.normalize_whitespace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")))
-    found = docs.select(*keys, F.posexplode(headed(clean)).alias("section_no", "s"))
+def by_headings(docs: DataFrame, keys: list[str], text: str = "text", whole: bool = True, crlf: bool = True) -> DataFrame:
+    """keys, section_no, section, body: headed() of each text; with crlf, a carriage return and line feed count as a line feed."""
+    lines = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")) if crlf else F.col(text)
+    found = docs.select(*keys, F.posexplode(headed(T.normalize_whitespace(lines), whole)).alias("section_no", "s"))
     return found.select(*keys, "section_no", "s.section", "s.body")
 
 
